@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from rulescope.functions.columns import (
     NUMBER_TEXT,
+    any_of,
     balanced_sum,
     is_numeric_type,
     norm,
@@ -34,7 +35,7 @@ from rulescope.functions.columns import (
 
 TEXT_OPS = ("==", "!=", "Contains")
 NUMERIC_OPS = (">", "<", ">=", "<=")
-SET_OPS = ("in", "not in", "in_exact")
+SET_OPS = ("in", "not in", "in_exact", "in_ci", "contains_any")
 ALL_OPS = TEXT_OPS + NUMERIC_OPS + SET_OPS
 
 FAIL_PREFIX = "FAIL_"
@@ -163,7 +164,9 @@ def compile_condition(
     * ``> < >= <=``: numeric comparison after :func:`num` coercion; text that
       is not a number, NULL and NaN -> false.
     * ``in`` / ``not in``: normalised membership in a token list (``not in``
-      is true for NULL); ``in_exact``: exact text membership, NULL -> false.
+      is true for NULL); ``in_exact``: exact text membership; ``in_ci``:
+      case-insensitive exact membership (no trimming); ``contains_any``:
+      case-insensitive substring of any token.  NULL -> false for these.
     """
     c = qcol(col_name)
     numeric_col = dtype is not None and is_numeric_type(dtype)
@@ -192,6 +195,13 @@ def compile_condition(
         return member if op == "in" else ~member
     if op == "in_exact":
         return F.coalesce(c.cast("string").isin(_token_list(val)), false)
+    if op == "in_ci":
+        tokens = sorted({str(t).lower() for t in _token_list(val)})
+        return F.coalesce(F.lower(c.cast("string")).isin(tokens), false)
+    if op == "contains_any":
+        low = F.lower(c.cast("string"))
+        tests = [low.contains(str(t).lower()) for t in _token_list(val)]
+        return F.coalesce(any_of(tests), false)
     if strict_ops:
         raise RuleError(f"unknown operator {op!r}")
     return false

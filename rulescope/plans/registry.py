@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rulescope.plans import queries as _queries  # noqa: F401  (registers)
+from rulescope.plans import queries as _queries
+from rulescope.plans import queries_packs as _packs  # noqa: F401  (registers)
 
 
 def queries():
