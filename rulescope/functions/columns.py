@@ -23,15 +23,17 @@ YES_TOKENS = ("yes", "y", "true", "ok")
 OK_TOKENS = ("OK", "y", "true", "ok")
 NO_TOKENS = ("no", "n", "false")
 
-# Regular expressions that reproduce Python's strip() and
-# pandas' numeric parser on text.  `(?U)` makes `\s` match Unicode whitespace
-# (Python strip); numbers use the plain form, because pandas rejects numbers
-# padded with no-break spaces.
-WS_EDGES_UNICODE = r"(?U)^\s+|\s+$"
-WS_EDGES = r"^\s+|\s+$"
+# The text forms pandas' numeric parser accepts.
 NUMBER_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_TEXT = r"^[+-]?inf(inity)?$"
 
+# Characters Python's str.strip() removes (derived, not listed): used with
+# btrim, which is far cheaper per row than a regular expression.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+# ASCII whitespace only: pandas rejects numbers padded with e.g. no-break
+# spaces, so the number parser strips just these six characters.
+ASCII_WHITESPACE = " \t\n\x0b\x0c\r"
+
 NUMERIC_TYPES = (
     T.ByteType,
     T.ShortType,
@@ -62,7 +64,7 @@ def is_numeric_type(dt: T.DataType) -> bool:
 
 def norm(c: Column | str) -> Column:
     """Case-fold and strip all (Unicode) whitespace at both ends; NULL stays NULL."""
-    return F.lower(F.regexp_replace(as_col(c).cast("string"), WS_EDGES_UNICODE, ""))
+    return F.lower(F.btrim(as_col(c).cast("string"), F.lit(PY_WHITESPACE)))
 
 
 def norm_value(v: object) -> str:
@@ -84,7 +86,7 @@ def num(c: Column | str, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and isinstance(dtype, T.BooleanType):
         return col.cast("double")
     text = col.cast("string")
-    stripped = F.regexp_replace(text, WS_EDGES, "")
+    stripped = F.btrim(text, F.lit(ASCII_WHITESPACE))
     finite = F.nullif(
         F.nullif(stripped.try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf"))
     )

@@ -243,11 +243,12 @@ def failure_long(ev: Evaluation, ids: str | Sequence[str]) -> DataFrame:
 
 def distribution_by_dim(ev: Evaluation, dim: str, top_n: int | None = None) -> DataFrame:
     """Failures per (``dim`` value, rule) for the ``top_n`` entities with the
-    most failures (all entities when ``None``).
+    most failures (all entities when ``None``); ties by key ascending.
 
-    Plan: one wide per-entity aggregate (a count per rule + the total), a
-    top-N of its keys, a semi-join of the aggregate with those keys
-    (broadcast: at most ``top_n`` rows), then unpivot of the small result.
+    Plan: one wide per-entity aggregate (a count per rule and the total, one
+    exchange), the top ``top_n`` of its rows (``TakeOrderedAndProject``:
+    N rows per map task, then a merge), then an unpivot of those rows.  The
+    per-rule counts travel with the ranked rows, so no join is needed.
     """
     aggs = [F.count_if(ev.fail(r.name)).alias(f"__r{i}") for i, r in enumerate(ev.rules)]
     wide = (
@@ -256,13 +257,7 @@ def distribution_by_dim(ev: Evaluation, dim: str, top_n: int | None = None) -> D
         .where(F.col("total_errors") > 0)
     )
     if top_n is not None:
-        top = top_groups(wide.select(qcol(dim), "total_errors"), dim, "total_errors", top_n).select(
-            qcol(dim)
-        )
-        top = top.withColumnRenamed(dim, "__k")
-        if top_n <= BROADCAST_KEYS_MAX:
-            top = F.broadcast(top)
-        wide = wide.join(top, on=qcol(dim).eqNullSafe(F.col("__k")), how="left_semi")
+        wide = top_groups(wide, dim, "total_errors", top_n)
     structs = [
         F.struct(F.lit(r.name).alias("failure_type"), F.col(f"__r{i}").alias("failures"))
         for i, r in enumerate(ev.rules)
@@ -273,6 +268,21 @@ def distribution_by_dim(ev: Evaluation, dim: str, top_n: int | None = None) -> D
     )
 
 
+def restrict_to_top(
+    detail: DataFrame, ev: Evaluation, dim: str, top_n: int
+) -> DataFrame:
+    """Detail rows (e.g. the long failure table) of the ``top_n`` entities
+    with the most failures: a left-semi join with the top-N key list.
+
+    The key list has at most ``top_n`` rows, so it is broadcast when
+    ``top_n <= BROADCAST_KEYS_MAX``; above that it is a shuffled semi-join.
+    """
+    keys = top_groups(errors_by(ev, dim), dim, "total_errors", top_n).select(qcol(dim).alias("__k"))
+    if top_n <= BROADCAST_KEYS_MAX:
+        keys = F.broadcast(keys)
+    return detail.join(keys, on=qcol(dim).eqNullSafe(F.col("__k")), how="left_semi")
+
+
 # --------------------------------------------------------------------------
 # Rankings and row-level outputs
 # --------------------------------------------------------------------------

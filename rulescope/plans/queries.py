@@ -463,6 +463,25 @@ def distribution_topn(spark, sf_dir):
     return V.distribution_by_dim(ev_orders(spark, sf_dir), "o_custkey", top_n=10)
 
 
+@register(
+    "failure_long_topn",
+    f"""WITH {EV_ORDERS}, top AS (
+  SELECT o_custkey FROM ev GROUP BY o_custkey HAVING sum(_TOTAL_FAILS) > 0
+  ORDER BY sum(_TOTAL_FAILS) DESC, o_custkey ASC LIMIT 10)
+"""
+    + " UNION ALL ".join(
+        f"SELECT o_orderkey, o_custkey, '{n}' AS failure_type FROM ev WHERE FAIL_{n} "
+        f"AND o_custkey IN (SELECT o_custkey FROM top)"
+        for n in Q_NAMES
+    ),
+)
+def failure_long_topn(spark, sf_dir):
+    """Long failure rows of the 10 entities with the most failures (the
+    detail behind a top-N chart): semi-join with the bounded key list."""
+    ev = ev_orders(spark, sf_dir)
+    return V.restrict_to_top(V.failure_long(ev, ["o_orderkey", "o_custkey"]), ev, "o_custkey", 10)
+
+
 @register(
     "errors_by_entity",
     f"""WITH {EV_ORDERS}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulescope.functions.columns import NUMBER_TEXT, WS_EDGES, qcol
+from rulescope.functions.columns import ASCII_WHITESPACE, NUMBER_TEXT, qcol
 from rulescope.sources.headers import clean_headers
 
 # Text read as missing (pandas' default NA tokens).
@@ -58,15 +58,18 @@ def read_csv(
     non-missing values are all integers becomes BIGINT, all numbers DOUBLE.
     Type detection is one aggregate over the data, not a driver loop.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
+    reader = (
+        spark.read.option("multiLine", True)
         .option("escape", '"')
         .option("encoding", encoding)
         .option("inferSchema", False)
-        .csv(path)
     )
-    df = clean_headers(raw)
+    raw = reader.option("header", True).csv(path)
+    # Spark already renames duplicate header cells (by appending the column
+    # index); read the header record as data to keep the names as written.
+    header = reader.option("header", False).csv(path).first()
+    names = [("" if v is None else v) for v in header] if header is not None else raw.columns
+    df = clean_headers(raw.toDF(*names)) if len(names) == len(raw.columns) else clean_headers(raw)
     tokens = list(na_tokens)
     df = df.select(
         *[F.when(qcol(c).isin(tokens), F.lit(None)).otherwise(qcol(c)).alias(c) for c in df.columns]
@@ -82,7 +85,7 @@ def detect_column_types(df: DataFrame) -> DataFrame:
         return df
     aggs = []
     for i, c in enumerate(text_cols):
-        v = F.regexp_replace(qcol(c), WS_EDGES, "")
+        v = F.btrim(qcol(c), F.lit(ASCII_WHITESPACE))
         aggs.append(F.bool_and(F.coalesce(v.rlike(_INT_TEXT), F.lit(True))).alias(f"i{i}"))
         aggs.append(F.bool_and(F.coalesce(v.rlike(NUMBER_TEXT), F.lit(True))).alias(f"n{i}"))
         aggs.append(F.count(qcol(c)).alias(f"c{i}"))
@@ -93,10 +96,10 @@ def detect_column_types(df: DataFrame) -> DataFrame:
         if c in text_cols:
             j = text_cols.index(c)
             if row[f"c{j}"] and row[f"i{j}"]:
-                cols.append(F.regexp_replace(qcol(c), WS_EDGES, "").cast("bigint").alias(c))
+                cols.append(F.btrim(qcol(c), F.lit(ASCII_WHITESPACE)).cast("bigint").alias(c))
                 continue
             if row[f"c{j}"] and row[f"n{j}"]:
-                cols.append(F.regexp_replace(qcol(c), WS_EDGES, "").cast("double").alias(c))
+                cols.append(F.btrim(qcol(c), F.lit(ASCII_WHITESPACE)).cast("double").alias(c))
                 continue
         cols.append(qcol(c))
     return df.select(*cols)

@@ -22,9 +22,11 @@ def make_unique(names: Sequence[str]) -> list[str]:
     """De-duplicate names with ``__n`` suffixes (the first keeps its name).
 
     Spark resolves names case-insensitively, so names equal ignoring case
-    count as duplicates too; a suffix that collides with an existing name is
-    skipped, so the result is always unique.
+    count as duplicates too.  A generated name never collides with a name
+    already in the input (a literal ``X__1`` keeps its name), so the result
+    is always unique.
     """
+    reserved = {n.lower() for n in names}
     taken: set[str] = set()
     counts: dict[str, int] = {}
     out = []
@@ -38,7 +40,7 @@ def make_unique(names: Sequence[str]) -> list[str]:
         while True:
             k += 1
             cand = f"{n}__{k}"
-            if cand.lower() not in taken:
+            if cand.lower() not in taken and cand.lower() not in reserved:
                 break
         counts[key] = k
         taken.add(cand.lower())
