@@ -332,6 +332,12 @@ def worst_sites(ev: Evaluation, site_col: str, n: int = 10, *, deficient_only: b
     return worst_first(src, site_col).limit(n)
 
 
+def display_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Fixed display projection: the ``wanted`` columns that exist, in order."""
+    present = set(df.columns)
+    return df.select(*[qcol(c) for c in wanted if c in present])
+
+
 def preview(df: DataFrame, order: str | Sequence[str], n: int = 1000) -> DataFrame:
     """First ``n`` rows in a stated order (a display cap, not a sample)."""
     return df.orderBy(*[qcol(c).asc_nulls_last() for c in _keys(order)]).limit(n)

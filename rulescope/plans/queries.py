@@ -575,6 +575,29 @@ def facets_cascade(spark, sf_dir):
     )
 
 
+@register(
+    "facet_options",
+    f"SELECT DISTINCT coalesce(prio, 'Unknown') AS value FROM {NULLED}",
+)
+def facet_options(spark, sf_dir):
+    """Sorted distinct values of a facet column, missing shown as Unknown."""
+    return V.distinct_values(_nulled(spark, sf_dir), "prio", unknown_label="Unknown")
+
+
+@register(
+    "search_regex",
+    """
+SELECT * FROM part WHERE
+  coalesce(regexp_matches(lower(CAST(p_partkey AS VARCHAR)), '^(red|blue) |7$'), false)
+  OR coalesce(regexp_matches(lower(p_name), '^(red|blue) |7$'), false)
+  OR coalesce(regexp_matches(lower(p_type), '^(red|blue) |7$'), false)""",
+)
+def search_regex(spark, sf_dir):
+    """Search in regular-expression mode over chosen columns."""
+    part = table(spark, sf_dir, "part")
+    return V.search_any_column(part, "^(RED|BLUE) |7$", ["p_partkey", "p_name", "p_type"], regex=True)
+
+
 @register(
     "search_any_column",
     """

@@ -19,6 +19,7 @@ from rulescope.functions.columns import (
     prefix_label,
 )
 from rulescope.operators import packs as P
+from rulescope.operators import views as V
 from rulescope.operators.rules import Rule, evaluate
 from rulescope.plans.oracle import d_int_sum, d_norm, d_num_text
 from rulescope.plans.queries import register, table
@@ -329,3 +330,73 @@ def default_pack(spark, sf_dir):
     """The shipped seven-rule pack; its misspelt scope column still resolves."""
     ev = evaluate(sites_default(spark, sf_dir), P.default_pack())
     return ev.df.select("o_orderkey", *[f"`{c}`" for c in ev.fail_cols], ev.total_col, ev.ok_col)
+
+
+# --------------------------------------------------------------------------
+# Older scoped pack: exact status lists, custom rule, substring scope
+# (R6, F7, F8, F10, P9, P18)
+# --------------------------------------------------------------------------
+
+_V4_FLAGS = {
+    "FAIL_dg": f"(coalesce(contains({d_norm(chr(34) + 'DG/Non-DG' + chr(34))}, 'dg'), false) AND "
+    "coalesce(lower(\"DG Automation Status\") IN ('failed', 'not reachable', 'timeout', 'no'), false))",
+    "FAIL_bb": f"coalesce({d_num_text('\"Battery Backup (Hrs)\"')} < 4.0, false)",
+    "FAIL_rm": "coalesce(lower(\"RM Count (N+1)\") IN ('failed', 'no', 'not ok', '0'), false)",
+    "FAIL_custom": f"coalesce({d_norm(chr(34) + 'Cluster' + chr(34))} = '3-medium', false)",
+}
+_V4_REASONS = {
+    "FAIL_dg": "DG Auto Failed",
+    "FAIL_bb": "Low Battery (<4.0h)",
+    "FAIL_rm": "RM Failed",
+    "FAIL_custom": "Custom Rule (Cluster)",
+}
+
+
+def ev_v4(spark, sf_dir):
+    rules = P.nested_kpi_pack(
+        "DG/Non-DG",
+        "DG Automation Status",
+        "Battery Backup (Hrs)",
+        "RM Count (N+1)",
+        bb_threshold=4.0,
+        custom=("Cluster", "3-MEDIUM"),
+        dg_scope="contains",
+        generation=4,
+    )
+    return evaluate(sites_v5(spark, sf_dir), rules)
+
+
+@register(
+    "failure_reasons_v4",
+    f"""WITH f4 AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _V4_FLAGS.items())} FROM {SITES_V5})
+SELECT "SITE ID", {d_int_sum(list(_V4_FLAGS))} AS _TOTAL_FAILS,
+  coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {k} THEN '{v}' END" for k, v in _V4_REASONS.items())}), ''),
+           'None') AS Failure_Reasons
+FROM f4""",
+)
+def failure_reasons_v4(spark, sf_dir):
+    """Exact (case-insensitive) failure-status lists, a custom exact-value
+    rule and the substring generator scope (which also matches Non-DG)."""
+    ev = ev_v4(spark, sf_dir)
+    return P.with_reasons(ev, empty_label=P.NO_REASON_V4).select("`SITE ID`", ev.total_col, "Failure_Reasons")
+
+
+@register(
+    "actionable_sites",
+    f"""WITH {_V5_EV}
+SELECT "SITE ID", "Cluster",
+  coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {k} THEN '{v}' END" for k, v in _V5_REASONS.items())}), ''),
+           '100% OK') AS Failure_Reasons,
+  _TOTAL_FAILS, "DG/Non-DG", "DG Automation Status", "Battery Backup (Hrs)", "RM Count (N+1)"
+FROM ev5 WHERE _TOTAL_FAILS > 0""",
+)
+def actionable_sites(spark, sf_dir):
+    """Sites needing action, worst first, in the fixed display columns that
+    exist ("Site Type" is not a column here and is left out)."""
+    ev = ev_v5(spark, sf_dir)
+    df = P.with_reasons(ev).where(~ev.ok).orderBy(F.col(ev.total_col).desc(), F.col("`SITE ID`"))
+    return V.display_columns(
+        df,
+        ["SITE ID", "Cluster", "Failure_Reasons", ev.total_col, "DG/Non-DG", "Site Type",
+         "DG Automation Status", "Battery Backup (Hrs)", "RM Count (N+1)"],
+    )
