@@ -247,6 +247,11 @@ class Evaluation:
     def generated(self) -> list[str]:
         return self.fail_cols + self.crit_cols + [self.total_col, self.ok_col]
 
+    @property
+    def dash_rules(self) -> list[Rule]:
+        """Applied rules flagged for a dedicated deep-dive page."""
+        return [r for r in self.rules if r.make_dash]
+
     def rule(self, name: str) -> Rule:
         for r in self.rules:
             if r.name == name:

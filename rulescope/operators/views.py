@@ -15,10 +15,12 @@ chosen for large inputs:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +33,18 @@ from rulescope.functions.columns import (
     pct_text,
     qcol,
 )
-from rulescope.operators.rules import Evaluation, _as_number
+from rulescope.operators.rules import Evaluation, _as_number, resolve_column
 
 # Above this many keys a top-N key list is joined with a shuffle instead of
 # being broadcast.
 BROADCAST_KEYS_MAX = 100_000
 
+# The site table's drill-down levels (in cascade order), the
+# default hierarchy of the deficiency matrix and the two-key matrix defaults.
+DRILLDOWN_LEVELS = ["Auto_Circle", "Site- Principal Owner", "Macro/ULS", "District", "Town", "Cluster"]
+MATRIX_HIERARCHY = ["Macro/ULS", "DG/ Non-DG", "Site- Principal Owner"]
+MATRIX_TWO_KEYS = ["DG/Non-DG ULS", "Site- Principal Owner"]
+
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -216,13 +224,31 @@ def matrix(
     )
 
 
-def hierarchy_keys(columns: Sequence[str], preferred: Sequence[str]) -> list[str]:
-    """Keys of a hierarchical matrix: the preferred keys that exist, else the
-    first column."""
-    present = [c for c in preferred if c in columns]
+def hierarchy_keys(columns: Sequence[str], preferred: Sequence[str] = MATRIX_HIERARCHY) -> list[str]:
+    """Keys of a hierarchical matrix: the preferred keys that exist (name
+    lookup ignores case and whitespace), else the first column."""
+    present = []
+    for c in preferred:
+        hit = resolve_column(columns, c)
+        if hit is not None and hit not in present:
+            present.append(hit)
     return present or [columns[0]]
 
 
+@contextmanager
+def persisted(ev: Evaluation, keep: Sequence[str] = ()) -> Iterator[Evaluation]:
+    """Evaluate once for several views: persist the evaluated table reduced
+    to ``keep`` + the generated columns (memory, spilling to disk), yield it,
+    and release it afterwards.  Only worth it when several views are
+    computed in the same job."""
+    cols = [c for c in keep if c in ev.df.columns] + ev.generated
+    df = ev.df.select(*[qcol(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield ev.with_df(df)
+    finally:
+        df.unpersist()
+
+
 # --------------------------------------------------------------------------
 # Long failure table and distributions
 # --------------------------------------------------------------------------

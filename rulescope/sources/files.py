@@ -70,6 +70,9 @@ def read_csv(
     header = reader.option("header", False).csv(path).first()
     names = [("" if v is None else v) for v in header] if header is not None else raw.columns
     df = clean_headers(raw.toDF(*names)) if len(names) == len(raw.columns) else clean_headers(raw)
+    # Multi-line parsing keeps the CR of CRLF line ends on the last field.
+    last = df.columns[-1]
+    df = df.withColumn(last, F.rtrim(qcol(last), F.lit("\r")))
     tokens = list(na_tokens)
     df = df.select(
         *[F.when(qcol(c).isin(tokens), F.lit(None)).otherwise(qcol(c)).alias(c) for c in df.columns]

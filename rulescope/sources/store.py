@@ -27,9 +27,21 @@ class TrendStore:
         tagged = tag_period(df.drop(YEAR_COL, MONTH_COL), year, month)
         self._write(tagged)
 
-    def save_tagged(self, df: DataFrame) -> None:
+    def save_tagged(self, df: DataFrame, files_per_month: int | None = None) -> None:
         """Save rows that already carry ``source_year`` / ``source_month``;
-        every month present is replaced, the others are untouched."""
+        every month present is replaced, the others are untouched.
+
+        By default each task writes one file per month it holds.  With
+        ``files_per_month`` the rows are first hash-partitioned on (year,
+        month, salt), the salt being a hash of the row itself modulo
+        ``files_per_month``: a month's rows fall into at most that many
+        buckets, so a month is never funnelled into a single task and yields
+        at most ``files_per_month`` files.  The salt is deterministic, so a
+        task re-run after a lost executor produces the same split.
+        """
+        if files_per_month is not None and files_per_month > 0:
+            salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(int(files_per_month)))
+            df = df.repartition(F.col(YEAR_COL), F.col(MONTH_COL), salt)
         self._write(df)
 
     def _write(self, df: DataFrame) -> None:
