@@ -27,9 +27,12 @@ NO_TOKENS = ("no", "n", "false")
 NUMBER_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_TEXT = r"^[+-]?inf(inity)?$"
 
-# Characters Python's str.strip() removes (derived, not listed): used with
-# btrim, which is far cheaper per row than a regular expression.
+# Characters Python's str.strip() removes (derived, not listed), and the
+# ASCII part of that set.  Spark's btrim scans its trim string for every edge
+# character, so the short ASCII set is trimmed first and the full set only
+# when an edge character is non-ASCII.
 PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+PY_WHITESPACE_ASCII = "".join(ch for ch in PY_WHITESPACE if ord(ch) < 128)
 # ASCII whitespace only: pandas rejects numbers padded with e.g. no-break
 # spaces, so the number parser strips just these six characters.
 ASCII_WHITESPACE = " \t\n\x0b\x0c\r"
@@ -62,9 +65,16 @@ def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
 
 
+def strip_text(c: Column | str) -> Column:
+    """Python ``str.strip()`` on a text column; NULL stays NULL."""
+    t = F.btrim(as_col(c).cast("string"), F.lit(PY_WHITESPACE_ASCII))
+    non_ascii_edge = (F.ascii(t) > 127) | (F.ascii(F.substring(t, -1, 1)) > 127)
+    return F.when(non_ascii_edge, F.btrim(t, F.lit(PY_WHITESPACE))).otherwise(t)
+
+
 def norm(c: Column | str) -> Column:
     """Case-fold and strip all (Unicode) whitespace at both ends; NULL stays NULL."""
-    return F.lower(F.btrim(as_col(c).cast("string"), F.lit(PY_WHITESPACE)))
+    return F.lower(strip_text(c))
 
 
 def norm_value(v: object) -> str:
