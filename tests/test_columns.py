@@ -49,7 +49,7 @@ def test_num_numeric_column_nan_is_null(spark):
 
 
 def test_norm_matches_python_strip_lower(spark):
-    vals = [" Yes ", "\tNO\n", " Ok ", "MiXeD", "", None, "a b"]
+    vals = [" Yes ", "\tNO\n", " Ok ", "MiXeD", "", None, "a b", "\x1cyes\x1f", "\u3000ok", "é ", " ÅB"]
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     got = [r[0] for r in df.select(norm("v")).collect()]
     assert got == [None if v is None else v.strip().lower() for v in vals]
