@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -125,35 +126,42 @@ def deep_dive_card(ev: Evaluation, rule: str, severe_at: int = 3) -> DataFrame:
 
 
 def deficient_by(ev: Evaluation, dim: str, *, drop_null_keys: bool = True) -> DataFrame:
-    """Deficient (not all-OK) sites per value of ``dim``, largest first."""
-    out = (
-        _drop_null(ev.df.where(~ev.ok), [dim], drop_null_keys)
+    """Deficient (not all-OK) sites per value of ``dim`` (groups without a
+    deficient site are left out).
+
+    Conditional aggregation rather than ``where(~ok)``: Catalyst would push
+    such a filter below the rule projection and evaluate every rule twice.
+    """
+    return (
+        _drop_null(ev.df, [dim], drop_null_keys)
         .groupBy(qcol(dim))
-        .agg(F.count(F.lit(1)).alias("deficient_sites"))
+        .agg(F.count_if(~ev.ok).alias("deficient_sites"))
+        .where(F.col("deficient_sites") > 0)
     )
-    return out
 
 
 def kpi_by(ev: Evaluation, rule: str, dim: str, *, drop_null_keys: bool = True) -> DataFrame:
-    """Sites failing ``rule`` per value of ``dim``."""
+    """Sites failing ``rule`` per value of ``dim`` (conditional aggregation)."""
     return (
-        _drop_null(ev.df.where(ev.fail(rule)), [dim], drop_null_keys)
+        _drop_null(ev.df, [dim], drop_null_keys)
         .groupBy(qcol(dim))
-        .agg(F.count(F.lit(1)).alias("fail_count"))
+        .agg(F.count_if(ev.fail(rule)).alias("fail_count"))
+        .where(F.col("fail_count") > 0)
     )
 
 
 def fail_count_hist(ev: Evaluation, rule: str | None = None) -> DataFrame:
     """Number of sites per total failure count (optionally among the sites
     failing ``rule``)."""
-    df = ev.df if rule is None else ev.df.where(ev.fail(rule))
-    return df.groupBy(ev.total.alias("fail_count")).agg(F.count(F.lit(1)).alias("sites"))
+    counted = F.count(F.lit(1)) if rule is None else F.count_if(ev.fail(rule))
+    out = ev.df.groupBy(ev.total.alias("fail_count")).agg(counted.alias("sites"))
+    return out if rule is None else out.where(F.col("sites") > 0)
 
 
 def clusters_impacted(ev: Evaluation, rule: str, dim: str) -> DataFrame:
     """Exact number of distinct non-NULL ``dim`` values among sites failing
     ``rule``."""
-    return ev.df.where(ev.fail(rule)).agg(F.count_distinct(qcol(dim)).alias("impacted"))
+    return ev.df.agg(F.count_distinct(F.when(ev.fail(rule), qcol(dim))).alias("impacted"))
 
 
 def errors_by(ev: Evaluation, dim: str) -> DataFrame:
@@ -323,7 +331,13 @@ def actionable(
 ) -> Evaluation:
     """Rows of a drill-down view: ``all``, ``deficient`` (not OK), ``severe``
     (>= ``severe_at`` failures), ``kpi`` (failing ``rule``) or ``kpi_severe``
-    (failing ``rule`` and severe)."""
+    (failing ``rule`` and severe).
+
+    Catalyst pushes such a row filter below the rule projection, so the
+    rules it references are evaluated once in the filter and again for the
+    surviving rows.  For one export that is cheaper than writing a copy; a
+    job that derives several exports should start from :func:`materialized`.
+    """
     conds = {
         "all": None,
         "deficient": ~ev.ok,
@@ -353,9 +367,33 @@ def worst_first(ev: Evaluation, site_col: str) -> DataFrame:
 
 
 def worst_sites(ev: Evaluation, site_col: str, n: int = 10, *, deficient_only: bool = True) -> DataFrame:
-    """Top ``n`` rows by failure count (``TakeOrderedAndProject``)."""
-    src = ev.where(~ev.ok) if deficient_only else ev
-    return worst_first(src, site_col).limit(n)
+    """Top ``n`` rows by failure count (``TakeOrderedAndProject``).
+
+    Deficient rows rank above OK rows, so the deficient-only filter is
+    applied after the limit: the same rows, and no filter that Catalyst
+    could push below the rule projection (which would evaluate the rules
+    twice)."""
+    top = worst_first(ev, site_col).limit(n)
+    return top.where(F.col("fail_count") > 0) if deficient_only else top
+
+
+def materialized(ev: Evaluation, path: str | None = None, keep: Sequence[str] | None = None) -> Evaluation:
+    """Write the evaluated table (``keep`` + generated columns; all input
+    columns by default) as Parquet in the shared folder and continue from
+    the written copy.
+
+    For jobs that derive several row-level outputs (exports by status,
+    severity, rule): the rules run once, filters on flags and counts reach
+    the Parquet scan of the copy, and the lineage is cut, so a lost executor
+    re-reads the copy instead of re-running the whole evaluation.
+    """
+    from rulescope.session import shared_path
+
+    spark = ev.df.sparkSession
+    target = path or shared_path(spark, "evaluated")
+    cols = list(keep) if keep is not None else list(ev.source_columns)
+    ev.df.select(*[qcol(c) for c in cols + ev.generated]).write.parquet(target)
+    return replace(ev, df=spark.read.parquet(target), source_columns=cols)
 
 
 def display_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:

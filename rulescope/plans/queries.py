@@ -528,8 +528,7 @@ ORDER BY _TOTAL_FAILS DESC, o_orderkey ASC LIMIT 1000""",
 )
 def preview(spark, sf_dir):
     """The 1,000-row display cap of the deficient-sites table, worst first."""
-    ev = V.actionable(ev_orders(spark, sf_dir), "deficient")
-    return V.worst_first(ev, "o_orderkey").limit(1000)
+    return V.worst_sites(ev_orders(spark, sf_dir), "o_orderkey", n=1000)
 
 
 # --------------------------------------------------------------------------

@@ -96,3 +96,41 @@ def test_month_pivot_preaggregates_before_each_exchange(built):
 def test_store_read_prunes_partitions(spark):
     df = E.queries()["store_roundtrip"](spark, SF_SMALL)
     assert "source_year" in df.columns
+
+
+FILTER_NODE = re.compile(r"(^|- )(\*\(\d+\) )?Filter ")
+
+
+def _filters_below_aggregate(p: str) -> list[str]:
+    lines = p.splitlines()
+    first_agg = next(i for i, line in enumerate(lines) if "HashAggregate" in line)
+    # filter nodes whose condition holds a rule flag expression (all use coalesce)
+    return [line for line in lines[first_agg:] if FILTER_NODE.search(line) and "coalesce(" in line]
+
+
+def test_grouped_views_evaluate_rules_once(built):
+    # no filter on flags under the aggregate (it would re-evaluate the rules)
+    for name in ("deficient_by_cluster", "kpi_by_cluster", "fail_count_hist", "clusters_impacted"):
+        assert _filters_below_aggregate(initial_plan(built[name])) == [], name
+
+
+def test_worst_sites_filter_stays_above_limit(built):
+    p = initial_plan(built["worst_sites"])
+    lines = p.splitlines()
+    take = next(i for i, line in enumerate(lines) if "TakeOrderedAndProject" in line)
+    assert not any(re.search(r"\+- (\*\(\d+\) )?Filter ", line) for line in lines[take:])
+    assert re.search(r"Filter \(fail_count#\d+ > 0\)", lines[0])
+
+
+def test_materialized_copy_takes_pushed_filters(spark, tmp_dir):
+    import os
+
+    from rulescope.operators import views as V
+    from rulescope.plans.queries import ev_orders
+
+    ev = V.materialized(ev_orders(spark, SF_SMALL), os.path.join(tmp_dir, "ev"))
+    view = V.actionable(ev, "severe", severe_at=2).clean()
+    p = formatted(view)
+    assert "GreaterThanOrEqual(_TOTAL_FAILS,2)" in re.search(r"PushedFilters: \[(.*)\]", p).group(1)
+    direct = V.actionable(ev_orders(spark, SF_SMALL), "severe", severe_at=2).clean()
+    assert sorted(view.collect()) == sorted(direct.collect())
