@@ -98,3 +98,12 @@ def test_store_save_replace_delete(spark, tmp_dir):
     plan = store.load_month(2024, 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "source_month" in plan
     assert store.load_month(2024, 2).where(F.col("v") > 0).count() == 1
+
+
+def test_absent_dimensions_left_out():
+    from rulescope.operators import views as V
+
+    cols = ["SITE ID", "Town", "Cluster"]
+    assert H.present_dimensions(cols, V.DRILLDOWN_LEVELS) == ["Town", "Cluster"]
+    assert V.hierarchy_keys(cols) == ["SITE ID"]  # none of the hierarchy present -> first column
+    assert V.hierarchy_keys(["Macro/ULS", "x"]) == ["Macro/ULS"]

@@ -84,3 +84,19 @@ def test_map_columns_validation(months):
         TR.map_columns(months, {"Circle": "site"}, required=["Site ID"])
     out = TR.map_columns(months, {"Site ID": "site", "EB_Run_Avg": "EB_Run_Avg"}, numeric=["EB_Run_Avg"])
     assert dict(out.dtypes)["EB_Run_Avg"] == "double"
+
+
+def test_stack_export_csv(spark, tmp_dir):
+    import os
+
+    from rulescope.sources import files as FL
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    b = spark.createDataFrame([("3", "z")], "k string, v string")
+    out = TR.stack([(a, {"Source_Month": "January", "Source_Year": 2024}),
+                    (b, {"Source_Month": "February", "Source_Year": 2025})])
+    path = os.path.join(tmp_dir, "stacked")
+    FL.write_csv(out, path, single_file=True)
+    back = FL.read_csv(spark, path)
+    assert back.count() == 3 and back.columns == ["k", "v", "Source_Month", "Source_Year"]
+    assert dict(back.dtypes)["k"] == "bigint"  # all values are integers again after the text round trip
