@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import replace
-from functools import reduce
 from typing import Any
 
 from pyspark import StorageLevel
@@ -512,7 +511,3 @@ def search_any_column(
         text = F.lower(qcol(c).cast("string"))
         tests.append(F.coalesce(text.rlike(q) if regex else text.contains(q), F.lit(False)))
     return df.where(any_of(tests))
-
-
-def reduce_union(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
