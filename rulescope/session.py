@@ -29,13 +29,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a fresh local folder is
-    created and registered; on a cluster the configured shared path is used.
+    Only a local-mode session without one (tests) gets a fresh local folder;
+    a cluster session without one is an error, never a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: configure a folder on the cluster's shared file system"
+            )
         root = tempfile.mkdtemp(prefix="rulescope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
