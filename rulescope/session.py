@@ -42,9 +42,10 @@ def checkpoint_root(spark: SparkSession) -> str:
                 "spark.checkpoint.dir is not set: configure a folder on the cluster's shared file system"
             )
         root = tempfile.mkdtemp(prefix="rulescope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # spark.checkpoint.dir cannot change at run time; the context's
+        # checkpoint folder is the second place this function looks.
         spark.sparkContext.setCheckpointDir(root)
-    if spark.sparkContext.getCheckpointDir() is None:
+    elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
