@@ -275,3 +275,21 @@ def column_resolve(spark, sf_dir):
     )
     roles, _ = H.resolve_roles(sites.columns, H.ROLE_PATTERNS_V5)
     return H.with_circle(H.select_roles(sites, roles))
+
+
+@register(
+    "kpi_exports",
+    f"""WITH {EV_ORDERS}
+SELECT o_orderkey, 'actionable' AS export FROM ev WHERE FAIL_low_prio
+UNION ALL
+SELECT o_orderkey, 'severe' FROM ev WHERE FAIL_low_prio AND _TOTAL_FAILS >= 3""",
+)
+def kpi_exports(spark, sf_dir):
+    """Both deep-dive exports of one KPI (all failing sites, severely
+    degraded ones) from a single evaluation; read back from the CSV files."""
+    from rulescope.operators.exports import export_kpi
+    from rulescope.plans.queries import ev_orders
+
+    paths = export_kpi(ev_orders(spark, sf_dir), "low_prio", shared_path(spark, "exports"))
+    parts = [FL.read_csv(spark, p).select("o_orderkey", F.lit(name).alias("export")) for name, p in paths.items()]
+    return parts[0].unionByName(parts[1])

@@ -112,10 +112,25 @@ def ingest_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     out: str,
+    *,
+    detect_types: bool = True,
     **kw,
 ) -> DataFrame:
-    """CSV -> cleaned Parquet at ``out``; returns the Parquet-backed frame."""
-    read_csv(spark, path, **kw).write.mode("overwrite").parquet(out)
+    """CSV -> cleaned Parquet at ``out``; returns the Parquet-backed frame.
+
+    The CSV is parsed once: the cleaned text columns are written to a stage
+    in the shared folder, type detection scans that columnar stage (not the
+    CSV again), and the typed copy is written to ``out``.
+    """
+    text = read_csv(spark, path, detect_types=False, **kw)
+    if not detect_types:
+        text.write.mode("overwrite").parquet(out)
+        return spark.read.parquet(out)
+    from rulescope.session import shared_path
+
+    stage = shared_path(spark, "ingest-text")
+    text.write.parquet(stage)
+    detect_column_types(spark.read.parquet(stage)).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 

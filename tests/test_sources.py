@@ -51,6 +51,8 @@ def test_csv_ingest_headers_na_types(spark, tmp_dir):
     out = os.path.join(tmp_dir, "pq")
     back = FL.ingest_csv(spark, path, out)
     assert back.count() == 3
+    assert dict(back.dtypes)["Count"] == "bigint" and dict(back.dtypes)["Battery Backup (Hrs)"] == "double"
+    assert back.columns == df.columns
 
 
 def test_csv_export_roundtrip(spark, tmp_dir):
