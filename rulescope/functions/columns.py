@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Token lists of the yes/no/ok tests (reference behaviour).
+# Token lists of the yes/no/ok tests of the original dashboards.
 YES_TOKENS = ("yes", "y", "true", "ok")
 OK_TOKENS = ("OK", "y", "true", "ok")
 NO_TOKENS = ("no", "n", "false")

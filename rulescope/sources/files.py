@@ -50,6 +50,7 @@ def read_csv(
     na_tokens: Sequence[str] = NA_TOKENS,
     detect_types: bool = True,
     encoding: str = "UTF-8",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a CSV with a header row (quoted fields may hold newlines).
 
@@ -57,9 +58,14 @@ def read_csv(
     the ``na_tokens`` become NULL, and (``detect_types``) a column whose
     non-missing values are all integers becomes BIGINT, all numbers DOUBLE.
     Type detection is one aggregate over the data, not a driver loop.
+
+    Multi-line parsing cannot split a file, so each file is one task.  For
+    large files whose header and fields hold no line breaks pass
+    ``multi_line=False``: Spark then splits every file into byte ranges read
+    in parallel.
     """
     reader = (
-        spark.read.option("multiLine", True)
+        spark.read.option("multiLine", bool(multi_line))
         .option("escape", '"')
         .option("encoding", encoding)
         .option("inferSchema", False)
@@ -71,8 +77,9 @@ def read_csv(
     names = [("" if v is None else v) for v in header] if header is not None else raw.columns
     df = clean_headers(raw.toDF(*names)) if len(names) == len(raw.columns) else clean_headers(raw)
     # Multi-line parsing keeps the CR of CRLF line ends on the last field.
-    last = df.columns[-1]
-    df = df.withColumn(last, F.rtrim(qcol(last), F.lit("\r")))
+    if multi_line:
+        last = df.columns[-1]
+        df = df.withColumn(last, F.rtrim(qcol(last), F.lit("\r")))
     tokens = list(na_tokens)
     df = df.select(
         *[F.when(qcol(c).isin(tokens), F.lit(None)).otherwise(qcol(c)).alias(c) for c in df.columns]

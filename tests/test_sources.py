@@ -109,3 +109,20 @@ def test_absent_dimensions_left_out():
     assert H.present_dimensions(cols, V.DRILLDOWN_LEVELS) == ["Town", "Cluster"]
     assert V.hierarchy_keys(cols) == ["SITE ID"]  # none of the hierarchy present -> first column
     assert V.hierarchy_keys(["Macro/ULS", "x"]) == ["Macro/ULS"]
+
+
+def test_csv_single_line_mode_splits_large_files(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "big.csv")
+    with open(path, "w", newline="") as f:
+        f.write("id,name,val\r\n")
+        for i in range(20000):
+            f.write(f"{i},n{i % 7},{'None' if i % 5 == 0 else i / 4}\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = FL.read_csv(spark, path, multi_line=False)
+        assert df.rdd.getNumPartitions() > 1  # byte ranges of one file, read in parallel
+        assert df.count() == 20000 and df.columns == ["id", "name", "val"]
+        assert dict(df.dtypes)["val"] == "double" and df.where("val IS NULL").count() == 4000
+        assert FL.read_csv(spark, path).rdd.getNumPartitions() == 1  # multi-line: one task per file
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
