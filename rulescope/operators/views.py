@@ -10,7 +10,9 @@ chosen for large inputs:
   (``inline`` of an array of structs) instead of multiplying detail rows;
 * top-N uses ``orderBy().limit()`` (``TakeOrderedAndProject``: per-partition
   top-N, then a merge of N rows per partition) with a unique tie-break key;
-* the only broadcast is a top-N key list, bounded by N.
+* the only broadcast is a top-N key list, bounded by N;
+* rules run once per row: grouped views count conditionally instead of
+  filtering on a flag (a pushed-down flag filter would re-evaluate rules).
 """
 
 from __future__ import annotations
@@ -242,6 +244,12 @@ def hierarchy_keys(columns: Sequence[str], preferred: Sequence[str] = MATRIX_HIE
     return present or [columns[0]]
 
 
+def matrix_keys(columns: Sequence[str], preferred: Sequence[str] = MATRIX_TWO_KEYS) -> list[str]:
+    """Keys of the two-key matrix: each preferred key if it exists (loose
+    name lookup), else the first column, key by key."""
+    return [resolve_column(columns, c) or columns[0] for c in preferred]
+
+
 @contextmanager
 def persisted(ev: Evaluation, keep: Sequence[str] = ()) -> Iterator[Evaluation]:
     """Evaluate once for several views: persist the evaluated table reduced

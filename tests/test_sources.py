@@ -109,6 +109,8 @@ def test_absent_dimensions_left_out():
     assert H.present_dimensions(cols, V.DRILLDOWN_LEVELS) == ["Town", "Cluster"]
     assert V.hierarchy_keys(cols) == ["SITE ID"]  # none of the hierarchy present -> first column
     assert V.hierarchy_keys(["Macro/ULS", "x"]) == ["Macro/ULS"]
+    assert V.matrix_keys(["x", "Site- Principal Owner", "DG/Non-DG ULS"]) == ["DG/Non-DG ULS", "Site- Principal Owner"]
+    assert V.matrix_keys(["x", "Site- Principal Owner"]) == ["x", "Site- Principal Owner"]
 
 
 def test_csv_single_line_mode_splits_large_files(spark, tmp_dir):
