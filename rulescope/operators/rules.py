@@ -181,8 +181,12 @@ def compile_condition(
             return F.coalesce(left == right, false)
         return ~left.eqNullSafe(right)
     if op == "Contains":
-        pattern = norm_value(val)
-        test = norm(c).rlike(pattern) if regex else norm(c).contains(pattern)
+        if regex:
+            # case-insensitive match; the pattern is only stripped, not
+            # lower-cased, so escapes such as \D keep their meaning
+            test = norm(c).rlike("(?iu)" + str(val).strip())
+        else:
+            test = norm(c).contains(norm_value(val))
         return F.coalesce(test, false)
     if op in NUMERIC_OPS:
         t = F.lit(parse_threshold(val, threshold_mode))

@@ -511,11 +511,13 @@ def search_any_column(
     regex: bool = False,
 ) -> DataFrame:
     """Rows where any column's text contains ``query`` (case-insensitive).
-    ``regex=True`` treats ``query`` as a (Java) regular expression."""
+    ``regex=True`` treats ``query`` as a (Java) regular expression, matched
+    case-insensitively; the pattern itself is not lower-cased, so escapes
+    such as ``\\D`` keep their meaning."""
     cols = list(columns) if columns is not None else df.columns
-    q = query.lower()
     tests = []
     for c in cols:
-        text = F.lower(qcol(c).cast("string"))
-        tests.append(F.coalesce(text.rlike(q) if regex else text.contains(q), F.lit(False)))
+        text = qcol(c).cast("string")
+        test = text.rlike("(?iu)" + query) if regex else F.lower(text).contains(query.lower())
+        tests.append(F.coalesce(test, F.lit(False)))
     return df.where(any_of(tests))

@@ -47,6 +47,8 @@ def test_contains_literal_vs_regex(spark):
     assert _flags(df, "s", "Contains", "(n+1)", regex=True) == [False, False, False, False]
     assert _flags(df, "s", "Contains", "a.b") == [False, True, False, False]
     assert _flags(df, "s", "Contains", "a.b", regex=True) == [False, True, True, False]
+    # escapes keep their meaning (\D: a non-digit), matching is case-insensitive
+    assert _flags(df, "s", "Contains", r"^\D\.B$", regex=True) == [False, True, False, False]
 
 
 def test_numeric_ops_nan_null_false(cmp_df):

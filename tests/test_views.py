@@ -114,6 +114,8 @@ def test_search_literal_and_regex(spark):
     assert V.search_any_column(df, "(N+1)").count() == 1
     assert V.search_any_column(df, "2").count() == 1
     assert V.search_any_column(df, "^a.c$", regex=True).count() == 1
+    assert V.search_any_column(df, r"^\D+$", ["s"], regex=True).count() == 1  # "abc"; \D is not \d
+    assert V.search_any_column(df, "^ABC$", regex=True).count() == 1
 
 
 def test_reasons_and_distribution(spark):
