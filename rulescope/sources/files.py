@@ -88,16 +88,22 @@ def read_csv(
 
 
 def detect_column_types(df: DataFrame) -> DataFrame:
-    """Cast text columns whose every non-NULL value is an integer (BIGINT) or
-    a number (DOUBLE).  One global aggregate of 2 flags per column."""
+    """Cast text columns whose every non-NULL value is an integer that fits
+    BIGINT (to BIGINT) or a finite number (to DOUBLE).  One global aggregate
+    of two flags and a count per column."""
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text_cols:
         return df
     aggs = []
     for i, c in enumerate(text_cols):
         v = F.btrim(qcol(c), F.lit(ASCII_WHITESPACE))
-        aggs.append(F.bool_and(F.coalesce(v.rlike(_INT_TEXT), F.lit(True))).alias(f"i{i}"))
-        aggs.append(F.bool_and(F.coalesce(v.rlike(NUMBER_TEXT), F.lit(True))).alias(f"n{i}"))
+        # integers must also fit BIGINT, numbers must stay finite: a cast
+        # that fails would abort the job under ANSI rules
+        fits_long = v.rlike(_INT_TEXT) & v.try_cast("bigint").isNotNull()
+        as_double = v.try_cast("double")
+        finite = v.rlike(NUMBER_TEXT) & as_double.isNotNull() & (F.abs(as_double) != F.lit(float("inf")))
+        aggs.append(F.bool_and(F.when(v.isNull(), F.lit(True)).otherwise(fits_long)).alias(f"i{i}"))
+        aggs.append(F.bool_and(F.when(v.isNull(), F.lit(True)).otherwise(finite)).alias(f"n{i}"))
         aggs.append(F.count(qcol(c)).alias(f"c{i}"))
     row = df.agg(*aggs).collect()[0]
     cols = []

@@ -128,3 +128,11 @@ def test_csv_single_line_mode_splits_large_files(spark, tmp_dir):
         assert FL.read_csv(spark, path).rdd.getNumPartitions() == 1  # multi-line: one task per file
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_type_detection_overflow_and_infinity(spark):
+    df = spark.createDataFrame(
+        [("1", "12345678901234567890123", "1e400", "2.5"), ("2", "7", "3", None)], "a string, b string, c string, d string"
+    )
+    types = dict(FL.detect_column_types(df).dtypes)
+    assert types == {"a": "bigint", "b": "double", "c": "string", "d": "double"}
