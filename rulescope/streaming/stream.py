@@ -29,10 +29,14 @@ def read_uploads(
     *,
     glob: str | None = None,
     max_files_per_trigger: int | None = None,
+    recursive: bool = False,
 ) -> DataFrame:
     """Parquet files landing in ``folder`` as a stream (schema is required
-    for file streams; ``glob`` selects file names)."""
+    for file streams; ``glob`` selects file names; ``recursive`` also reads
+    files in sub-folders, e.g. one folder per upload)."""
     reader = spark.readStream.schema(schema)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
