@@ -65,16 +65,108 @@ def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
 
 
-def strip_text(c: Column | str) -> Column:
-    """Python ``str.strip()`` on a text column; NULL stays NULL."""
-    t = F.btrim(as_col(c).cast("string"), F.lit(PY_WHITESPACE_ASCII))
-    non_ascii_edge = (F.ascii(t) > 127) | (F.ascii(F.substring(t, -1, 1)) > 127)
-    return F.when(non_ascii_edge, F.btrim(t, F.lit(PY_WHITESPACE))).otherwise(t)
+# --------------------------------------------------------------------------
+# Spark SQL text builders.  Rule conditions are compiled to SQL text and
+# turned into Columns with one F.expr call each: far fewer driver round trips
+# than composing Column objects, which matters for rule sets of hundreds of
+# rules.  The Column helpers below wrap the same text, so there is one
+# definition of every semantic.
+# --------------------------------------------------------------------------
+
+
+def sql_ident(name: str) -> str:
+    """A column reference for SQL text (backticks doubled inside)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(value: object) -> str:
+    """A SQL string literal: backslash, quote and control characters are
+    escaped (Spark unescapes ``\\uXXXX`` in string literals)."""
+    out = []
+    for ch in str(value):
+        if ch == "\\":
+            out.append("\\\\")
+        elif ch == "'":
+            out.append("\\'")
+        elif ord(ch) < 32 or ord(ch) == 127:
+            out.append("\\u%04x" % ord(ch))
+        else:
+            out.append(ch)
+    return "'" + "".join(out) + "'"
+
+
+def sql_double(value: float) -> str:
+    """A DOUBLE literal (finite values only)."""
+    return repr(float(value)) + "D"
+
+
+def sql_list(values: Iterable[object]) -> str:
+    return ", ".join(sql_str(v) for v in values)
+
+
+def strip_sql(expr: str) -> str:
+    """Python ``str.strip()``: trim the short ASCII set first and the full
+    Unicode set only when an edge character is non-ASCII."""
+    t = f"btrim(CAST({expr} AS STRING), {sql_str(PY_WHITESPACE_ASCII)})"
+    return (
+        f"(CASE WHEN ascii({t}) > 127 OR ascii(substring({t}, -1, 1)) > 127 "
+        f"THEN btrim({t}, {sql_str(PY_WHITESPACE)}) ELSE {t} END)"
+    )
+
+
+def norm_sql(expr: str) -> str:
+    return f"lower({strip_sql(expr)})"
+
+
+def num_sql(expr: str, dtype: T.DataType | None = None) -> str:
+    """pandas ``to_numeric(errors="coerce")`` as SQL text (see :func:`num`)."""
+    if dtype is not None and is_numeric_type(dtype):
+        return f"nullif(CAST({expr} AS DOUBLE), CAST('NaN' AS DOUBLE))"
+    if dtype is not None and isinstance(dtype, T.BooleanType):
+        return f"CAST({expr} AS DOUBLE)"
+    text = f"CAST({expr} AS STRING)"
+    stripped = f"btrim({text}, {sql_str(ASCII_WHITESPACE)})"
+    finite = (
+        f"nullif(nullif(try_cast({stripped} AS DOUBLE), CAST('Infinity' AS DOUBLE)), "
+        f"CAST('-Infinity' AS DOUBLE))"
+    )
+    return (
+        f"(CASE WHEN {stripped} RLIKE {sql_str(NUMBER_TEXT)} THEN {finite} "
+        f"WHEN lower({text}) RLIKE {sql_str(INFINITY_TEXT)} THEN try_cast({text} AS DOUBLE) END)"
+    )
+
+
+def in_tokens_sql(expr: str, tokens: Iterable[str]) -> str:
+    """Normalised membership; NULL -> NULL; an empty token list -> false."""
+    values = sorted({norm_value(t) for t in tokens})
+    return f"({norm_sql(expr)} IN ({sql_list(values)}))" if values else "false"
 
 
-def norm(c: Column | str) -> Column:
+def balanced_sql_sum(terms: list[str]) -> str:
+    """``a + b + ...`` parenthesised as a balanced tree (shallow plans)."""
+    if not terms:
+        return "0"
+    while len(terms) > 1:
+        nxt = [f"({terms[i]} + {terms[i + 1]})" for i in range(0, len(terms) - 1, 2)]
+        if len(terms) % 2:
+            nxt.append(terms[-1])
+        terms = nxt
+    return terms[0]
+
+
+# --------------------------------------------------------------------------
+# Column helpers (take column names)
+# --------------------------------------------------------------------------
+
+
+def strip_text(name: str) -> Column:
+    """Python ``str.strip()`` on a column; NULL stays NULL."""
+    return F.expr(strip_sql(sql_ident(name)))
+
+
+def norm(name: str) -> Column:
     """Case-fold and strip all (Unicode) whitespace at both ends; NULL stays NULL."""
-    return F.lower(strip_text(c))
+    return F.expr(norm_sql(sql_ident(name)))
 
 
 def norm_value(v: object) -> str:
@@ -82,7 +174,7 @@ def norm_value(v: object) -> str:
     return str(v).strip().lower()
 
 
-def num(c: Column | str, dtype: T.DataType | None = None) -> Column:
+def num(name: str, dtype: T.DataType | None = None) -> Column:
     """Coerce to DOUBLE the way ``pandas.to_numeric(errors="coerce")`` does.
 
     Unparseable text, NaN and out-of-range values become NULL.  A bare
@@ -90,37 +182,24 @@ def num(c: Column | str, dtype: T.DataType | None = None) -> Column:
     turns ``'1e400'`` into infinity.  Pass ``dtype`` when the column type is
     known; numeric columns then skip the text path entirely.
     """
-    col = as_col(c)
-    if dtype is not None and is_numeric_type(dtype):
-        return F.nullif(col.cast("double"), F.lit(float("nan")))
-    if dtype is not None and isinstance(dtype, T.BooleanType):
-        return col.cast("double")
-    text = col.cast("string")
-    stripped = F.btrim(text, F.lit(ASCII_WHITESPACE))
-    finite = F.nullif(
-        F.nullif(stripped.try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf"))
-    )
-    return F.when(stripped.rlike(NUMBER_TEXT), finite).when(
-        F.lower(text).rlike(INFINITY_TEXT), text.try_cast("double")
-    )
+    return F.expr(num_sql(sql_ident(name), dtype))
 
 
-def in_tokens(c: Column | str, tokens: Iterable[str]) -> Column:
+def in_tokens(name: str, tokens: Iterable[str]) -> Column:
     """Normalised membership test; NULL -> NULL (callers decide the policy)."""
-    values = sorted({norm_value(t) for t in tokens})
-    return norm(c).isin(values)
+    return F.expr(in_tokens_sql(sql_ident(name), tokens))
 
 
-def is_yes(c: Column | str) -> Column:
-    return F.coalesce(in_tokens(c, YES_TOKENS), F.lit(False))
+def is_yes(name: str) -> Column:
+    return F.expr(f"coalesce({in_tokens_sql(sql_ident(name), YES_TOKENS)}, false)")
 
 
-def is_ok_token(c: Column | str) -> Column:
-    return F.coalesce(in_tokens(c, OK_TOKENS), F.lit(False))
+def is_ok_token(name: str) -> Column:
+    return F.expr(f"coalesce({in_tokens_sql(sql_ident(name), OK_TOKENS)}, false)")
 
 
-def is_no(c: Column | str) -> Column:
-    return F.coalesce(in_tokens(c, NO_TOKENS), F.lit(False))
+def is_no(name: str) -> Column:
+    return F.expr(f"coalesce({in_tokens_sql(sql_ident(name), NO_TOKENS)}, false)")
 
 
 def pct(n: Column, total: Column) -> Column:

@@ -24,13 +24,17 @@ from pyspark.sql import types as T
 
 from rulescope.functions.columns import (
     NUMBER_TEXT,
-    any_of,
-    balanced_sum,
+    balanced_sql_sum,
+    in_tokens_sql,
     is_numeric_type,
-    norm,
+    norm_sql,
     norm_value,
-    num,
+    num_sql,
     qcol,
+    sql_double,
+    sql_ident,
+    sql_list,
+    sql_str,
 )
 
 TEXT_OPS = ("==", "!=", "Contains")
@@ -144,7 +148,7 @@ def _token_list(val: Any) -> list[str]:
     return [str(v) for v in val]
 
 
-def compile_condition(
+def condition_sql(
     col_name: str,
     op: str,
     val: Any,
@@ -153,14 +157,14 @@ def compile_condition(
     regex: bool = False,
     threshold_mode: str = "strict",
     strict_ops: bool = True,
-) -> Column:
-    """Compile one ``column OP value`` test to a non-NULL boolean Column.
+) -> str:
+    """Spark SQL text of one ``column OP value`` test (never NULL).
 
     * ``==``: case- and whitespace-insensitive text equality; numeric
       columns compare numerically when the value is a number.  NULL -> false.
     * ``!=``: negation of ``==`` where a missing value counts as *not equal*.
     * ``Contains``: literal substring of the normalised text (``regex=True``:
-      regular expression search).  NULL -> false.
+      case-insensitive regular expression search).  NULL -> false.
     * ``> < >= <=``: numeric comparison after :func:`num` coercion; text that
       is not a number, NULL and NaN -> false.
     * ``in`` / ``not in``: normalised membership in a token list (``not in``
@@ -168,47 +172,52 @@ def compile_condition(
       case-insensitive exact membership (no trimming); ``contains_any``:
       case-insensitive substring of any token.  NULL -> false for these.
     """
-    c = qcol(col_name)
+    c = sql_ident(col_name)
     numeric_col = dtype is not None and is_numeric_type(dtype)
-    false = F.lit(False)
     if op in ("==", "!="):
         number = _as_number(val) if numeric_col else None
         if number is not None:
-            left, right = num(c, dtype), F.lit(number)
+            left, right = num_sql(c, dtype), sql_double(number)
         else:
-            left, right = norm(c), F.lit(norm_value(val))
+            left, right = norm_sql(c), sql_str(norm_value(val))
         if op == "==":
-            return F.coalesce(left == right, false)
-        return ~left.eqNullSafe(right)
+            return f"coalesce({left} = {right}, false)"
+        return f"(NOT ({left} <=> {right}))"
     if op == "Contains":
         if regex:
             # case-insensitive match; the pattern is only stripped, not
             # lower-cased, so escapes such as \D keep their meaning
-            test = norm(c).rlike("(?iu)" + str(val).strip())
-        else:
-            test = norm(c).contains(norm_value(val))
-        return F.coalesce(test, false)
+            return f"coalesce({norm_sql(c)} RLIKE {sql_str('(?iu)' + str(val).strip())}, false)"
+        return f"coalesce(contains({norm_sql(c)}, {sql_str(norm_value(val))}), false)"
     if op in NUMERIC_OPS:
-        t = F.lit(parse_threshold(val, threshold_mode))
-        x = num(c, dtype)
-        test = {">": x > t, "<": x < t, ">=": x >= t, "<=": x <= t}[op]
-        return F.coalesce(test, false)
+        t = sql_double(parse_threshold(val, threshold_mode))
+        return f"coalesce({num_sql(c, dtype)} {op} {t}, false)"
     if op in ("in", "not in"):
-        tokens = sorted({norm_value(t) for t in _token_list(val)})
-        member = F.coalesce(norm(c).isin(tokens), false)
-        return member if op == "in" else ~member
+        member = f"coalesce({in_tokens_sql(c, _token_list(val))}, false)"
+        return member if op == "in" else f"(NOT {member})"
     if op == "in_exact":
-        return F.coalesce(c.cast("string").isin(_token_list(val)), false)
+        tokens = _token_list(val)
+        return f"coalesce(CAST({c} AS STRING) IN ({sql_list(tokens)}), false)" if tokens else "false"
     if op == "in_ci":
         tokens = sorted({str(t).lower() for t in _token_list(val)})
-        return F.coalesce(F.lower(c.cast("string")).isin(tokens), false)
+        return f"coalesce(lower(CAST({c} AS STRING)) IN ({sql_list(tokens)}), false)" if tokens else "false"
     if op == "contains_any":
-        low = F.lower(c.cast("string"))
-        tests = [low.contains(str(t).lower()) for t in _token_list(val)]
-        return F.coalesce(any_of(tests), false)
+        tests = [f"contains(lower(CAST({c} AS STRING)), {sql_str(str(t).lower())})" for t in _token_list(val)]
+        return f"coalesce({' OR '.join(tests)}, false)" if tests else "false"
     if strict_ops:
         raise RuleError(f"unknown operator {op!r}")
-    return false
+    return "false"
+
+
+def compile_condition(
+    col_name: str,
+    op: str,
+    val: Any,
+    dtype: T.DataType | None = None,
+    **kw: Any,
+) -> Column:
+    """:func:`condition_sql` as a boolean Column."""
+    return F.expr(condition_sql(col_name, op, val, dtype, **kw))
 
 
 def resolve_column(columns: Sequence[str], name: str | None) -> str | None:
@@ -301,15 +310,15 @@ def _rules_from(rules: Iterable[Rule | Mapping[str, Any]]) -> list[Rule]:
     return out
 
 
-def compile_rule(
+def rule_sql(
     rule: Rule,
     schema: T.StructType,
     *,
     on_missing: str = "error",
     threshold_mode: str = "strict",
     strict_ops: bool = True,
-) -> tuple[Column, Column] | None:
-    """Compile one rule to ``(fail, crit)`` Columns against ``schema``.
+) -> tuple[str, str | None] | None:
+    """SQL text of one rule against ``schema``: ``(fail, severity or None)``.
 
     Returns ``None`` when the rule's failure column is absent (the rule is
     skipped).  An absent scope / nested / severity column raises by default;
@@ -321,7 +330,7 @@ def compile_rule(
     names = [f.name for f in schema.fields]
     types = {f.name: f.dataType for f in schema.fields}
 
-    def cond(col: str | None, op: str | None, val: Any, layer: str) -> Column | None:
+    def cond(col: str | None, op: str | None, val: Any, layer: str) -> str | None:
         actual = resolve_column(names, col)
         if actual is None:
             if on_missing == "ignore_layer":
@@ -329,7 +338,7 @@ def compile_rule(
             if on_missing == "skip_rule":
                 raise _Skip(f"{layer} column {col!r} not found")
             raise RuleError(f"rule {rule.name!r}: {layer} column {col!r} not found")
-        return compile_condition(
+        return condition_sql(
             actual,
             op or "==",
             val,
@@ -343,31 +352,37 @@ def compile_rule(
     if fail_actual is None:
         return None
     try:
-        fail = compile_condition(
-            fail_actual,
-            rule.fail_op,
-            rule.fail_val,
-            types[fail_actual],
-            regex=rule.regex,
-            threshold_mode=threshold_mode,
-            strict_ops=strict_ops,
-        )
+        parts = []
         if rule.use_pre:
-            pre = cond(rule.pre_col, rule.pre_op, rule.pre_val, "scope")
-            if pre is not None:
-                fail = pre & fail
+            parts.append(cond(rule.pre_col, rule.pre_op, rule.pre_val, "scope"))
+        parts.append(
+            condition_sql(
+                fail_actual,
+                rule.fail_op,
+                rule.fail_val,
+                types[fail_actual],
+                regex=rule.regex,
+                threshold_mode=threshold_mode,
+                strict_ops=strict_ops,
+            )
+        )
         if rule.use_nested:
-            nested = cond(rule.nest_col, rule.nest_op, rule.nest_val, "nested")
-            if nested is not None:
-                fail = fail & nested
-        crit = F.lit(False)
-        if rule.use_severe:
-            sev = cond(rule.sev_col, rule.sev_op, rule.sev_val, "severity")
-            if sev is not None:
-                crit = sev
+            parts.append(cond(rule.nest_col, rule.nest_op, rule.nest_val, "nested"))
+        sev = cond(rule.sev_col, rule.sev_op, rule.sev_val, "severity") if rule.use_severe else None
     except _Skip:
         return None
-    return fail, crit
+    fail = " AND ".join(f"({p})" for p in parts if p is not None)
+    return fail, sev
+
+
+def compile_rule(rule: Rule, schema: T.StructType, **kw: Any) -> tuple[Column, Column] | None:
+    """One rule as ``(fail, crit)`` Columns (see :func:`rule_sql`)."""
+    compiled = rule_sql(rule, schema, **kw)
+    if compiled is None:
+        return None
+    fail, sev = compiled
+    crit = f"({fail}) AND ({sev})" if sev is not None else "false"
+    return F.expr(fail), F.expr(crit)
 
 
 class _Skip(Exception):
@@ -394,11 +409,11 @@ def evaluate(
     rule_list = _rules_from(rules)
     applied: list[Rule] = []
     skipped: list[tuple[str, str]] = []
-    flag_exprs: list[Column] = []
-    crit_exprs: list[Column] = []
+    flag_exprs: list[str] = []
+    crit_exprs: list[str] = []
     clash = set(df.columns)
     for r in rule_list:
-        compiled = compile_rule(
+        compiled = rule_sql(
             r, df.schema, on_missing=on_missing, threshold_mode=threshold_mode, strict_ops=strict_ops
         )
         if compiled is None:
@@ -408,17 +423,20 @@ def evaluate(
             raise RuleError(f"rule {r.name!r}: output column already exists in the input")
         fail, sev = compiled
         applied.append(r)
-        flag_exprs.append(fail.alias(r.fail_flag))
-        crit_exprs.append((qcol(r.fail_flag) & sev).alias(r.crit_flag))
+        flag_exprs.append(f"{fail} AS {sql_ident(r.fail_flag)}")
+        crit = f"{sql_ident(r.fail_flag)} AND ({sev})" if sev is not None else "false"
+        crit_exprs.append(f"{crit} AS {sql_ident(r.crit_flag)}")
     if total_col in clash or ok_col in clash:
         raise RuleError(f"input already has {total_col!r} or {ok_col!r}")
-    flagged = df.select("*", *flag_exprs)
-    total = balanced_sum([qcol(r.fail_flag).cast("int") for r in applied]).cast("int")
-    out = flagged.select(
+    # Two projections, each one SQL-parsed select: the flags, then the
+    # severity flags, the failure count and the all-OK flag on top of them.
+    flagged = df.selectExpr("*", *flag_exprs)
+    total = f"CAST({balanced_sql_sum([f'CAST({sql_ident(r.fail_flag)} AS INT)' for r in applied])} AS INT)"
+    out = flagged.selectExpr(
         "*",
         *crit_exprs,
-        total.alias(total_col),
-        (total == 0).alias(ok_col),
+        f"{total} AS {sql_ident(total_col)}",
+        f"({total}) = 0 AS {sql_ident(ok_col)}",
     )
     return Evaluation(
         df=out,
