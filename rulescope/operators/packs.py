@@ -111,9 +111,7 @@ def status_rule(
     return Rule(name=name, fail_col=col, fail_op=op, fail_val=val, reason=reason, **pre)
 
 
-def status_inference(df: DataFrame, col: str, tokens: Sequence[str], mode: str = "exact") -> DataFrame:
-    """Distinct values of ``col`` that count as failures by default
-    (``value``), sorted; one partial-aggregated distinct, no driver loop."""
+def _status_test(col: str, tokens: Sequence[str], mode: str):
     low = F.lower(qcol(col).cast("string"))
     if mode == "exact":
         cond = low.isin([t.lower() for t in tokens])
@@ -123,14 +121,39 @@ def status_inference(df: DataFrame, col: str, tokens: Sequence[str], mode: str =
             cond = cond | low.contains(t.lower())
     else:
         raise ValueError(f"unknown mode {mode!r}")
+    return F.coalesce(cond, F.lit(False))
+
+
+def status_inference(df: DataFrame, col: str, tokens: Sequence[str], mode: str = "exact") -> DataFrame:
+    """Distinct values of ``col`` that count as failures by default
+    (``value``), sorted; one partial-aggregated distinct, no driver loop."""
     return (
-        df.where(F.coalesce(cond, F.lit(False)))
+        df.where(_status_test(col, tokens, mode))
         .select(qcol(col).cast("string").alias("value"))
         .distinct()
         .orderBy("value")
     )
 
 
+def status_inference_many(
+    df: DataFrame, col: str, specs: dict[str, tuple[Sequence[str], str]]
+) -> DataFrame:
+    """Several inferences at once (``label -> (tokens, mode)``) in one scan:
+    ``label``, ``value`` rows, sorted."""
+    value = qcol(col).cast("string")
+    rows = [
+        F.struct(F.lit(label).alias("label"), value.alias("value"), _status_test(col, toks, mode).alias("keep"))
+        for label, (toks, mode) in specs.items()
+    ]
+    return (
+        df.select(F.inline(F.array(*rows)))
+        .where("keep")
+        .select("label", "value")
+        .distinct()
+        .orderBy("label", "value")
+    )
+
+
 def _fmt(t: float) -> str:
     return str(float(t))
 

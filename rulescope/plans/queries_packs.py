@@ -264,11 +264,11 @@ WHERE lower("DG Automation Status") IN ('failed', 'not reachable', 'timeout', 'n
 def status_inference(spark, sf_dir):
     """Default failure statuses inferred from a status column, both ways."""
     df = sites_v5(spark, sf_dir)
-    sub = P.status_inference(df, "DG Automation Status", P.DG_FAIL_SUBSTRINGS, "substring")
-    exact = P.status_inference(df, "DG Automation Status", P.DG_FAIL_STATUSES, "exact")
-    return sub.select(F.lit("substring").alias("mode"), "value").unionByName(
-        exact.select(F.lit("exact").alias("mode"), "value")
-    )
+    specs = {
+        "substring": (P.DG_FAIL_SUBSTRINGS, "substring"),
+        "exact": (P.DG_FAIL_STATUSES, "exact"),
+    }
+    return P.status_inference_many(df, "DG Automation Status", specs).withColumnRenamed("label", "mode")
 
 
 # --------------------------------------------------------------------------

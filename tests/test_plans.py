@@ -134,3 +134,21 @@ def test_materialized_copy_takes_pushed_filters(spark, tmp_dir):
     assert "GreaterThanOrEqual(_TOTAL_FAILS,2)" in re.search(r"PushedFilters: \[(.*)\]", p).group(1)
     direct = V.actionable(ev_orders(spark, SF_SMALL), "severe", severe_at=2).clean()
     assert sorted(view.collect()) == sorted(direct.collect())
+
+
+def test_semi_join_beyond_bound_is_shuffled(spark, monkeypatch):
+    from rulescope.operators import views as V
+    from rulescope.plans.queries import ev_orders
+
+    ev = ev_orders(spark, SF_SMALL)
+    detail = V.failure_long(ev, ["o_orderkey", "o_custkey"])
+    small = V.restrict_to_top(detail, ev, "o_custkey", 10)
+    monkeypatch.setattr(V, "BROADCAST_KEYS_MAX", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = V.restrict_to_top(detail, ev, "o_custkey", 10)
+        p = initial_plan(big)
+        assert "BroadcastExchange" not in p and "LeftSemi" in p
+        assert sorted(big.collect()) == sorted(small.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
