@@ -149,8 +149,10 @@ def month_pivot(
     ``periods`` selects the kept periods (default: all present).  Each cell
     is the *max* of the coerced metric over the rows of that (ids, period):
     deterministic even when (ids, period) repeats.  ``groupBy(ids).pivot``
-    with explicit values: one exchange on ``ids``, partial aggregation, no
-    extra distinct job.
+    with explicit values: Spark aggregates by (ids, period) and then by ids,
+    two exchanges, each after a map-side partial aggregate.  Without
+    ``periods`` one small distinct job over the period columns finds them
+    first (pass the store catalogue's months to skip it).
     """
     plist = list(periods) if periods is not None else periods_of(df, year_col, month_col)
     present = [m for m in metrics if m in df.columns]
