@@ -193,8 +193,9 @@ def _materialize(spark, df):
 FROM orders""",
 )
 def stack_months(spark, sf_dir):
-    """Months chosen from the store (here: all of them) stacked in one pruned
-    scan, each row tagged with its month name and year."""
+    """Months chosen from the store (here: all of them) stacked in one scan
+    of the store with a partition filter on the chosen months, each row
+    tagged with its month name and year."""
     store = _store_with_orders(spark, sf_dir)
     periods = [(r["year"], r["month"]) for r in store.list_months().collect()]
     return store.load_months(periods).select(*_ORD.split(", "), "Source_Month", "Source_Year")
