@@ -33,8 +33,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     a cluster session without one is an error, never a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    if root:
+        _ensure_context_dir(spark, root)
+        return root
+    root = spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
@@ -45,11 +47,20 @@ def checkpoint_root(spark: SparkSession) -> str:
         # spark.checkpoint.dir cannot change at run time; the context's
         # checkpoint folder is the second place this function looks.
         spark.sparkContext.setCheckpointDir(root)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def _ensure_context_dir(spark: SparkSession, root: str) -> None:
+    """Register the configured folder with the context too (classic
+    sessions; a remote session has no context to register it with)."""
+    try:
+        ctx = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session
+        return
+    if ctx.getCheckpointDir() is None:
+        ctx.setCheckpointDir(root)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unique sub-path of the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
