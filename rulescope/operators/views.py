@@ -340,10 +340,11 @@ def actionable(
     (>= ``severe_at`` failures), ``kpi`` (failing ``rule``) or ``kpi_severe``
     (failing ``rule`` and severe).
 
-    Catalyst pushes such a row filter below the rule projection, so the
-    rules it references are evaluated once in the filter and again for the
-    surviving rows.  For one export that is cheaper than writing a copy; a
-    job that derives several exports should start from :func:`materialized`.
+    For a clean export (``.clean()``) Catalyst prunes the flag projection
+    and the rules run once, inside the pushed-down filter.  An output that
+    also keeps generated columns evaluates the rules the filter references
+    twice (in the filter, then for the surviving rows); a job deriving
+    several such outputs should start from :func:`materialized`.
     """
     conds = {
         "all": None,

@@ -152,3 +152,10 @@ def test_semi_join_beyond_bound_is_shuffled(spark, monkeypatch):
         assert sorted(big.collect()) == sorted(small.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_clean_export_evaluates_rules_once(built):
+    # generated columns are pruned: the plan is a filter on the scan
+    p = initial_plan(built["actionable_export"])
+    assert "Project" not in p.split("FileScan")[0].replace("ColumnarToRow", "")
+    assert len(FILTER_NODE.findall(p)) == 1
