@@ -22,15 +22,18 @@ def export_kpi(
     *,
     severe_at: int = 3,
     single_file: bool = False,
+    materialize: bool = True,
 ) -> dict[str, str]:
     """Write ``<rule>_actionable`` (all sites failing ``rule``) and
     ``<rule>_SEVERE`` (those with at least ``severe_at`` failures in total)
     as CSV folders under ``folder``, without the generated columns.
 
     Returns the written paths by export name; an export with no rows is
-    still written (header only), so readers need no special case.
+    still written (header only), so readers need no special case.  Pass
+    ``materialize=False`` when ``ev`` already reads a written copy.
     """
-    copy = V.materialized(ev.where(ev.fail(rule)))
+    failing = ev.where(ev.fail(rule))
+    copy = V.materialized(failing) if materialize else failing
     base = folder.rstrip("/")
     safe = "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in rule)
     paths = {

@@ -150,3 +150,25 @@ def test_store_salted_bulk_save(spark, ev, tmp_path):
     files = [f for _, _, fs in os.walk(str(tmp_path / "store")) for f in fs if f.endswith(".parquet")]
     assert len(files) <= 3 * 2
     assert [r.rows for r in store.list_months().collect()] == [13, 14, 13]
+
+
+def test_report_job_writes_every_output(spark, site_csv, tmp_path):
+    import json
+
+    from rulescope.report import load_table, run_report
+
+    rules = [dict(r, make_dash=(r["name"] == "Low BB")) for r in P.DEFAULT_PACK]
+    rules_path = str(tmp_path / "rules.json")
+    with open(rules_path, "w") as f:
+        json.dump(rules, f)
+    written = run_report(spark, load_table(spark, site_csv), rules_path, str(tmp_path / "report"))
+    assert {"summary", "kpi_totals", "matrix", "distribution_Cluster", "distribution_Site-_Principal_Owner",
+            "export_Low_BB_actionable", "export_Low_BB_severe"} <= set(written)
+    summary = spark.read.parquet(written["summary"]).first()
+    assert summary["total_sites"] == 40
+    want_low = sum(_expected_flags(r)[0]["Low BB"] for r in _rows())
+    assert FL.read_csv(spark, written["export_Low_BB_actionable"]).count() == want_low
+    totals = {r["failure_type"]: r["fail_count"] for r in spark.read.parquet(written["kpi_totals"]).collect()}
+    assert totals["Low BB"] == want_low
+    keys = spark.read.parquet(written["matrix"]).columns[:3]
+    assert keys == ["Macro/ULS", "DG/Non-DG", "Site- Principal Owner"]
