@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rulescope.operators import trends as TR
 from rulescope.operators.rules import evaluate
 from rulescope.plans.oracle import d_num_text
-from rulescope.plans.queries import EV_ORDERS, Q_CRITS, Q_FAILS, pack_q, register, table
+from rulescope.plans.queries import EV_ORDERS, ORACLE, Q_CRITS, Q_FAILS, pack_q, register, table
 from rulescope.session import shared_path
 from rulescope.sources import files as FL
 from rulescope.sources import headers as H
@@ -294,3 +294,22 @@ def kpi_exports(spark, sf_dir):
     paths = export_kpi(ev_orders(spark, sf_dir), "low_prio", shared_path(spark, "exports"))
     parts = [FL.read_csv(spark, p).select("o_orderkey", F.lit(name).alias("export")) for name, p in paths.items()]
     return parts[0].unionByName(parts[1])
+
+
+@register("report_job", ORACLE["matrix_two_key"])
+def report_job(spark, sf_dir):
+    """The batch report (rule file -> evaluated copy -> every view and the
+    exports of rules flagged for a deep dive), read back: its matrix."""
+    from rulescope.report import run_report
+
+    rules_path = shared_path(spark, "report-rules")
+    write_rules(spark, pack_q(), rules_path)
+    written = run_report(
+        spark,
+        table(spark, sf_dir, "orders"),
+        rules_path,
+        shared_path(spark, "report"),
+        matrix_keys=["o_orderstatus", "o_orderpriority"],
+        dims=["o_orderpriority"],
+    )
+    return spark.read.parquet(written["matrix"])
