@@ -180,3 +180,22 @@ def test_properties_on_orders(spark):
     a = evaluate(orders.where(F.col("o_orderstatus") == "F"), pack_q()).df.where("_IS_OK").count()
     b = ev.df.where((F.col("o_orderstatus") == "F") & ev.ok).count()
     assert a == b
+
+
+def test_rule_text_cannot_escape_into_sql(spark):
+    nasty = "x') OR true OR ('"
+    df = spark.createDataFrame([(1, nasty), (2, "y"), (3, "a\\b"), (4, "it's")], "id int, `we``ird` string")
+    rules = [
+        Rule(name="eq", fail_col="we`ird", fail_op="==", fail_val=nasty),
+        Rule(name="bs", fail_col="we`ird", fail_op="Contains", fail_val="a\\b"),
+        Rule(name="q", fail_col="we`ird", fail_op="in", fail_val=["it's"]),
+        Rule(name="n`a'me -- x", fail_col="we`ird", fail_op="!=", fail_val="y"),
+    ]
+    ev = evaluate(df, rules)
+    rows = {r["id"]: tuple(r[c] for c in ev.fail_cols) for r in ev.df.collect()}
+    assert rows == {
+        1: (True, False, False, True),
+        2: (False, False, False, False),
+        3: (False, True, False, True),
+        4: (False, False, True, True),
+    }
