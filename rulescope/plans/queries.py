@@ -16,7 +16,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulescope.functions.columns import qcol
 from rulescope.operators import views as V
 from rulescope.operators.rules import Evaluation, Rule, evaluate
 from rulescope.plans.oracle import (
