@@ -201,6 +201,23 @@ MATRIX_NAMES = {
     "deficient_pct": "deficient_pct",
 }
 
+# The display column names of the two dashboard matrices
+# (the two-key matrix and the hierarchical matrix).
+MATRIX_NAMES_TWO_KEY = {
+    "total": "Total Sites",
+    "ok": "Sites with no infra issue",
+    "ok_pct": "%age OK",
+    "deficient": "Sites having infra deficiency",
+    "deficient_pct": "%age Deficient",
+}
+MATRIX_NAMES_HIERARCHY = {
+    "total": "Total Sites",
+    "ok": "Sites with no infra issue",
+    "ok_pct": "% OK",
+    "deficient": "Sites with Deficiencies",
+    "deficient_pct": "% Deficient",
+}
+
 
 def matrix(
     ev: Evaluation,

@@ -406,17 +406,7 @@ def matrix_hierarchy(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     ev = evaluate(li, pack_lineitem())
     keys = V.hierarchy_keys(li.columns, ["l_returnflag", "l_shipmode", "l_linestatus"])
-    return V.matrix(
-        ev,
-        keys,
-        names={
-            "total": "Total Sites",
-            "ok": "Sites with no infra issue",
-            "ok_pct": "% OK",
-            "deficient": "Sites with Deficiencies",
-            "deficient_pct": "% Deficient",
-        },
-    )
+    return V.matrix(ev, keys, names=V.MATRIX_NAMES_HIERARCHY)
 
 
 # --------------------------------------------------------------------------
