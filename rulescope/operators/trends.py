@@ -152,7 +152,8 @@ def month_pivot(
     with explicit values: Spark aggregates by (ids, period) and then by ids,
     two exchanges, each after a map-side partial aggregate.  Without
     ``periods`` one small distinct job over the period columns finds them
-    first (pass the store catalogue's months to skip it).
+    first (pass ``TrendStore.period_labels()``, read from the partition
+    folder names, to skip it).
     """
     plist = list(periods) if periods is not None else periods_of(df, year_col, month_col)
     present = [m for m in metrics if m in df.columns]

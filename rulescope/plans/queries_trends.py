@@ -197,8 +197,7 @@ def stack_months(spark, sf_dir):
     of the store with a partition filter on the chosen months, each row
     tagged with its month name and year."""
     store = _store_with_orders(spark, sf_dir)
-    periods = [(r["year"], r["month"]) for r in store.list_months().collect()]
-    return store.load_months(periods).select(*_ORD.split(", "), "Source_Month", "Source_Year")
+    return store.load_months(store.months()).select(*_ORD.split(", "), "Source_Month", "Source_Year")
 
 
 @register(

@@ -9,12 +9,17 @@ system the cluster uses.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulescope.operators.trends import MONTH_COL, YEAR_COL, catalogue, month_name, tag_period
 
 
+_PARTITION = re.compile(rf"/{YEAR_COL}=(\d+)/{MONTH_COL}=(\d+)/")
+
+
 class TrendStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -92,6 +97,20 @@ class TrendStore:
             }
         )
 
+    def months(self) -> list[tuple[int, int]]:
+        """(year, month) pairs present, read from the partition folder names
+        of the file listing; no data file is opened."""
+        found = set()
+        for path in self.load_all().inputFiles():
+            m = _PARTITION.search(path)
+            if m:
+                found.add((int(m.group(1)), int(m.group(2))))
+        return sorted(found)
+
+    def period_labels(self) -> list[str]:
+        """``yyyy-MM`` labels of :meth:`months` (for ``trends.month_pivot``)."""
+        return [f"{y:04d}-{m:02d}" for y, m in self.months()]
+
     def list_months(self) -> DataFrame:
         """Catalogue: year, month, month_name, rows; chronological."""
         return catalogue(self.load_all())

@@ -92,6 +92,7 @@ def test_store_save_replace_delete(spark, tmp_dir):
     store.save_month(a.where("site = 's1'"), 2024, 2)  # replace February only
     cat = [(r.year, r.month, r.rows) for r in store.list_months().collect()]
     assert cat == [(2024, 1, 2), (2024, 2, 1)]
+    assert store.months() == [(2024, 1), (2024, 2)] and store.period_labels() == ["2024-01", "2024-02"]
     assert store.delete_month(2024, 1) is True and store.delete_month(2024, 1) is False
     assert store.load_all().count() == 1
     labelled = store.load_months([(2024, 2)]).first()
