@@ -8,7 +8,7 @@ ordinary DataFrame plans.
 """
 
 from rulescope.functions.columns import norm, num, pct, pct_text, qcol
-from rulescope.operators.rules import Evaluation, Rule, compile_condition, compile_rule, evaluate
+from rulescope.operators.rules import Evaluation, Rule, compile_condition, compile_rule, evaluate, validate_rules
 
 __all__ = [
     "Evaluation",
@@ -21,4 +21,5 @@ __all__ = [
     "pct",
     "pct_text",
     "qcol",
+    "validate_rules",
 ]

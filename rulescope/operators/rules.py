@@ -375,6 +375,37 @@ def rule_sql(
     return fail, sev
 
 
+def validate_rules(
+    rules: Iterable[Rule | Mapping[str, Any]],
+    schema: T.StructType,
+    *,
+    threshold_mode: str = "strict",
+) -> list[str]:
+    """Every problem of a rule set against ``schema``, as messages (empty
+    when the set compiles): unreadable records, duplicate names, unknown
+    operators, non-numeric thresholds and missing columns.  Driver-only; no
+    data is read."""
+    problems: list[str] = []
+    seen: set[str] = set()
+    for i, raw in enumerate(rules):
+        try:
+            r = raw if isinstance(raw, Rule) else Rule.from_dict(raw)
+        except (RuleError, TypeError) as e:
+            problems.append(f"rule #{i + 1}: {e}")
+            continue
+        if r.name in seen:
+            problems.append(f"rule {r.name!r}: duplicate name")
+        seen.add(r.name)
+        if resolve_column([f.name for f in schema.fields], r.fail_col) is None:
+            problems.append(f"rule {r.name!r}: failure column {r.fail_col!r} not found")
+            continue
+        try:
+            rule_sql(r, schema, on_missing="error", threshold_mode=threshold_mode)
+        except RuleError as e:
+            problems.append(f"rule {r.name!r}: {e}" if not str(e).startswith("rule ") else str(e))
+    return problems
+
+
 def compile_rule(rule: Rule, schema: T.StructType, **kw: Any) -> tuple[Column, Column] | None:
     """One rule as ``(fail, crit)`` Columns (see :func:`rule_sql`)."""
     compiled = rule_sql(rule, schema, **kw)

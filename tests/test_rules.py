@@ -199,3 +199,23 @@ def test_rule_text_cannot_escape_into_sql(spark):
         3: (False, True, False, True),
         4: (False, False, True, True),
     }
+
+
+def test_validate_rules_reports_every_problem(spark):
+    from rulescope.operators.rules import validate_rules
+
+    schema = _df4(spark).schema
+    bad = [
+        {"name": "a", "fail_col": "bb", "fail_op": "<", "fail_val": "4h"},
+        {"name": "a", "fail_col": "bb", "fail_op": "~", "fail_val": "1"},
+        {"name": "c", "fail_col": "nope", "fail_op": "==", "fail_val": "x"},
+        {"name": "d", "use_pre": True, "pre_col": "gone", "pre_val": "x", "fail_col": "auto", "fail_val": "No"},
+        {"fail_col": "bb"},
+        {"name": "ok", "fail_col": "BB", "fail_op": ">=", "fail_val": "2"},
+    ]
+    problems = validate_rules(bad, schema)
+    assert len(problems) == 6
+    assert any("not a number" in p for p in problems) and any("duplicate" in p for p in problems)
+    assert any("unknown operator" in p for p in problems) and any("'nope'" in p for p in problems)
+    assert any("'gone'" in p for p in problems) and any("rule #5" in p for p in problems)
+    assert validate_rules(bad[-1:], schema) == []
