@@ -4,11 +4,13 @@ A rule says: *within a scope* (optional pre-condition), a row **fails** when
 its failure condition holds *and* an optional nested condition holds; a
 failing row is **critical** when an optional severity condition also holds.
 
-Every condition compiles to a boolean Spark ``Column``.  ``evaluate`` puts
-all flags of a rule set into one projection over the input, adds the per-row
-failure count and the all-OK flag, and returns the (lazy) DataFrame together
-with the names it generated.  No UDF, no action: Catalyst prunes the flags a
-view does not use and pushes filters on input columns into the scan.
+Every condition compiles to Spark SQL text (names and values escaped, so a
+rule file cannot inject SQL); ``evaluate`` puts all flags of a rule set into
+one ``selectExpr`` over the input, adds the severity flags, the per-row
+failure count and the all-OK flag in a second one, and returns the (lazy)
+DataFrame together with the names it generated.  No UDF, no action:
+Catalyst prunes the flags a view does not use and pushes filters on input
+columns into the scan.
 """
 
 from __future__ import annotations
