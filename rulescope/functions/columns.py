@@ -1,7 +1,9 @@
 """Column helpers shared by every rule and view.
 
-Everything here returns a Spark ``Column`` built from built-in functions, so
-it stays inside whole-stage codegen; nothing runs in Python per row.
+Everything here is built from Spark's built-in functions, either as a
+``Column`` or as Spark SQL text (``*_sql`` builders, used by the rule
+compiler), so it stays inside whole-stage codegen; nothing runs in Python
+per row.
 
 The text/number semantics follow the behaviour the rule engines were written
 against (pandas ``str.lower().str.strip()`` and ``to_numeric(errors=
