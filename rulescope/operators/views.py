@@ -316,6 +316,13 @@ def distribution_by_dim(ev: Evaluation, dim: str, top_n: int | None = None) -> D
     )
     if top_n is not None:
         wide = top_groups(wide, dim, "total_errors", top_n)
+    if not ev.rules:  # nothing applied: the usual columns, no rows
+        return wide.select(
+            qcol(dim),
+            "total_errors",
+            F.lit(None).cast("string").alias("failure_type"),
+            F.lit(None).cast("bigint").alias("failures"),
+        ).where(F.lit(False))
     structs = [
         F.struct(F.lit(r.name).alias("failure_type"), F.col(f"__r{i}").alias("failures"))
         for i, r in enumerate(ev.rules)

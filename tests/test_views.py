@@ -147,3 +147,16 @@ def test_default_pack_resolves_misspelt_scope(spark):
     df = spark.createDataFrame([("Non-DG", "No", "No", "No", "No", "OK", "OK", "No")], cols)
     ev = evaluate(df, P.default_pack())
     assert len(ev.names) == 7 and ev.df.first()["_IS_OK"] is True
+
+
+def test_views_with_no_applied_rule(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "g string, d double")
+    ev = evaluate(df, [Rule(name="x", fail_col="missing", fail_op="==", fail_val="1")])
+    assert ev.names == [] and ev.skipped
+    assert V.health_summary(ev).first()["ok_sites"] == 2
+    assert V.kpi_totals(ev).count() == 0 and V.failure_long(ev, "g").count() == 0
+    for top in (None, 1):
+        d = V.distribution_by_dim(ev, "g", top_n=top)
+        assert d.count() == 0 and d.columns == ["g", "total_errors", "failure_type", "failures"]
+    assert {r["Failure_Reasons"] for r in P.with_reasons(ev).collect()} == {"100% OK"}
+    assert P.reason_distribution(ev).count() == 0
