@@ -140,6 +140,8 @@ def status_inference_many(
 ) -> DataFrame:
     """Several inferences at once (``label -> (tokens, mode)``) in one scan:
     ``label``, ``value`` rows, sorted."""
+    if not specs:
+        return df.sparkSession.createDataFrame([], "label string, value string")
     value = qcol(col).cast("string")
     rows = [
         F.struct(F.lit(label).alias("label"), value.alias("value"), _status_test(col, toks, mode).alias("keep"))

@@ -192,6 +192,12 @@ def report_header(
     per (metric, period) with the metric label (underscores as spaces), the
     metric family (text before the first underscore), the short month name
     and the pivot column name."""
+    if not metrics:
+        return df.sparkSession.createDataFrame(
+            [],
+            "metric_no int, metric string, metric_label string, metric_family string, "
+            "period string, month_short string, column string",
+        )
     structs = [
         F.struct(
             F.lit(i + 1).alias("metric_no"),

@@ -490,6 +490,8 @@ def facets_cascade(
     = no selection).  Output: ``level`` (1-based), ``facet``, ``value``
     (text; NULL shown as ``unknown_label`` when given), sorted.
     """
+    if not levels:
+        return df.sparkSession.createDataFrame([], "level int, facet string, value string")
     selections = dict(selections or {})
     prefix: list[Column] = []
     structs = []

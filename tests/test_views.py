@@ -160,3 +160,13 @@ def test_views_with_no_applied_rule(spark):
         assert d.count() == 0 and d.columns == ["g", "total_errors", "failure_type", "failures"]
     assert {r["Failure_Reasons"] for r in P.with_reasons(ev).collect()} == {"100% OK"}
     assert P.reason_distribution(ev).count() == 0
+
+
+def test_empty_level_and_metric_lists(spark):
+    from rulescope.operators import trends as TR
+
+    df = spark.createDataFrame([("a", 2024, 1)], "g string, source_year int, source_month int")
+    assert V.facets_cascade(df, []).count() == 0
+    assert TR.report_header(df, []).count() == 0
+    assert P.status_inference_many(df, "g", {}).count() == 0
+    assert TR.month_pivot(df.where("false"), ["g"], ["EB_Run_Avg"]).columns == ["g"]
