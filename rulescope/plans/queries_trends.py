@@ -312,3 +312,22 @@ def report_job(spark, sf_dir):
         dims=["o_orderpriority"],
     )
     return spark.read.parquet(written["matrix"])
+
+
+@register(
+    "header_clean",
+    """SELECT n_nationkey AS "Nation Key", n_name AS "Name", n_name AS "name__1",
+  n_regionkey AS "Region Key (N+1)" FROM nation""",
+)
+def header_clean(spark, sf_dir):
+    """Header names with line breaks, runs of whitespace and a duplicate that
+    differs only in case: normalised and made unique (a rename, no data
+    work)."""
+    n = table(spark, sf_dir, "nation")
+    messy = n.select(
+        F.col("n_nationkey").alias("Nation\nKey"),
+        F.col("n_name").alias("  Name "),
+        F.col("n_name").alias("name"),
+        F.col("n_regionkey").alias("Region\t\tKey\n(N+1)"),
+    )
+    return H.clean_headers(messy)
