@@ -156,6 +156,7 @@ WITH {EV_ORDERS}
 SELECT o_orderkey, {', '.join(Q_FAILS)}, {', '.join(Q_CRITS)}, _TOTAL_FAILS, _IS_OK FROM ev""",
 )
 def rule_eval_four_layer(spark, sf_dir):
+    """All four layers: scope, failure, nested condition and severity."""
     ev = ev_orders(spark, sf_dir)
     return ev.df.select("o_orderkey", *ev.fail_cols, *ev.crit_cols, ev.total_col, ev.ok_col)
 
@@ -199,6 +200,7 @@ def rule_op_ne_null(spark, sf_dir):
     f"SELECT o_orderkey, {d_contains('prio', 'NOT SPEC')} AS FAIL_has FROM {NULLED}",
 )
 def rule_op_contains_literal(spark, sf_dir):
+    """``Contains`` as a literal, case-insensitive substring; NULL is false."""
     return _single_rule(_nulled(spark, sf_dir), "has", "prio", "Contains", "NOT SPEC")
 
 
@@ -258,6 +260,7 @@ SELECT total_sites, ok_sites, deficient_sites, severe_sites,
 FROM c""",
 )
 def health_summary(spark, sf_dir):
+    """Total, OK, deficient and severely degraded counts with percentages."""
     return V.health_summary(ev_orders(spark, sf_dir), severe_at=3)
 
 
@@ -271,6 +274,7 @@ def health_summary(spark, sf_dir):
     ),
 )
 def kpi_totals(spark, sf_dir):
+    """Failures and critical failures per rule, in rule order."""
     return V.kpi_totals(ev_orders(spark, sf_dir))
 
 
@@ -281,6 +285,7 @@ SELECT o_orderpriority, count(*)::BIGINT AS deficient_sites FROM ev
 WHERE NOT _IS_OK AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority""",
 )
 def deficient_by_cluster(spark, sf_dir):
+    """Deficient orders per priority (NULL keys dropped)."""
     return V.deficient_by(ev_orders(spark, sf_dir), "o_orderpriority")
 
 
@@ -291,6 +296,7 @@ SELECT o_orderstatus, count(*)::BIGINT AS deficient_sites FROM ev
 WHERE NOT _IS_OK AND o_orderstatus IS NOT NULL GROUP BY o_orderstatus""",
 )
 def deficient_by_owner(spark, sf_dir):
+    """Deficient orders per status (NULL keys dropped)."""
     return V.deficient_by(ev_orders(spark, sf_dir), "o_orderstatus")
 
 
@@ -301,6 +307,7 @@ SELECT o_orderpriority, count(*)::BIGINT AS fail_count FROM ev
 WHERE FAIL_closed_mid AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority""",
 )
 def kpi_by_cluster(spark, sf_dir):
+    """Orders failing one rule per priority."""
     return V.kpi_by(ev_orders(spark, sf_dir), "closed_mid", "o_orderpriority")
 
 
@@ -311,6 +318,7 @@ SELECT _TOTAL_FAILS AS fail_count, count(*)::BIGINT AS sites FROM ev
 WHERE FAIL_low_value GROUP BY _TOTAL_FAILS""",
 )
 def fail_count_hist(spark, sf_dir):
+    """Orders per total failure count among the orders failing one rule."""
     return V.fail_count_hist(ev_orders(spark, sf_dir), "low_value")
 
 
@@ -320,6 +328,7 @@ def fail_count_hist(spark, sf_dir):
 SELECT count(DISTINCT o_custkey)::BIGINT AS impacted FROM ev WHERE FAIL_urgent_f""",
 )
 def clusters_impacted(spark, sf_dir):
+    """Distinct customers among orders failing the scoped urgent rule (exact count)."""
     return V.clusters_impacted(ev_orders(spark, sf_dir), "urgent_f", "o_custkey")
 
 
@@ -332,6 +341,7 @@ SELECT count_if(FAIL_urgent_f)::BIGINT AS failed_sites,
 FROM ev""",
 )
 def deep_dive_card(spark, sf_dir):
+    """KPI card of one rule: failing, critical and severely degraded (>= 3 failures) orders."""
     return V.deep_dive_card(ev_orders(spark, sf_dir), "urgent_f", severe_at=3)
 
 
@@ -342,6 +352,7 @@ SELECT o_custkey, count(*)::BIGINT AS fail_count FROM ev WHERE FAIL_low_value
 GROUP BY o_custkey ORDER BY fail_count DESC, o_custkey ASC LIMIT 10""",
 )
 def deep_dive_topk(spark, sf_dir):
+    """Top 10 customers by orders failing one rule, ties by key."""
     return V.deep_dive_topk(ev_orders(spark, sf_dir), "low_value", "o_custkey", n=10)
 
 
@@ -362,6 +373,7 @@ SELECT o_orderstatus, o_orderpriority, t AS total_sites, k AS ok_sites,
 FROM g""",
 )
 def matrix_two_key(spark, sf_dir):
+    """Deficiency matrix by status and priority: totals, percentages, per-rule counts."""
     return V.matrix(ev_orders(spark, sf_dir), ["o_orderstatus", "o_orderpriority"])
 
 
@@ -422,6 +434,7 @@ def matrix_hierarchy(spark, sf_dir):
     ),
 )
 def failure_long(spark, sf_dir):
+    """One row per failing (order, rule)."""
     return V.failure_long(ev_orders(spark, sf_dir), ["o_orderkey", "o_orderpriority"])
 
 
@@ -438,6 +451,7 @@ _DIST_LONG = " UNION ALL ".join(
 
 @register("distribution_by_dim", f"{_DIST_BASE}, w2 AS (SELECT * FROM w) {_DIST_LONG}")
 def distribution_by_dim(spark, sf_dir):
+    """Failures per (customer, rule) for every customer with a failure."""
     return V.distribution_by_dim(ev_orders(spark, sf_dir), "o_custkey", top_n=None)
 
 
@@ -449,6 +463,7 @@ def distribution_by_dim(spark, sf_dir):
 {_DIST_LONG}""",
 )
 def distribution_topn(spark, sf_dir):
+    """Failures per (customer, rule) for the 10 customers with the most failures."""
     return V.distribution_by_dim(ev_orders(spark, sf_dir), "o_custkey", top_n=10)
 
 
@@ -478,6 +493,7 @@ SELECT o_custkey, sum(_TOTAL_FAILS)::BIGINT AS total_errors FROM ev
 GROUP BY o_custkey HAVING sum(_TOTAL_FAILS) > 0""",
 )
 def errors_by_entity(spark, sf_dir):
+    """Total failures per customer (customers without a failure left out)."""
     return V.errors_by(ev_orders(spark, sf_dir), "o_custkey")
 
 
@@ -495,6 +511,7 @@ SELECT {_ORDERS_COLS}, _TOTAL_FAILS AS fail_count FROM ev WHERE NOT _IS_OK
 ORDER BY _TOTAL_FAILS DESC, o_orderkey ASC LIMIT 20""",
 )
 def worst_sites(spark, sf_dir):
+    """The 20 worst deficient orders (most failures first, ties by key)."""
     return V.worst_sites(ev_orders(spark, sf_dir), "o_orderkey", n=20)
 
 
@@ -556,6 +573,7 @@ SELECT DISTINCT 3, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
 WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'""",
 )
 def facets_cascade(spark, sf_dir):
+    """Options of three cascading facet levels under two selections, in one scan."""
     return V.facets_cascade(
         table(spark, sf_dir, "orders"),
         ["o_orderstatus", "o_orderpriority", "o_custkey"],

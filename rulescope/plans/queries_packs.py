@@ -156,6 +156,7 @@ _V1_FLAGS = {
 SELECT *, {d_int_sum(list(_V1_FLAGS))} AS _TOTAL_FAILS, {d_int_sum(list(_V1_FLAGS))} = 0 AS _IS_OK FROM f""",
 )
 def fixed_kpi_pack(spark, sf_dir):
+    """The fixed four-KPI pack with its per-KPI missing-value policy."""
     df = sites_v1(spark, sf_dir)
     rules = P.fixed_kpi_pack(
         "Battery Backup (Hrs)", "DG Automation Status", "SNMP Communicated", "RM Count (N+1)"
@@ -237,6 +238,7 @@ SELECT "SITE ID", _TOTAL_FAILS,
 FROM ev5""",
 )
 def failure_reasons(spark, sf_dir):
+    """Failure reasons per site with the scoped pack ('100% OK' when none)."""
     ev = ev_v5(spark, sf_dir)
     return P.with_reasons(ev, empty_label=P.NO_REASON_V5).select("`SITE ID`", ev.total_col, "Failure_Reasons")
 
@@ -250,6 +252,7 @@ def failure_reasons(spark, sf_dir):
     ),
 )
 def reason_distribution(spark, sf_dir):
+    """Deficient sites per failure reason."""
     return P.reason_distribution(ev_v5(spark, sf_dir))
 
 

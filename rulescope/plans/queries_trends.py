@@ -72,6 +72,7 @@ def monthly_means(spark, sf_dir):
   round(avg({_SOLAR}), 4) AS "Solar Avg (h)" FROM {TREND_SQL}""",
 )
 def period_means(spark, sf_dir):
+    """Single-period means of the EB, DG and Solar run hours."""
     return _r4(TR.period_means(trend_rows(spark, sf_dir)), _MEAN_COLS)
 
 
@@ -100,6 +101,7 @@ SELECT metric_no, metric, replace(metric, '_', ' ') AS metric_label, split_part(
 FROM p, m""",
 )
 def report_header(spark, sf_dir):
+    """Two-level report header: one row per (metric, month present)."""
     return TR.report_header(trend_rows(spark, sf_dir))
 
 
@@ -110,6 +112,7 @@ def report_header(spark, sf_dir):
 FROM {TREND_SQL} GROUP BY source_year, source_month""",
 )
 def dataset_catalogue(spark, sf_dir):
+    """Rows per (year, month) of the trend rows with the month name, chronological."""
     return TR.catalogue(trend_rows(spark, sf_dir))
 
 
@@ -206,6 +209,7 @@ def stack_months(spark, sf_dir):
   monthname(o_orderdate) AS month_name, count(*)::BIGINT AS rows FROM orders GROUP BY ALL""",
 )
 def store_catalogue(spark, sf_dir):
+    """Catalogue of a store written from orders: rows per month, chronological."""
     return _store_with_orders(spark, sf_dir).list_months()
 
 
