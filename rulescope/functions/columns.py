@@ -144,6 +144,45 @@ def in_tokens_sql(expr: str, tokens: Iterable[str]) -> str:
     return f"({norm_sql(expr)} IN ({sql_list(values)}))" if values else "false"
 
 
+def pct_sql(n: str, total: str) -> str:
+    """``n / total * 100`` as DOUBLE with a zero guard (same IEEE steps as
+    :func:`pct`)."""
+    return (
+        f"(CASE WHEN {total} > 0 THEN CAST({n} AS DOUBLE) / CAST({total} AS DOUBLE) * 100.0D "
+        f"ELSE 0.0D END)"
+    )
+
+
+_P30 = 1 << 30
+_P59 = 1 << 59
+_P60 = 1 << 60
+
+
+def fixed1_sql(expr: str) -> str:
+    """Python's ``f"{x:.1f}"`` for a non-negative DOUBLE: the *binary* value
+    is rounded to one decimal, half to even only on exact ties (so 0.05,
+    stored a little above 0.05, gives ``0.1``; Spark's ``bround`` works on
+    the shortest decimal form and gives ``0.0``).
+
+    Exact integer arithmetic: x * 2^60 is split into two exact halves and
+    rebuilt as DECIMAL(38,0); the digit and the remainder against the tie are
+    then compared without rounding.  Values below 2^-8 round to 0.0 anyway.
+    """
+    d = f"CAST({expr} AS DOUBLE)"
+    hi = f"floor({d} * {_P30}.0D)"
+    lo = f"CAST(({d} * {_P30}.0D - {hi}) * {_P30}.0D AS BIGINT)"
+    n10 = f"((CAST({hi} AS DECIMAL(38,0)) * {_P30} + CAST({lo} AS DECIMAL(38,0))) * 10)"
+    q0 = f"floor({d} * 10.0D)"
+    q = (
+        f"(CASE WHEN CAST({q0} AS DECIMAL(38,0)) * {_P60} > {n10} THEN {q0} - 1 "
+        f"WHEN CAST({q0} + 1 AS DECIMAL(38,0)) * {_P60} <= {n10} THEN {q0} + 1 ELSE {q0} END)"
+    )
+    rem = f"({n10} - CAST({q} AS DECIMAL(38,0)) * {_P60})"
+    up = f"(CASE WHEN {rem} > {_P59} OR ({rem} = {_P59} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+    v = f"({q} + {up})"
+    return f"(CASE WHEN {d} IS NULL THEN NULL ELSE concat(CAST({v} DIV 10 AS STRING), '.', CAST({v} % 10 AS STRING)) END)"
+
+
 def balanced_sql_sum(terms: list[str]) -> str:
     """``a + b + ...`` parenthesised as a balanced tree (shallow plans)."""
     if not terms:
@@ -217,10 +256,18 @@ def round_half_even(x: Column, digits: int = 1) -> Column:
 
 
 def pct_text(x: Column, digits: int = 1) -> Column:
-    """Percentage label: half-even rounded, as text, with a trailing ``%``."""
+    """Percentage label of the tables: half-even rounded (numpy), as text,
+    with a trailing ``%``."""
     return F.concat(round_half_even(x, digits).cast("string"), F.lit("%"))
 
 
+def pct_card_text(n: str, total: str) -> Column:
+    """Percentage label of the summary cards: ``n / total * 100`` formatted
+    like Python's ``f"{x:.1f}%"`` (see :func:`fixed1_sql`); arguments are
+    column names."""
+    return F.expr(f"concat({fixed1_sql(pct_sql(sql_ident(n), sql_ident(total)))}, '%')")
+
+
 def balanced_sum(cols: list[Column]) -> Column:
     """Sum of many columns as a balanced expression tree (keeps plans shallow)."""
     if not cols:

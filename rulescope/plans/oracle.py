@@ -52,3 +52,9 @@ def d_cmp(x: str, op: str, t: float) -> str:
 
 def d_int_sum(flags: list[str]) -> str:
     return "(" + " + ".join(f"CAST({f} AS INTEGER)" for f in flags) + ")"
+
+
+def d_pct_card_text(n: str, total: str) -> str:
+    """Card label: Python-style ``.1f`` of the double (DuckDB's printf
+    formats the binary value exactly)."""
+    return f"concat(printf('%.1f', {d_pct(n, total)}), '%')"

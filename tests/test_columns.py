@@ -95,3 +95,19 @@ def test_prefix_label(spark):
 def test_balanced_sum(spark, n):
     cols = [F.lit(i) for i in range(n)]
     assert spark.range(1).select(balanced_sum(cols).alias("s")).first()["s"] == sum(range(n))
+
+
+def test_card_text_matches_python_format(spark):
+    from rulescope.functions.columns import pct_card_text
+
+    pairs = [(k, n) for n in list(range(1, 60)) + [1999, 2000, 2001, 4000] for k in range(0, n + 1, max(1, n // 200))]
+    pairs += [(1, 2000), (3, 2000), (7, 2000), (1999, 2000), (0, 0)]
+    df = spark.createDataFrame(pairs, "k int, n int")
+    rows = df.select("k", "n", pct_card_text("k", "n").alias("card"), pct_text(pct(F.col("k"), F.col("n"))).alias("table")).collect()
+    for r in rows:
+        x = r["k"] / r["n"] * 100 if r["n"] else 0.0
+        assert r["card"] == f"{x:.1f}%", (r, x)
+    by = {(r["k"], r["n"]): r for r in rows}
+    # 1/2000 and 3/2000: the cards (binary value) and the tables (half-even) differ
+    assert (by[(1, 2000)]["card"], by[(1, 2000)]["table"]) == ("0.1%", "0.0%")
+    assert (by[(3, 2000)]["card"], by[(3, 2000)]["table"]) == ("0.1%", "0.2%")
