@@ -65,7 +65,7 @@ def _drop_null(df: DataFrame, keys: list[str], drop: bool) -> DataFrame:
 def health_summary(ev: Evaluation, severe_at: int = 3) -> DataFrame:
     """One row: total / OK / deficient / severely degraded (>= ``severe_at``
     failures) counts and OK / deficient percentages (0 for an empty input);
-    ``ok_pct_text`` is the card label, formatted like Python's ``.1f``."""
+    the ``*_pct_text`` card labels are formatted like Python's ``.1f``."""
     counts = ev.df.agg(
         F.count(F.lit(1)).alias("total_sites"),
         F.count_if(ev.ok).alias("ok_sites"),
@@ -81,6 +81,7 @@ def health_summary(ev: Evaluation, severe_at: int = 3) -> DataFrame:
         pct(F.col("ok_sites"), total).alias("ok_pct"),
         pct(F.col("deficient_sites"), total).alias("deficient_pct"),
         pct_card_text("ok_sites", "total_sites").alias("ok_pct_text"),
+        pct_card_text("deficient_sites", "total_sites").alias("deficient_pct_text"),
     )
 
 

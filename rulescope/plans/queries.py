@@ -257,7 +257,8 @@ WITH {EV_ORDERS}, c AS (
 SELECT total_sites, ok_sites, deficient_sites, severe_sites,
        {d_pct('ok_sites', 'total_sites')} AS ok_pct,
        {d_pct('deficient_sites', 'total_sites')} AS deficient_pct,
-       {d_pct_card_text('ok_sites', 'total_sites')} AS ok_pct_text
+       {d_pct_card_text('ok_sites', 'total_sites')} AS ok_pct_text,
+       {d_pct_card_text('deficient_sites', 'total_sites')} AS deficient_pct_text
 FROM c""",
 )
 def health_summary(spark, sf_dir):
@@ -550,7 +551,8 @@ SELECT count(*)::BIGINT AS total_sites, count_if(_IS_OK)::BIGINT AS ok_sites,
        count_if(NOT _IS_OK)::BIGINT AS deficient_sites, count_if(_TOTAL_FAILS >= 3)::BIGINT AS severe_sites,
        {d_pct('count_if(_IS_OK)', 'count(*)')} AS ok_pct,
        {d_pct('count_if(NOT _IS_OK)', 'count(*)')} AS deficient_pct,
-       {d_pct_card_text('count_if(_IS_OK)', 'count(*)')} AS ok_pct_text
+       {d_pct_card_text('count_if(_IS_OK)', 'count(*)')} AS ok_pct_text,
+       {d_pct_card_text('count_if(NOT _IS_OK)', 'count(*)')} AS deficient_pct_text
 FROM d""",
 )
 def drilldown(spark, sf_dir):
