@@ -153,34 +153,34 @@ def pct_sql(n: str, total: str) -> str:
     )
 
 
-_P30 = 1 << 30
-_P59 = 1 << 59
-_P60 = 1 << 60
-
-
 def fixed1_sql(expr: str) -> str:
     """Python's ``f"{x:.1f}"`` for a non-negative DOUBLE: the *binary* value
     is rounded to one decimal, half to even only on exact ties (so 0.05,
     stored a little above 0.05, gives ``0.1``; Spark's ``bround`` works on
     the shortest decimal form and gives ``0.0``).
 
-    Exact integer arithmetic: x * 2^60 is split into two exact halves and
-    rebuilt as DECIMAL(38,0); the digit and the remainder against the tie are
-    then compared without rounding.  Values below 2^-8 round to 0.0 anyway.
+    Exact, with double arithmetic only.  With q = floor(10x), x is compared
+    with the tie (2q+1)/20: against t, the double nearest that tie, when
+    x != t (then the sign is exact); when x == t, by whether t lies above or
+    below the decimal tie, i.e. the sign of t*20 - (2q+1), where t*20 =
+    t*16 + t*4 is summed exactly (two-sum: value plus rounding error) and
+    (2q+1) - sum is exact (the operands are within a factor of two).  A
+    floor that is off by one next to a boundary still yields the nearest
+    digit.
     """
-    d = f"CAST({expr} AS DOUBLE)"
-    hi = f"floor({d} * {_P30}.0D)"
-    lo = f"CAST(({d} * {_P30}.0D - {hi}) * {_P30}.0D AS BIGINT)"
-    n10 = f"((CAST({hi} AS DECIMAL(38,0)) * {_P30} + CAST({lo} AS DECIMAL(38,0))) * 10)"
-    q0 = f"floor({d} * 10.0D)"
-    q = (
-        f"(CASE WHEN CAST({q0} AS DECIMAL(38,0)) * {_P60} > {n10} THEN {q0} - 1 "
-        f"WHEN CAST({q0} + 1 AS DECIMAL(38,0)) * {_P60} <= {n10} THEN {q0} + 1 ELSE {q0} END)"
-    )
-    rem = f"({n10} - CAST({q} AS DECIMAL(38,0)) * {_P60})"
-    up = f"(CASE WHEN {rem} > {_P59} OR ({rem} = {_P59} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
-    v = f"({q} + {up})"
-    return f"(CASE WHEN {d} IS NULL THEN NULL ELSE concat(CAST({v} DIV 10 AS STRING), '.', CAST({v} % 10 AS STRING)) END)"
+    def let(value: str, var: str, body: str) -> str:
+        # bind ``value`` once to ``var`` (a lambda variable) inside ``body``
+        return f"element_at(transform(array({value}), {var} -> {body}), 1)"
+
+    err = "((p.a - (s - (s - p.a))) + (p.b - (s - p.a)))"  # two-sum error of p.a + p.b
+    at_tie = f"CASE WHEN {err} > m - s THEN 1 WHEN {err} < m - s THEN 0 ELSE q % 2 END"
+    up = f"CASE WHEN x > t THEN 1 WHEN x < t THEN 0 ELSE {let('p.a + p.b', 's', at_tie)} END"
+    v = f"q + {let('named_struct(' + chr(39) + 'a' + chr(39) + ', t * 16.0D, ' + chr(39) + 'b' + chr(39) + ', t * 4.0D)', 'p', up)}"
+    text = f"CAST(CAST({v} AS DECIMAL(20,0)) * CAST(0.1 AS DECIMAL(2,1)) AS STRING)"
+    body = let("m / 20.0D", "t", text)
+    body = let("2.0D * q + 1.0D", "m", body)
+    body = let("floor(x * 10.0D)", "q", body)
+    return let(f"CAST({expr} AS DOUBLE)", "x", body)
 
 
 def balanced_sql_sum(terms: list[str]) -> str:

@@ -111,3 +111,18 @@ def test_card_text_matches_python_format(spark):
     # 1/2000 and 3/2000: the cards (binary value) and the tables (half-even) differ
     assert (by[(1, 2000)]["card"], by[(1, 2000)]["table"]) == ("0.1%", "0.0%")
     assert (by[(3, 2000)]["card"], by[(3, 2000)]["table"]) == ("0.1%", "0.2%")
+
+
+def test_fixed1_at_every_tie_neighbour(spark):
+    import math
+
+    from rulescope.functions.columns import fixed1_sql
+
+    vals = []
+    for k in range(1, 2000, 2):  # every decimal tie k/20 in [0, 100]
+        t = k / 20
+        vals += [math.nextafter(t, 0), t, math.nextafter(t, 200)]
+    vals += [0.0, 100.0, 5e-324, 1e-9, 0.004]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(F.expr(fixed1_sql("x"))).collect()]
+    assert got == [f"{v:.1f}" for v in vals]
