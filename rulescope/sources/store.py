@@ -83,10 +83,10 @@ class TrendStore:
     def load_months(self, periods: list[tuple[int, int]]) -> DataFrame:
         """Chosen months stacked, each row tagged with its month name and year
         (one pruned scan instead of a union of per-month reads)."""
-        cond = F.lit(False)
-        for y, m in periods:
-            cond = cond | ((F.col(YEAR_COL) == int(y)) & (F.col(MONTH_COL) == int(m)))
-        return self.with_labels(self.load_all().where(cond))
+        # one predicate on the partition columns (pruned like any other)
+        codes = sorted({int(y) * 100 + int(m) for y, m in periods})
+        key = F.col(YEAR_COL) * 100 + F.col(MONTH_COL)
+        return self.with_labels(self.load_all().where(key.isin(codes)))
 
     @staticmethod
     def with_labels(df: DataFrame) -> DataFrame:
