@@ -70,12 +70,17 @@ def read_csv(
         .option("encoding", encoding)
         .option("inferSchema", False)
     )
-    raw = reader.option("header", True).csv(path)
-    # Spark already renames duplicate header cells (by appending the column
-    # index); read the header record as data to keep the names as written.
+    # Read the header record as data (Spark would rename duplicate header
+    # cells by appending the column index), then read the rows with an
+    # explicit all-text schema of that width: no second inference job.
     header = reader.option("header", False).csv(path).first()
-    names = [("" if v is None else v) for v in header] if header is not None else raw.columns
-    df = clean_headers(raw.toDF(*names)) if len(names) == len(raw.columns) else clean_headers(raw)
+    if header is None:  # empty input: no columns, no rows
+        return spark.createDataFrame([], T.StructType([]))
+    else:
+        names = [("" if v is None else v) for v in header]
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        raw = reader.schema(schema).option("header", True).csv(path)
+        df = clean_headers(raw.toDF(*names))
     # Multi-line parsing keeps the CR of CRLF line ends on the last field.
     if multi_line:
         last = df.columns[-1]

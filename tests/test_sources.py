@@ -137,3 +137,14 @@ def test_type_detection_overflow_and_infinity(spark):
     )
     types = dict(FL.detect_column_types(df).dtypes)
     assert types == {"a": "bigint", "b": "double", "c": "string", "d": "double"}
+
+
+def test_csv_empty_and_header_only(spark, tmp_dir):
+    empty, header_only = os.path.join(tmp_dir, "e.csv"), os.path.join(tmp_dir, "h.csv")
+    open(empty, "w").close()
+    with open(header_only, "w") as f:
+        f.write("a,b\n")
+    e = FL.read_csv(spark, empty)
+    assert e.columns == [] and e.count() == 0
+    h = FL.read_csv(spark, header_only)
+    assert h.columns == ["a", "b"] and h.count() == 0
