@@ -622,3 +622,30 @@ def search_any_column(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     cols = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
     return V.search_any_column(part, "RING", cols)
+
+
+@register(
+    "deficient_by_nullable",
+    f"""WITH f AS (SELECT prio, {d_cmp('o_totalprice', '<', 100000.0)} AS a, {d_contains('prio', 'urgent')} AS b
+  FROM {NULLED})
+SELECT prio, count_if(a OR b)::BIGINT AS deficient_sites FROM f GROUP BY prio HAVING count_if(a OR b) > 0""",
+)
+def deficient_by_nullable(spark, sf_dir):
+    """Deficient orders per priority where the priority may be missing: the
+    missing group is kept (``drop_null_keys=False``)."""
+    ev = evaluate(
+        _nulled(spark, sf_dir),
+        [Rule(name="low_value", fail_col="o_totalprice", fail_op="<", fail_val="100000"),
+         Rule(name="urgent", fail_col="prio", fail_op="Contains", fail_val="urgent")],
+    )
+    return V.deficient_by(ev, "prio", drop_null_keys=False)
+
+
+@register(
+    "drilldown_unknown",
+    f"SELECT * FROM {NULLED} WHERE prio IS NULL OR prio = 'Unknown'",
+)
+def drilldown_unknown(spark, sf_dir):
+    """Choosing the "Unknown" facet option selects the missing values it
+    stands for."""
+    return V.drilldown(_nulled(spark, sf_dir), {"prio": "Unknown"}, unknown_label="Unknown")

@@ -403,3 +403,35 @@ def actionable_sites(spark, sf_dir):
         ["SITE ID", "Cluster", "Failure_Reasons", ev.total_col, "DG/Non-DG", "Site Type",
          "DG Automation Status", "Battery Backup (Hrs)", "RM Count (N+1)"],
     )
+
+
+_STATES_FLAGS = {
+    "FAIL_bb": f"coalesce({d_num_text('\"Battery Backup (Hrs)\"')} < 4.0, false)",
+    "FAIL_dg": f"(coalesce({d_norm('\"DG/Non-DG\"')} = 'dg', false) AND "
+    "coalesce(\"DG Automation Status\" IN ('Failed', 'No'), false))",
+    "FAIL_snmp": "coalesce(\"SNMP Communicated (Y/N)\" IN ('No'), false)",
+    "FAIL_rm": "coalesce(\"RM Count (N+1)\" IN ('Degraded'), false)",
+}
+
+
+@register(
+    "explicit_status_pack",
+    f"""WITH f AS (SELECT "SITE ID", {', '.join(f'{v} AS {k}' for k, v in _STATES_FLAGS.items())} FROM {SITES_V5})
+SELECT *, {d_int_sum(list(_STATES_FLAGS))} AS _TOTAL_FAILS FROM f""",
+)
+def explicit_status_pack(spark, sf_dir):
+    """Scoped pack with explicitly chosen failure statuses (exact,
+    case-sensitive text) instead of inferred ones."""
+    rules = P.nested_kpi_pack(
+        "DG/Non-DG",
+        "DG Automation Status",
+        "Battery Backup (Hrs)",
+        "RM Count (N+1)",
+        snmp_col="SNMP Communicated (Y/N)",
+        dg_states=["Failed", "No"],
+        rm_states=["Degraded"],
+        snmp_states=["No"],
+        generation=5,
+    )
+    ev = evaluate(sites_v5(spark, sf_dir), rules)
+    return ev.df.select("`SITE ID`", *[f"`{c}`" for c in ev.fail_cols], ev.total_col)
