@@ -219,3 +219,12 @@ def test_validate_rules_reports_every_problem(spark):
     assert any("unknown operator" in p for p in problems) and any("'nope'" in p for p in problems)
     assert any("'gone'" in p for p in problems) and any("rule #5" in p for p in problems)
     assert validate_rules(bad[-1:], schema) == []
+
+
+def test_compat_thresholds_through_evaluate(spark):
+    df = spark.createDataFrame([(1, -1.0), (2, 0.5), (3, None)], "id int, v double")
+    rule = Rule(name="neg", fail_col="v", fail_op="<", fail_val="-5")  # compat: "-5" parses as 0
+    with pytest.raises(RuleError):
+        evaluate(df, [rule])
+    ev = evaluate(df, [rule], threshold_mode="compat")
+    assert [r["FAIL_neg"] for r in ev.df.orderBy("id").collect()] == [True, False, False]

@@ -170,3 +170,9 @@ def test_empty_level_and_metric_lists(spark):
     assert TR.report_header(df, []).count() == 0
     assert P.status_inference_many(df, "g", {}).count() == 0
     assert TR.month_pivot(df.where("false"), ["g"], ["EB_Run_Avg"]).columns == ["g"]
+
+
+def test_fixed_pack_switches(spark):
+    names = [r.name for r in P.fixed_kpi_pack("b", "d", "s", "r", use_snmp=False, use_bb=False)]
+    assert names == ["dg", "rm"]
+    assert [r.fail_val for r in P.fixed_kpi_pack("b", "d", "s", "r", bb_threshold=2.5)][:1] == [2.5]
