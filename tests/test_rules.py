@@ -223,8 +223,12 @@ def test_validate_rules_reports_every_problem(spark):
 
 def test_compat_thresholds_through_evaluate(spark):
     df = spark.createDataFrame([(1, -1.0), (2, 0.5), (3, None)], "id int, v double")
-    rule = Rule(name="neg", fail_col="v", fail_op="<", fail_val="-5")  # compat: "-5" parses as 0
+    rule = Rule(name="neg", fail_col="v", fail_op="<", fail_val="-5")
+    strict = evaluate(df, [rule])  # -5 is a number: nothing is below it
+    assert [r["FAIL_neg"] for r in strict.df.orderBy("id").collect()] == [False, False, False]
+    compat = evaluate(df, [rule], threshold_mode="compat")  # the old parse reads "-5" as 0
+    assert [r["FAIL_neg"] for r in compat.df.orderBy("id").collect()] == [True, False, False]
+    bad = Rule(name="h", fail_col="v", fail_op="<", fail_val="4h")
     with pytest.raises(RuleError):
-        evaluate(df, [rule])
-    ev = evaluate(df, [rule], threshold_mode="compat")
-    assert [r["FAIL_neg"] for r in ev.df.orderBy("id").collect()] == [True, False, False]
+        evaluate(df, [bad])
+    assert evaluate(df, [bad], threshold_mode="compat").df.where("FAIL_h").count() == 1
