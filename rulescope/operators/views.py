@@ -23,7 +23,7 @@ from dataclasses import replace
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -302,15 +302,34 @@ def failure_long(ev: Evaluation, ids: str | Sequence[str]) -> DataFrame:
     )
 
 
-def distribution_by_dim(ev: Evaluation, dim: str, top_n: int | None = None) -> DataFrame:
+# Above this many rules, distribution_by_dim(strategy="auto") shuffles the
+# failing (entity, rule) pairs instead of one wide row of counters per entity.
+LONG_DISTRIBUTION_RULES = 64
+
+
+def distribution_by_dim(
+    ev: Evaluation, dim: str, top_n: int | None = None, *, strategy: str = "auto"
+) -> DataFrame:
     """Failures per (``dim`` value, rule) for the ``top_n`` entities with the
     most failures (all entities when ``None``); ties by key ascending.
 
-    Plan: one wide per-entity aggregate (a count per rule and the total, one
-    exchange), the top ``top_n`` of its rows (``TakeOrderedAndProject``:
-    N rows per map task, then a merge), then an unpivot of those rows.  The
-    per-rule counts travel with the ranked rows, so no join is needed.
+    ``strategy="wide"``: one wide per-entity aggregate (a count per rule and
+    the total, one exchange), the top ``top_n`` of its rows
+    (``TakeOrderedAndProject``), then an unpivot of those rows; the per-rule
+    counts travel with the ranked rows, so no join is needed.  Best for few
+    rules or few entities.
+
+    ``strategy="long"``: only failing (entity, rule) pairs are generated and
+    counted (map-side combined), the entity total is a window sum over at
+    most one row per rule, and the top-N keys (at most N) restrict the
+    result by a semi-join.  Shuffles far less when there are many rules and
+    entities and failures are sparse.  ``"auto"`` picks it above
+    ``LONG_DISTRIBUTION_RULES`` rules.  Both give the same rows.
     """
+    if strategy not in ("auto", "wide", "long"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "long" or (strategy == "auto" and len(ev.rules) > LONG_DISTRIBUTION_RULES):
+        return _distribution_long(ev, dim, top_n)
     aggs = [F.count_if(ev.fail(r.name)).alias(f"__r{i}") for i, r in enumerate(ev.rules)]
     wide = (
         ev.df.groupBy(qcol(dim))
@@ -336,6 +355,25 @@ def distribution_by_dim(ev: Evaluation, dim: str, top_n: int | None = None) -> D
     )
 
 
+def _distribution_long(ev: Evaluation, dim: str, top_n: int | None) -> DataFrame:
+    counts = (
+        failure_long(ev, dim)
+        .groupBy(qcol(dim), "failure_type")
+        .agg(F.count(F.lit(1)).alias("failures"))
+    )
+    # one row per (entity, rule): a window partition holds at most as many
+    # rows as there are rules, whatever the entity's size
+    totals = counts.withColumn("total_errors", F.sum("failures").over(Window.partitionBy(qcol(dim))))
+    out = totals.select(qcol(dim), F.col("total_errors").cast("bigint").alias("total_errors"), "failure_type", "failures")
+    if top_n is None:
+        return out
+    keys = top_groups(out.select(qcol(dim), "total_errors").distinct(), dim, "total_errors", top_n)
+    keys = keys.select(qcol(dim).alias("__k"))
+    if top_n <= BROADCAST_KEYS_MAX:
+        keys = F.broadcast(keys)
+    return out.join(keys, on=qcol(dim).eqNullSafe(F.col("__k")), how="left_semi")
+
+
 def restrict_to_top(
     detail: DataFrame, ev: Evaluation, dim: str, top_n: int
 ) -> DataFrame:

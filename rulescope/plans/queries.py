@@ -488,6 +488,20 @@ def failure_long_topn(spark, sf_dir):
     return V.restrict_to_top(V.failure_long(ev, ["o_orderkey", "o_custkey"]), ev, "o_custkey", 10)
 
 
+@register("distribution_long", ORACLE["distribution_by_dim"])
+def distribution_long(spark, sf_dir):
+    """Failures per (customer, rule) for every customer with a failure, by
+    the pair-shuffling strategy (failing pairs only, window totals)."""
+    return V.distribution_by_dim(ev_orders(spark, sf_dir), "o_custkey", strategy="long")
+
+
+@register("distribution_topn_long", ORACLE["distribution_topn"])
+def distribution_topn_long(spark, sf_dir):
+    """Top-10 distribution by the pair-shuffling strategy (bounded key
+    list, semi-join)."""
+    return V.distribution_by_dim(ev_orders(spark, sf_dir), "o_custkey", top_n=10, strategy="long")
+
+
 @register(
     "errors_by_entity",
     f"""WITH {EV_ORDERS}

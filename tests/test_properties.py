@@ -149,3 +149,18 @@ def test_matrix_and_topn_match_brute_force(spark, rows, top_n):
     assert {r["g"] for r in dist} == set(ranked)
     for r in dist:
         assert r["failures"] == groups[r["g"]][r["failure_type"]] and r["total_errors"] == errors[r["g"]]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.sampled_from(TEXTS), st.sampled_from(NUMS)),
+                     min_size=0, max_size=40),
+       top_n=st.sampled_from([None, 1, 2, 5]))
+def test_distribution_strategies_agree(spark, rows, top_n):
+    rules = [Rule(name="yes", fail_col="s", fail_op="==", fail_val="yes"),
+             Rule(name="low", fail_col="d", fail_op="<", fail_val="4"),
+             Rule(name="o", fail_col="s", fail_op="Contains", fail_val="o")]
+    ev = evaluate(spark.createDataFrame(rows, "g string, s string, d double"), rules)
+    wide = V.distribution_by_dim(ev, "g", top_n=top_n, strategy="wide")
+    long = V.distribution_by_dim(ev, "g", top_n=top_n, strategy="long")
+    assert wide.columns == long.columns and wide.dtypes == long.dtypes
+    assert sorted(map(tuple, wide.collect()), key=repr) == sorted(map(tuple, long.collect()), key=repr)
