@@ -306,9 +306,10 @@ def _rules_from(rules: Iterable[Rule | Mapping[str, Any]]) -> list[Rule]:
     for r in out:
         if not r.name:
             raise RuleError("rule without a name")
-        if r.name in seen:
-            raise RuleError(f"duplicate rule name {r.name!r}")
-        seen.add(r.name)
+        # Spark resolves column names case-insensitively: "A" and "a" clash
+        if r.name.lower() in seen:
+            raise RuleError(f"duplicate rule name {r.name!r} (names are compared ignoring case)")
+        seen.add(r.name.lower())
     return out
 
 
@@ -395,9 +396,9 @@ def validate_rules(
         except (RuleError, TypeError) as e:
             problems.append(f"rule #{i + 1}: {e}")
             continue
-        if r.name in seen:
-            problems.append(f"rule {r.name!r}: duplicate name")
-        seen.add(r.name)
+        if r.name.lower() in seen:
+            problems.append(f"rule {r.name!r}: duplicate name (ignoring case)")
+        seen.add(r.name.lower())
         if resolve_column([f.name for f in schema.fields], r.fail_col) is None:
             problems.append(f"rule {r.name!r}: failure column {r.fail_col!r} not found")
             continue
@@ -444,7 +445,7 @@ def evaluate(
     skipped: list[tuple[str, str]] = []
     flag_exprs: list[str] = []
     crit_exprs: list[str] = []
-    clash = set(df.columns)
+    clash = {c.lower() for c in df.columns}
     for r in rule_list:
         compiled = rule_sql(
             r, df.schema, on_missing=on_missing, threshold_mode=threshold_mode, strict_ops=strict_ops
@@ -452,14 +453,14 @@ def evaluate(
         if compiled is None:
             skipped.append((r.name, f"column {r.fail_col!r} (or a required layer) not found"))
             continue
-        if r.fail_flag in clash or r.crit_flag in clash:
+        if r.fail_flag.lower() in clash or r.crit_flag.lower() in clash:
             raise RuleError(f"rule {r.name!r}: output column already exists in the input")
         fail, sev = compiled
         applied.append(r)
         flag_exprs.append(f"{fail} AS {sql_ident(r.fail_flag)}")
         crit = f"{sql_ident(r.fail_flag)} AND ({sev})" if sev is not None else "false"
         crit_exprs.append(f"{crit} AS {sql_ident(r.crit_flag)}")
-    if total_col in clash or ok_col in clash:
+    if total_col.lower() in clash or ok_col.lower() in clash:
         raise RuleError(f"input already has {total_col!r} or {ok_col!r}")
     # Two projections, each one SQL-parsed select: the flags, then the
     # severity flags, the failure count and the all-OK flag on top of them.

@@ -232,3 +232,13 @@ def test_compat_thresholds_through_evaluate(spark):
     with pytest.raises(RuleError):
         evaluate(df, [bad])
     assert evaluate(df, [bad], threshold_mode="compat").df.where("FAIL_h").count() == 1
+
+
+def test_names_clash_ignoring_case(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, v string")
+    with pytest.raises(RuleError):
+        evaluate(df, [Rule(name="A", fail_col="v", fail_val="x"), Rule(name="a", fail_col="v", fail_val="y")])
+    with pytest.raises(RuleError):
+        evaluate(spark.createDataFrame([(1, "x")], "fail_a int, v string"), [Rule(name="a", fail_col="v", fail_val="x")])
+    with pytest.raises(RuleError):
+        evaluate(spark.createDataFrame([(1, "x")], "_total_fails int, v string"), [Rule(name="a", fail_col="v")])
