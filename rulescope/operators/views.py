@@ -236,6 +236,10 @@ def matrix(
     """
     ks = _keys(keys)
     nm = {**MATRIX_NAMES, **(names or {})}
+    taken = {c.lower() for c in ks} | {v.lower() for v in nm.values()}
+    clash = [r.name for r in ev.rules if r.name.lower() in taken]
+    if clash:
+        raise ValueError(f"rule names {clash} clash with matrix keys or columns; rename them or pass names=")
     per_rule = [F.count_if(ev.fail(r.name)).alias(f"__r{i}") for i, r in enumerate(ev.rules)]
     agg = ev.df.groupBy(*[qcol(k) for k in ks]).agg(
         F.count(F.lit(1)).alias("__total"), F.count_if(ev.ok).alias("__ok"), *per_rule

@@ -176,3 +176,11 @@ def test_fixed_pack_switches(spark):
     names = [r.name for r in P.fixed_kpi_pack("b", "d", "s", "r", use_snmp=False, use_bb=False)]
     assert names == ["dg", "rm"]
     assert [r.fail_val for r in P.fixed_kpi_pack("b", "d", "s", "r", bb_threshold=2.5)][:1] == [2.5]
+
+
+def test_matrix_rejects_clashing_rule_names(spark):
+    df = spark.createDataFrame([("a", 1)], "g string, v int")
+    ev = evaluate(df, [Rule(name="total_sites", fail_col="v", fail_op=">", fail_val="0")])
+    with pytest.raises(ValueError):
+        V.matrix(ev, "g")
+    assert V.matrix(ev, "g", names={"total": "n"}).first()["total_sites"] == 1
