@@ -585,7 +585,8 @@ def search_any_column(
     """Rows where any column's text contains ``query`` (case-insensitive).
     ``regex=True`` treats ``query`` as a (Java) regular expression, matched
     case-insensitively; the pattern itself is not lower-cased, so escapes
-    such as ``\\D`` keep their meaning."""
+    such as ``\\D`` keep their meaning.  Non-text columns are searched in
+    Spark's text form (large or small doubles print as e.g. ``1.0E7``)."""
     cols = list(columns) if columns is not None else df.columns
     tests = []
     for c in cols:
