@@ -79,8 +79,14 @@ def write_rules(spark: SparkSession, rules: Iterable[Rule], path: str) -> None:
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     """Read a rule set written by :func:`write_rules` or exchanged as a JSON
     array / JSON lines; 8-key files (``use_precond``) load too."""
-    df = spark.read.schema(RULE_SCHEMA).option("multiLine", True).json(path)
-    rows = df.collect()
+    def load(multi_line: bool):
+        reader = spark.read.schema(RULE_SCHEMA).option("mode", "FAILFAST")
+        return reader.option("multiLine", multi_line).json(path).collect()
+
+    try:  # JSON lines, or an array on one line (as json.dumps writes it)
+        rows = load(False)
+    except Exception:  # noqa: BLE001 - e.g. a pretty-printed array: parse whole files
+        rows = load(True)
     ordered = sorted(enumerate(rows), key=lambda t: (t[1]["rule_no"] is None, t[1]["rule_no"] or 0, t[0]))
     out = []
     for _, row in ordered:

@@ -148,3 +148,18 @@ def test_csv_empty_and_header_only(spark, tmp_dir):
     assert e.columns == [] and e.count() == 0
     h = FL.read_csv(spark, header_only)
     assert h.columns == ["a", "b"] and h.count() == 0
+
+
+def test_rules_read_lines_and_pretty_arrays(spark, tmp_dir):
+    import json
+
+    recs = [{"name": "a", "fail_col": "x", "fail_op": "==", "fail_val": "1"},
+            {"name": "b", "fail_col": "y", "fail_op": "<", "fail_val": 2}]
+    lines, pretty = os.path.join(tmp_dir, "r.jsonl"), os.path.join(tmp_dir, "p.json")
+    with open(lines, "w") as f:
+        f.write("\n".join(json.dumps(r) for r in recs) + "\n")
+    with open(pretty, "w") as f:
+        json.dump(recs, f, indent=2)
+    for path in (lines, pretty):
+        back = read_rules(spark, path)
+        assert [(r.name, r.fail_val) for r in back] == [("a", "1"), ("b", "2")], path
