@@ -163,3 +163,15 @@ def test_rules_read_lines_and_pretty_arrays(spark, tmp_dir):
     for path in (lines, pretty):
         back = read_rules(spark, path)
         assert [(r.name, r.fail_val) for r in back] == [("a", "1"), ("b", "2")], path
+
+
+def test_empty_export_has_header(spark, tmp_dir):
+    import glob
+
+    df = spark.createDataFrame([(1, "x")], "id int, v string").where("false")
+    out = os.path.join(tmp_dir, "empty")
+    FL.write_csv(df, out)
+    parts = [p for p in glob.glob(os.path.join(out, "*.csv"))]
+    assert parts and open(parts[0]).read() == "id,v\n"
+    back = FL.read_csv(spark, out)
+    assert back.columns == ["id", "v"] and back.count() == 0

@@ -184,3 +184,10 @@ def test_matrix_rejects_clashing_rule_names(spark):
     with pytest.raises(ValueError):
         V.matrix(ev, "g")
     assert V.matrix(ev, "g", names={"total": "n"}).first()["total_sites"] == 1
+
+
+def test_shared_reason_texts_add_up(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
+    ev = evaluate(df, [Rule(name="r1", fail_col="v", fail_val="x", reason="Bad"),
+                       Rule(name="r2", fail_col="v", fail_val="y", reason="Bad")])
+    assert [tuple(r) for r in P.reason_distribution(ev).collect()] == [("Bad", 2)]
