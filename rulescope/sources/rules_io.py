@@ -68,7 +68,8 @@ def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
 
 
 def write_rules(spark: SparkSession, rules: Iterable[Rule], path: str) -> None:
-    """Write a rule set as one JSON array (a single small text file)."""
+    """Write a rule set as one JSON array on one line: the folder ``path``
+    holds a single small part file (Spark's output layout)."""
     df = rules_frame(spark, rules)
     packed = df.agg(
         F.to_json(F.sort_array(F.collect_list(F.struct(*[F.col(f.name) for f in RULE_SCHEMA.fields])))).alias("v")
