@@ -1,8 +1,8 @@
 """rulescope: rule-driven health analytics for row-per-entity tables on Spark.
 
 A rule set is data (JSON / a list of :class:`Rule`); it compiles to Spark
-``Column`` expressions, so evaluating any number of rules is one lazy,
-distributed projection.  Views over the evaluated table (summaries, matrices,
+SQL expressions, so evaluating any number of rules is one lazy, distributed
+projection.  Views over the evaluated table (summaries, matrices,
 rankings, drill-downs, exports) and the month-partitioned trend store are
 ordinary DataFrame plans.
 """
