@@ -172,3 +172,22 @@ def test_report_job_writes_every_output(spark, site_csv, tmp_path):
     assert totals["Low BB"] == want_low
     keys = spark.read.parquet(written["matrix"]).columns[:3]
     assert keys == ["Macro/ULS", "DG/Non-DG", "Site- Principal Owner"]
+
+
+def test_report_command_line(site_csv, tmp_path):
+    import json
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    rules_path = str(tmp_path / "rules.json")
+    with open(rules_path, "w") as f:
+        json.dump([dict(r, make_dash=(r["name"] == "High Temp")) for r in P.DEFAULT_PACK], f)
+    out = subprocess.run(
+        [sys.executable, "-m", "rulescope", "report", "--input", site_csv, "--rules", rules_path,
+         "--out", str(tmp_path / "rep")],
+        cwd=root, capture_output=True, text=True, timeout=600,
+    )
+    assert out.returncode == 0, out.stderr[-2000:]
+    names = {line.split("\t")[0] for line in out.stdout.splitlines() if "\t" in line}
+    assert {"summary", "matrix", "export_High_Temp_actionable", "export_High_Temp_severe"} <= names
