@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulescope.llm import bpe_codec, packing, quality_rules, token_counts, token_files
+from rulescope.llm import bpe_codec, near_dedup, packing, quality_rules, token_counts, token_files
 from rulescope.llm.common import table
 
 #: Tokens above which a document is over the limit.
@@ -19,6 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the compiled transducer."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -57,6 +62,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op4_token_counts, op5_bpe_codec, op7_token_files, op9_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_near_dedup, op4_token_counts, op5_bpe_codec, op7_token_files, op9_packing, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
