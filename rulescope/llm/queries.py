@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulescope.llm import bpe_codec, near_dedup, packing, quality_rules, token_counts, token_files
+from rulescope.llm import bpe_codec, near_dedup, packing, quality_rules, substring_dedup, token_counts, token_files
 from rulescope.llm.common import table
 
 #: Tokens above which a document is over the limit.
@@ -44,6 +44,18 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every byte of a 100-byte string that also starts earlier."""
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids as Huffman-coded blocks, reads them back."""
     read = token_files.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
@@ -62,6 +74,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_near_dedup, op4_token_counts, op5_bpe_codec, op7_token_files, op9_packing, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op4_token_counts,
+        op5_bpe_codec,
+        op6_substring_dedup,
+        op7_token_files,
+        op9_packing,
+        op10_quality_rules,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
