@@ -102,3 +102,35 @@ def per_row(
         yield out.batch()
 
     return df.select(*names).mapInArrow(run, ddl)
+
+
+def rewritten(df: DataFrame, text: str, change: Callable[[], Callable[..., str | None]], using: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``df`` with a new text each, or without those whose new text is
+    None; every other column is passed through as it is.
+
+    ``change`` runs once a task; its function gets the text (NULL as "") and
+    the columns ``using``, which are left out of the result.  A row whose text
+    does not change keeps it, NULL included.  A column ``n_chars`` follows.
+    """
+    left = [c for c in df.columns if c not in using]
+    result = df.select(*[F.col(f"`{c}`") for c in left]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = change()
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                col = {f.name: part.column(i) for i, f in enumerate(part.schema)}
+                old = col[text].to_pylist()
+                rows = zip(old, *[col[c].to_pylist() for c in using], strict=True)
+                new = [fn(t or "", *rest) for t, *rest in rows]
+                same = [n if n is None or (o or "") != n else o for o, n in zip(old, new, strict=True)]
+                keep = pa.array([n is not None for n in new])
+                cols = [pa.array(same, col[c].type) if c == text else col[c] for c in left]
+                yield pa.RecordBatch.from_arrays(cols, names=left).filter(keep)
+
+    out = df.mapInArrow(run, result)
+    if "n_chars" in out.columns and text != "n_chars":
+        size = F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast(result["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(size))
+    return out

@@ -308,3 +308,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
     )
     return named_out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose document stands for its group; all columns
+    stay.  Repeated rows of one id leave one; rows without id all stay."""
+    gone = near_duplicates(df, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct()
+    rest = df.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left_anti")
+    named = F.col(f"`{doc_id}`").isNotNull()
+    return rest.where(named).dropDuplicates([doc_id]).unionByName(rest.where(~named))

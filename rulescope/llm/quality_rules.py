@@ -26,13 +26,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rulescope.llm.common import Emitter, docs_of, row_stream
+from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream
 
 SYMBOLS_PER_WORD = 0.5
 BARS_PER_WORD = 0.4
@@ -137,7 +137,7 @@ def clean_lines(text: str) -> tuple[str, int, int]:
         kept.append(line)
         kept_words += len(words)
     end_run()
-    return "\n".join(kept), kept_words, removed
+    return "\n".join(kept) if removed else text, kept_words, removed
 
 
 DDL = (
@@ -163,7 +163,7 @@ def judge(text: str) -> tuple:
 
 def assess(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row (columns: ``DDL``); ``cleaned`` is the text of
-    the lines that passed.  A NULL or empty text has no words, so it fails."""
+    the lines that passed (the text itself if all did).  A NULL or empty text has no words, so it fails."""
     schema = pa.schema(
         [("doc_id", pa.int64())]
         + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -180,3 +180,17 @@ def assess(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         yield out.batch()
 
     return docs_of(df, text, doc_id).mapInArrow(run, DDL)
+
+
+def cleaned(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose documents are kept, with the lines that passed
+    as their text; all columns stay."""
+
+    def change() -> Callable[[str], str | None]:
+        def one(t: str) -> str | None:
+            values = judge(t)
+            return values[-1] if values[6] else None
+
+        return one
+
+    return rewritten(df, text, change)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulescope.llm import bpe_codec, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, token_files, topk_search
+from rulescope.llm import bpe_codec, html_text, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, token_files, topk_search
 from rulescope.llm.common import table
 
 #: Tokens above which a document is over the limit.
@@ -29,6 +29,12 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = html_text.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the compiled transducer."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -88,6 +94,7 @@ QUERIES = {
     for f in (
         op1_near_dedup,
         op2_topk_search,
+        op3_html_text,
         op4_token_counts,
         op5_bpe_codec,
         op6_substring_dedup,

@@ -23,7 +23,7 @@ are shuffled; no task holds more than a shard or one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulescope.llm.anchors import BUFFER, WINDOW, Hasher, stretches
-from rulescope.llm.common import Emitter, docs_of, row_stream, written
+from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream, written
 from rulescope.llm.suffix_arrays import common_prefixes, suffix_array
 
 #: Stretches that a task merges before it sends them on.
@@ -300,6 +300,32 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     return covered.unionByName(more).unionByName(crossed)
 
 
+def ranges_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, ranges): the repeated windows of every document with any."""
+    return find_repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
+
+
+def spans_of(size: int, ranges) -> list[list[int]]:
+    """The byte spans that ranges of windows cover, united."""
+    spans: list[list[int]] = []
+    for lo, hi in sorted((r["at"], r["at"] + r["n"] + WINDOW - 1) for r in ranges or ()):
+        hi = min(hi, size)
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], hi)
+        elif lo < hi:
+            spans.append([lo, hi])
+    return spans
+
+
+def without(raw: bytes, spans: list[list[int]]) -> bytes:
+    kept, at = [], 0
+    for lo, hi in spans:
+        kept.append(raw[at:lo])
+        at = hi
+    kept.append(raw[at:])
+    return b"".join(kept)
+
+
 DDL = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -312,7 +338,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     others.
     """
     docs = docs_of(df, text, doc_id)
-    ranges = find_repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
+    ranges = ranges_of(docs)
     joined = docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema(
@@ -323,22 +349,33 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         out = Emitter(schema)
         for d, t, rows in row_stream(batches, "doc_id", "text", "ranges"):
             raw = t.encode()
-            spans: list[list[int]] = []
-            for lo, hi in sorted((r["at"], r["at"] + r["n"] + WINDOW - 1) for r in rows or ()):
-                hi = min(hi, len(raw))
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                elif lo < hi:
-                    spans.append([lo, hi])
-            kept, at = [], 0
-            for lo, hi in spans:
-                kept.append(raw[at:lo])
-                at = hi
-            kept.append(raw[at:])
-            left = b"".join(kept)
+            spans = spans_of(len(raw), rows)
+            left = without(raw, spans)
             out.add(len(left) + 64, d, len(raw), len(raw) - len(left), [{"start": a, "end": b} for a, b in spans], left)
             if out.full():
                 yield out.batch()
         yield out.batch()
 
     return joined.mapInArrow(run, DDL)
+
+
+def stripped(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` without their repeated bytes; all columns stay.
+
+    What is left of a character that was cut goes too.  A document of which
+    no word is left is dropped, unless it had none before.
+    """
+    ranges = ranges_of(docs_of(df, text, doc_id)).select(F.col("doc_id").alias("__doc"), F.col("ranges").alias("__ranges"))
+    joined = df.join(ranges, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+
+    def change() -> Callable[..., str | None]:
+        def one(t: str, rows: list | None) -> str | None:
+            if not rows:
+                return t
+            raw = t.encode()
+            left = without(raw, spans_of(len(raw), rows)).decode(errors="ignore")
+            return left if left.strip() or not t.strip() else None
+
+        return one
+
+    return rewritten(joined, text, change, using=("__ranges",))
