@@ -186,8 +186,8 @@ _FOUND_SCHEMA = pa.schema(
 
 
 def repeats_in(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows of the stretches: (stretch, offset, is a repeat, order of its
-    window) of every window, in suffix order."""
+    """(stretch, offset, is a repeat, is the first of its kind) of every
+    window of the stretches, equal ones together."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -202,7 +202,12 @@ def repeats_in(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.
     by = np.lexsort((at[own] + offset, doc[own], run))
     own, offset, run = own[by], offset[by], run[by]
     head = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
-    return own, offset, ~head, run
+    start = np.flatnonzero(head)
+    first = np.repeat(start, np.diff(np.append(start, len(run))))
+    # A repeated row of one document brings the first's own windows again.
+    place, owner = at[own] + offset, doc[own]
+    again = (owner != owner[first]) | (place != place[first])
+    return own, offset, again, head
 
 
 def _sharded(pieces: DataFrame, shards: int) -> DataFrame:
@@ -221,14 +226,14 @@ def _sharded(pieces: DataFrame, shards: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         texts, doc = table["bytes"].to_pylist(), table["doc_id"].to_numpy()
         at, cls = table["at"].to_numpy().astype(np.int64), table["cls"].to_numpy()
-        own, offset, repeat, _ = repeats_in(texts, doc, at)
+        own, offset, repeat, first = repeats_in(texts, doc, at)
         o, f = own[repeat], offset[repeat]
         d, a, n = _joined(doc[o], at[o] + f, np.ones(len(o), np.int64))
         none = pa.nulls(len(d), pa.binary())
         kinds = [pa.array(np.full(len(d), COVER, np.int32)), pa.array(d), pa.array(d)]
         out = [pa.Table.from_arrays([*kinds, pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), none], schema=_FOUND_SCHEMA)]
         if table["shard"][0].as_py() < 0:
-            o, f = own[~repeat], offset[~repeat]
+            o, f = own[first], offset[first]
             cols = [np.full(len(o), REP, np.int32), cls[o], doc[o], (at[o] + f).astype(np.int32), np.ones(len(o), np.int32)]
             windows = [texts[i][k : k + WINDOW] for i, k in zip(o.tolist(), f.tolist(), strict=True)]
             out.append(pa.Table.from_arrays([*map(pa.array, cols), pa.array(windows, pa.binary())], schema=_FOUND_SCHEMA))
