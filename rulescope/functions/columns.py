@@ -200,11 +200,6 @@ def balanced_sql_sum(terms: list[str]) -> str:
 # --------------------------------------------------------------------------
 
 
-def strip_text(name: str) -> Column:
-    """Python ``str.strip()`` on a column; NULL stays NULL."""
-    return F.expr(strip_sql(sql_ident(name)))
-
-
 def norm(name: str) -> Column:
     """Case-fold and strip all (Unicode) whitespace at both ends; NULL stays NULL."""
     return F.expr(norm_sql(sql_ident(name)))
@@ -226,11 +221,6 @@ def num(name: str, dtype: T.DataType | None = None) -> Column:
     return F.expr(num_sql(sql_ident(name), dtype))
 
 
-def in_tokens(name: str, tokens: Iterable[str]) -> Column:
-    """Normalised membership test; NULL -> NULL (callers decide the policy)."""
-    return F.expr(in_tokens_sql(sql_ident(name), tokens))
-
-
 def is_yes(name: str) -> Column:
     return F.expr(f"coalesce({in_tokens_sql(sql_ident(name), YES_TOKENS)}, false)")
 
@@ -268,18 +258,6 @@ def pct_card_text(n: str, total: str) -> Column:
     return F.expr(f"concat({fixed1_sql(pct_sql(sql_ident(n), sql_ident(total)))}, '%')")
 
 
-def balanced_sum(cols: list[Column]) -> Column:
-    """Sum of many columns as a balanced expression tree (keeps plans shallow)."""
-    if not cols:
-        return F.lit(0)
-    while len(cols) > 1:
-        nxt = [cols[i] + cols[i + 1] for i in range(0, len(cols) - 1, 2)]
-        if len(cols) % 2:
-            nxt.append(cols[-1])
-        cols = nxt
-    return cols[0]
-
-
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 

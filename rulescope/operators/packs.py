@@ -126,9 +126,11 @@ def _status_test(col: str, tokens: Sequence[str], mode: str):
 
 def status_inference(df: DataFrame, col: str, tokens: Sequence[str], mode: str = "exact") -> DataFrame:
     """Distinct values of ``col`` that count as failures by default
-    (``value``), sorted; one partial-aggregated distinct, no driver loop."""
+    (``value``), sorted.  The tokens are tested on the distinct values only
+    (combined map-side)."""
     return (
-        df.where(_status_test(col, tokens, mode))
+        df.select(qcol(col)).distinct()
+        .where(_status_test(col, tokens, mode))
         .select(qcol(col).cast("string").alias("value"))
         .distinct()
         .orderBy("value")
@@ -148,7 +150,8 @@ def status_inference_many(
         for label, (toks, mode) in specs.items()
     ]
     return (
-        df.select(F.inline(F.array(*rows)))
+        df.select(qcol(col)).distinct()
+        .select(F.inline(F.array(*rows)))
         .where("keep")
         .select("label", "value")
         .distinct()

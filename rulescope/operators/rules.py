@@ -50,6 +50,8 @@ TOTAL_COL = "_TOTAL_FAILS"
 OK_COL = "_IS_OK"
 
 _NUMBER_RE = re.compile(NUMBER_TEXT.strip("^$"))
+# Digits with at most one dot, at least one digit.
+_UNSIGNED_DECIMAL = re.compile(r"[0-9]+\.?[0-9]*|\.[0-9]+")
 
 
 class RuleError(ValueError):
@@ -120,10 +122,7 @@ def parse_threshold(val: Any, mode: str = "strict") -> float:
     """
     text = "" if val is None else str(val)
     if mode == "compat":
-        try:
-            return float(text) if text.replace(".", "", 1).isdigit() else 0.0
-        except ValueError:
-            return 0.0
+        return float(text) if _UNSIGNED_DECIMAL.fullmatch(text) else 0.0
     stripped = text.strip()
     if not _NUMBER_RE.fullmatch(stripped):
         raise RuleError(f"threshold {val!r} is not a number")

@@ -17,13 +17,11 @@ chosen for large inputs:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from typing import Any
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +36,6 @@ from rulescope.functions.columns import (
 )
 from rulescope.operators.rules import Evaluation, _as_number, resolve_column
 
-# Above this many keys a top-N key list is joined with a shuffle instead of
-# being broadcast.
-BROADCAST_KEYS_MAX = 100_000
-
 # The site table's drill-down levels (in cascade order), the
 # default hierarchy of the deficiency matrix and the two-key matrix defaults.
 DRILLDOWN_LEVELS = ["Auto_Circle", "Site- Principal Owner", "Macro/ULS", "District", "Town", "Cluster"]
@@ -274,20 +268,6 @@ def matrix_keys(columns: Sequence[str], preferred: Sequence[str] = MATRIX_TWO_KE
     return [resolve_column(columns, c) or columns[0] for c in preferred]
 
 
-@contextmanager
-def persisted(ev: Evaluation, keep: Sequence[str] = ()) -> Iterator[Evaluation]:
-    """Evaluate once for several views: persist the evaluated table reduced
-    to ``keep`` + the generated columns (memory, spilling to disk), yield it,
-    and release it afterwards.  Only worth it when several views are
-    computed in the same job."""
-    cols = [c for c in keep if c in ev.df.columns] + ev.generated
-    df = ev.df.select(*[qcol(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield ev.with_df(df)
-    finally:
-        df.unpersist()
-
-
 # --------------------------------------------------------------------------
 # Long failure table and distributions
 # --------------------------------------------------------------------------
@@ -297,85 +277,36 @@ def failure_long(ev: Evaluation, ids: str | Sequence[str]) -> DataFrame:
     """One row per failing (row, rule): ``ids`` + ``failure_type``.
 
     Generates rows only for failing flags (an array of the failing rule
-    names, exploded), never a row per (row, rule) pair.
+    names, exploded), never a row per (row, rule) pair.  The outer explode
+    keeps Catalyst from testing the array's size before it, which would
+    evaluate every rule a second time.
     """
     labels = F.array(*[F.when(ev.fail(r.name), F.lit(r.name)) for r in ev.rules])
+    if not ev.rules:
+        labels = F.expr("cast(array() as array<string>)")
     return (
         ev.df.select(*[qcol(i) for i in _keys(ids)], F.array_compact(labels).alias("__f"))
-        .select(*[qcol(i) for i in _keys(ids)], F.explode("__f").alias("failure_type"))
+        .select(*[qcol(i) for i in _keys(ids)], F.explode_outer("__f").alias("failure_type"))
+        .where("failure_type IS NOT NULL")
     )
 
 
-# Above this many rules, distribution_by_dim(strategy="auto") shuffles the
-# failing (entity, rule) pairs instead of one wide row of counters per entity.
-LONG_DISTRIBUTION_RULES = 64
-
-
-def distribution_by_dim(
-    ev: Evaluation, dim: str, top_n: int | None = None, *, strategy: str = "auto"
-) -> DataFrame:
+def distribution_by_dim(ev: Evaluation, dim: str, top_n: int | None = None) -> DataFrame:
     """Failures per (``dim`` value, rule) for the ``top_n`` entities with the
     most failures (all entities when ``None``); ties by key ascending.
 
-    ``strategy="wide"``: one wide per-entity aggregate (a count per rule and
-    the total, one exchange), the top ``top_n`` of its rows
-    (``TakeOrderedAndProject``), then an unpivot of those rows; the per-rule
-    counts travel with the ranked rows, so no join is needed.  Best for few
-    rules or few entities.
-
-    ``strategy="long"``: only failing (entity, rule) pairs are generated and
-    counted (map-side combined), the entity total is a window sum over at
-    most one row per rule, and the top-N keys (at most N) restrict the
-    result by a semi-join.  Shuffles far less when there are many rules and
-    entities and failures are sparse.  ``"auto"`` picks it above
-    ``LONG_DISTRIBUTION_RULES`` rules.  Both give the same rows.
+    One scan and no join: failing (entity, rule) pairs are counted, combined
+    map-side; an entity's counts (at most one per rule) are gathered in one
+    row with their total; the best rows are taken and unpivoted.
     """
-    if strategy not in ("auto", "wide", "long"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "long" or (strategy == "auto" and len(ev.rules) > LONG_DISTRIBUTION_RULES):
-        return _distribution_long(ev, dim, top_n)
-    aggs = [F.count_if(ev.fail(r.name)).alias(f"__r{i}") for i, r in enumerate(ev.rules)]
-    wide = (
-        ev.df.groupBy(qcol(dim))
-        .agg(F.sum(ev.total).cast("bigint").alias("total_errors"), *aggs)
-        .where(F.col("total_errors") > 0)
+    counts = failure_long(ev, dim).groupBy(qcol(dim), "failure_type").agg(F.count(F.lit(1)).alias("failures"))
+    wide = counts.groupBy(qcol(dim)).agg(
+        F.sum("failures").alias("total_errors"),
+        F.sort_array(F.collect_list(F.struct("failure_type", "failures"))).alias("__by_rule"),
     )
     if top_n is not None:
         wide = top_groups(wide, dim, "total_errors", top_n)
-    if not ev.rules:  # nothing applied: the usual columns, no rows
-        return wide.select(
-            qcol(dim),
-            "total_errors",
-            F.lit(None).cast("string").alias("failure_type"),
-            F.lit(None).cast("bigint").alias("failures"),
-        ).where(F.lit(False))
-    structs = [
-        F.struct(F.lit(r.name).alias("failure_type"), F.col(f"__r{i}").alias("failures"))
-        for i, r in enumerate(ev.rules)
-    ]
-    return (
-        wide.select(qcol(dim), "total_errors", F.inline(F.array(*structs)))
-        .where(F.col("failures") > 0)
-    )
-
-
-def _distribution_long(ev: Evaluation, dim: str, top_n: int | None) -> DataFrame:
-    counts = (
-        failure_long(ev, dim)
-        .groupBy(qcol(dim), "failure_type")
-        .agg(F.count(F.lit(1)).alias("failures"))
-    )
-    # one row per (entity, rule): a window partition holds at most as many
-    # rows as there are rules, whatever the entity's size
-    totals = counts.withColumn("total_errors", F.sum("failures").over(Window.partitionBy(qcol(dim))))
-    out = totals.select(qcol(dim), F.col("total_errors").cast("bigint").alias("total_errors"), "failure_type", "failures")
-    if top_n is None:
-        return out
-    keys = top_groups(out.select(qcol(dim), "total_errors").distinct(), dim, "total_errors", top_n)
-    keys = keys.select(qcol(dim).alias("__k"))
-    if top_n <= BROADCAST_KEYS_MAX:
-        keys = F.broadcast(keys)
-    return out.join(keys, on=qcol(dim).eqNullSafe(F.col("__k")), how="left_semi")
+    return wide.select(qcol(dim), "total_errors", F.inline("__by_rule"))
 
 
 def restrict_to_top(
@@ -384,12 +315,10 @@ def restrict_to_top(
     """Detail rows (e.g. the long failure table) of the ``top_n`` entities
     with the most failures: a left-semi join with the top-N key list.
 
-    The key list has at most ``top_n`` rows, so it is broadcast when
-    ``top_n <= BROADCAST_KEYS_MAX``; above that it is a shuffled semi-join.
+    The key list has at most ``top_n`` rows; adaptive execution broadcasts it
+    if it is small in bytes.
     """
     keys = top_groups(errors_by(ev, dim), dim, "total_errors", top_n).select(qcol(dim).alias("__k"))
-    if top_n <= BROADCAST_KEYS_MAX:
-        keys = F.broadcast(keys)
     return detail.join(keys, on=qcol(dim).eqNullSafe(F.col("__k")), how="left_semi")
 
 
@@ -528,7 +457,9 @@ def facets_cascade(
     *,
     unknown_label: str | None = None,
 ) -> DataFrame:
-    """Options of every facet level in one scan.
+    """Options of every facet level in one scan: the distinct combinations of
+    the levels' columns first (combined map-side), then a row per level of
+    each.
 
     The options of level *n* are the distinct values of that column among
     the rows matching the selections made at levels < *n* (``None``/``All``
@@ -558,8 +489,9 @@ def facets_cascade(
                 prefix.append(qcol(col).isNull() | _equals(df, col, chosen))
             else:
                 prefix.append(_equals(df, col, chosen))
+    combinations = df.select(*[qcol(c) for c in dict.fromkeys(levels)]).distinct()
     return (
-        df.select(F.inline(F.array(*structs)))
+        combinations.select(F.inline(F.array(*structs)))
         .where("keep")
         .select("level", "facet", "value")
         .distinct()

@@ -396,7 +396,9 @@ FROM ev5 WHERE _TOTAL_FAILS > 0""",
 def actionable_sites(spark, sf_dir):
     """Sites needing action, worst first, in the fixed display columns that
     exist ("Site Type" is not a column here and is left out)."""
-    ev = ev_v5(spark, sf_dir)
+    # One evaluation, written: the filter and the sort (which samples its
+    # input first) then read the copy instead of running the rules again.
+    ev = V.materialized(ev_v5(spark, sf_dir))
     df = P.with_reasons(ev).where(~ev.ok).orderBy(F.col(ev.total_col).desc(), F.col("`SITE ID`"))
     return V.display_columns(
         df,

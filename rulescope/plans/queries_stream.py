@@ -5,7 +5,7 @@ from __future__ import annotations
 from rulescope.plans.queries import EV_ORDERS, Q_CRITS, Q_FAILS, Q_NAMES, pack_q, register, table
 from rulescope.plans.oracle import d_pct_text
 from rulescope.session import shared_path
-from rulescope.streaming.stream import append_evaluated, evaluate_stream, read_uploads, running_matrix
+from rulescope.streaming.stream import append_evaluated, evaluate_stream, read_uploads, latest_matrix, running_matrix
 
 
 def _orders_stream(spark, sf_dir):
@@ -44,4 +44,4 @@ def stream_matrix(spark, sf_dir):
     sink, ckpt = shared_path(spark, "stream-matrix"), shared_path(spark, "stream-matrix-ckpt")
     q = running_matrix(ev, ["o_orderstatus", "o_orderpriority"], sink, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return latest_matrix(spark, sink)

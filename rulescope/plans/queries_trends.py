@@ -8,12 +8,17 @@ go to fresh folders under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from rulescope.operators import packs as P
 from rulescope.operators import trends as TR
-from rulescope.operators.rules import evaluate
+from rulescope.operators.rules import Rule, evaluate
 from rulescope.plans.oracle import d_num_text
-from rulescope.plans.queries import EV_ORDERS, ORACLE, Q_CRITS, Q_FAILS, pack_q, register, table
+from rulescope.plans.queries import EV_ORDERS, ORACLE, Q_CRITS, Q_FAILS, Q_NAMES, pack_q, register, table
+from rulescope.plans.queries_packs import sites_v1, sites_v5
 from rulescope.session import shared_path
 from rulescope.sources import files as FL
 from rulescope.sources import headers as H
@@ -76,19 +81,40 @@ def period_means(spark, sf_dir):
     return _r4(TR.period_means(trend_rows(spark, sf_dir)), _MEAN_COLS)
 
 
-@register(
-    "month_pivot",
-    f"""WITH t AS (SELECT "Site ID", printf('%04d-%02d', source_year, source_month) AS period,
-                  EB_Run_Avg, {_DG} AS DG_Run_Avg FROM {TREND_SQL}),
-u AS (UNPIVOT t ON EB_Run_Avg, DG_Run_Avg INTO NAME metric VALUE v),
-p AS (SELECT "Site ID", metric || '_' || period AS pivot_col, v FROM u)
-SELECT * FROM (PIVOT p ON pivot_col USING max(v) GROUP BY "Site ID")""",
-)
+# Every month of the driver's orders; DuckDB cannot keep a PIVOT without a list
+# of values as a view, so each cell is its own conditional aggregate.
+_PERIODS = [f"{y:04d}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 8)]
+_PIVOT_ROWS = f"""(SELECT "Site ID", printf('%04d-%02d', source_year, source_month) AS period,
+                  EB_Run_Avg, {_DG} AS DG_Run_Avg FROM {TREND_SQL})"""
+
+
+def _pivot_sql(metrics: list[str], periods: list[str], absent: tuple[str, ...] = ()) -> str:
+    cells = [
+        f'NULL::DOUBLE AS "{m}_{p}"' if m in absent else f"max(CASE WHEN period = '{p}' THEN {m} END) AS \"{m}_{p}\""
+        for m in metrics
+        for p in periods
+    ]
+    kept = ", ".join(f"'{p}'" for p in periods)
+    return f'SELECT "Site ID", {", ".join(cells)} FROM {_PIVOT_ROWS} WHERE period IN ({kept}) GROUP BY "Site ID"'
+
+
+@register("month_pivot", _pivot_sql(["EB_Run_Avg", "DG_Run_Avg"], _PERIODS))
 def month_pivot(spark, sf_dir):
     """Site x (metric, month) report over every month present."""
     return TR.month_pivot(trend_rows(spark, sf_dir), ["Site ID"], ["EB_Run_Avg", "DG_Run_Avg"])
 
 
+_SELECTED = ["1996-01", "1997-06", "2000-12"]
+
+
+@register("month_pivot_selected", _pivot_sql(["EB_Run_Avg", "BB_Run_Avg", "DG_Run_Avg"], _SELECTED, ("BB_Run_Avg",)))
+def month_pivot_selected(spark, sf_dir):
+    """The report over three chosen months; a metric that the table lacks
+    gives empty columns in its place."""
+    metrics = ["EB_Run_Avg", "BB_Run_Avg", "DG_Run_Avg"]
+    return TR.month_pivot(trend_rows(spark, sf_dir), ["Site ID"], metrics, periods=_SELECTED)
+
+
 @register(
     "report_header",
     f"""WITH p AS (SELECT DISTINCT source_year, source_month FROM {TREND_SQL}),
@@ -193,14 +219,48 @@ def _materialize(spark, df):
 @register(
     "stack_months",
     f"""SELECT {_ORD}, monthname(o_orderdate) AS Source_Month, year(o_orderdate)::INTEGER AS Source_Year
-FROM orders""",
+FROM orders WHERE (year(o_orderdate), month(o_orderdate)) IN ((1996, 1), (1997, 6), (2000, 12))""",
 )
 def stack_months(spark, sf_dir):
-    """Months chosen from the store (here: all of them) stacked in one scan
-    of the store with a partition filter on the chosen months, each row
-    tagged with its month name and year."""
+    """Three months chosen from a store of all (a fourth choice is absent),
+    stacked: only their folders are read, and each row is tagged with its
+    month name and year."""
     store = _store_with_orders(spark, sf_dir)
-    return store.load_months(store.months()).select(*_ORD.split(", "), "Source_Month", "Source_Year")
+    chosen = store.load_months([(1996, 1), (1997, 6), (2000, 12), (1901, 1)])
+    return chosen.select(*_ORD.split(", "), "Source_Month", "Source_Year")
+
+
+@register(
+    "store_schema_drift",
+    """SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1996 THEN 'x' || CAST(o_custkey AS VARCHAR)
+    ELSE CAST(o_custkey AS VARCHAR) END AS o_custkey,
+  CASE WHEN year(o_orderdate) = 1997 THEN o_totalprice END AS o_totalprice,
+  year(o_orderdate)::INTEGER AS source_year, 1 AS source_month
+FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997) AND month(o_orderdate) = 1""",
+)
+def store_schema_drift(spark, sf_dir):
+    """Three uploads of one store: the second has a column as text that is a
+    number elsewhere, the third a metric that the others lack."""
+    store = TrendStore(spark, shared_path(spark, "trend-store"))
+    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate") == 1)
+    for year in (1995, 1996, 1997):
+        part = o.where(F.year("o_orderdate") == year)
+        custkey = F.concat(F.lit("x"), F.col("o_custkey").cast("string")) if year == 1996 else F.col("o_custkey")
+        cols = [F.col("o_orderkey"), custkey.alias("o_custkey")] + ([F.col("o_totalprice")] if year == 1997 else [])
+        store.save_month(part.select(*cols), year, 1)
+    return store.load_all().select("o_orderkey", "o_custkey", "o_totalprice", TR.YEAR_COL, TR.MONTH_COL)
+
+
+@register(
+    "store_empty_replace",
+    f"""SELECT {_ORD}, year(o_orderdate)::INTEGER AS source_year, month(o_orderdate)::INTEGER AS source_month
+FROM orders WHERE NOT (year(o_orderdate) = 1997 AND month(o_orderdate) = 6)""",
+)
+def store_empty_replace(spark, sf_dir):
+    """An upload without rows replaces the month that was there."""
+    store = _store_with_orders(spark, sf_dir)
+    store.save_month(table(spark, sf_dir, "orders").select(*_ORD.split(", ")).where("false"), 1997, 6)
+    return store.load_all().select(*_ORD.split(", "), TR.YEAR_COL, TR.MONTH_COL)
 
 
 @register(
@@ -213,34 +273,135 @@ def store_catalogue(spark, sf_dir):
     return _store_with_orders(spark, sf_dir).list_months()
 
 
-@register("rules_roundtrip", f"WITH {EV_ORDERS}\nSELECT o_orderkey, {', '.join(Q_FAILS)}, {', '.join(Q_CRITS)}, _TOTAL_FAILS, _IS_OK FROM ev")
+_LISTED = ["1-URGENT", "5-LOW, padded", " 2-HIGH", "3-MEDIUM"]
+
+
+@register(
+    "rules_roundtrip",
+    f"""WITH {EV_ORDERS} SELECT o_orderkey, {', '.join(Q_FAILS)}, {', '.join(Q_CRITS)},
+  o_orderpriority IN ('1-URGENT', '3-MEDIUM') AS FAIL_listed, false AS CRIT_listed,
+  CAST(_TOTAL_FAILS + CAST(o_orderpriority IN ('1-URGENT', '3-MEDIUM') AS INTEGER) AS INTEGER) AS _TOTAL_FAILS,
+  _IS_OK AND NOT (o_orderpriority IN ('1-URGENT', '3-MEDIUM')) AS _IS_OK FROM ev""",
+)
 def rules_roundtrip(spark, sf_dir):
-    """Rule set -> JSON file -> rule set -> evaluation."""
+    """Rule set -> JSON file -> rule set -> evaluation; one rule holds a list
+    with a comma and with padding inside its items."""
     path = shared_path(spark, "rules")
-    write_rules(spark, pack_q(), path)
+    listed = Rule(name="listed", fail_col="o_orderpriority", fail_op="in_exact", fail_val=_LISTED)
+    write_rules(spark, [*pack_q(), listed], path)
     ev = evaluate(table(spark, sf_dir, "orders"), read_rules(spark, path))
     return ev.df.select("o_orderkey", *ev.fail_cols, *ev.crit_cols, ev.total_col, ev.ok_col)
 
 
+@register("rules_roundtrip_fixed", ORACLE["fixed_kpi_pack"])
+def rules_roundtrip_fixed(spark, sf_dir):
+    """The fixed pack, whose values are lists, through a rule file."""
+    path = shared_path(spark, "rules")
+    write_rules(
+        spark,
+        P.fixed_kpi_pack("Battery Backup (Hrs)", "DG Automation Status", "SNMP Communicated", "RM Count (N+1)"),
+        path,
+    )
+    ev = evaluate(sites_v1(spark, sf_dir), read_rules(spark, path))
+    return ev.df.select("`SITE ID`", *[f"`{c}`" for c in ev.fail_cols], ev.total_col, ev.ok_col)
+
+
+@register("rules_roundtrip_scoped", ORACLE["explicit_status_pack"])
+def rules_roundtrip_scoped(spark, sf_dir):
+    """The scoped pack with chosen status lists through a rule file."""
+    path = shared_path(spark, "rules")
+    write_rules(
+        spark,
+        P.nested_kpi_pack(
+            "DG/Non-DG", "DG Automation Status", "Battery Backup (Hrs)", "RM Count (N+1)",
+            snmp_col="SNMP Communicated (Y/N)", dg_states=["Failed", "No"], rm_states=["Degraded"],
+            snmp_states=["No"], generation=5,
+        ),
+        path,
+    )
+    ev = evaluate(sites_v5(spark, sf_dir), read_rules(spark, path))
+    return ev.df.select("`SITE ID`", *[f"`{c}`" for c in ev.fail_cols], ev.total_col)
+
+
+@register(
+    "rules_lenient",
+    """WITH f AS (SELECT o_orderkey, coalesce(o_totalprice > 0.0, false) AS FAIL_compat,
+  o_orderstatus = 'F' AS FAIL_no_scope, false AS FAIL_unknown_op FROM orders)
+SELECT o_orderkey, FAIL_compat, FAIL_no_scope, FAIL_unknown_op,
+  CAST(CAST(FAIL_compat AS INTEGER) + CAST(FAIL_no_scope AS INTEGER) AS INTEGER) AS _TOTAL_FAILS,
+  NOT FAIL_compat AND NOT FAIL_no_scope AS _IS_OK, 'absent' AS skipped FROM f""",
+)
+def rules_lenient(spark, sf_dir):
+    """The lenient modes of the first dashboards: a threshold that is no
+    number counts as 0, a scope on an absent column is ignored, an unknown
+    operator fails nothing, a rule on an absent column is skipped."""
+    rules = [
+        Rule(name="compat", fail_col="o_totalprice", fail_op=">", fail_val="n/a"),
+        Rule(name="no_scope", use_pre=True, pre_col="nowhere", pre_op="==", pre_val="x",
+             fail_col="o_orderstatus", fail_op="==", fail_val="F"),
+        Rule(name="unknown_op", fail_col="o_orderstatus", fail_op="~", fail_val="F"),
+        Rule(name="absent", fail_col="nowhere", fail_op="==", fail_val="x"),
+    ]
+    ev = evaluate(
+        table(spark, sf_dir, "orders"), rules, on_missing="ignore_layer", threshold_mode="compat", strict_ops=False
+    )
+    skipped = ",".join(name for name, _ in ev.skipped)
+    return ev.df.select("o_orderkey", *ev.fail_cols, ev.total_col, ev.ok_col, F.lit(skipped).alias("skipped"))
+
+
+@register(
+    "rules_skip_missing",
+    """SELECT o_orderkey, o_orderstatus = 'F' AS FAIL_status, CAST(o_orderstatus = 'F' AS INTEGER) AS _TOTAL_FAILS
+FROM orders""",
+)
+def rules_skip_missing(spark, sf_dir):
+    """A rule whose scope names an absent column is left out."""
+    rules = [
+        Rule(name="scoped", use_pre=True, pre_col="nowhere", pre_op="==", pre_val="x",
+             fail_col="o_orderstatus", fail_op="==", fail_val="F"),
+        Rule(name="status", fail_col="o_orderstatus", fail_op="==", fail_val="F"),
+    ]
+    ev = evaluate(table(spark, sf_dir, "orders"), rules, on_missing="skip_rule")
+    return ev.df.select("o_orderkey", *ev.fail_cols, ev.total_col)
+
+
 @register(
     "csv_roundtrip",
-    """SELECT n_nationkey::BIGINT AS "Nation Key", n_name AS "Name",
-  CASE WHEN n_regionkey IN (0, 1) THEN NULL ELSE n_regionkey::BIGINT END AS "Region Key",
-  n_name AS "name__1" FROM nation""",
+    """SELECT c_custkey::BIGINT AS "Cust Key", '  ' || c_name || ' ' AS "Name",
+  CASE WHEN c_nationkey IN (0, 1) THEN NULL ELSE c_nationkey::BIGINT END AS "Nation Key",
+  c_mktsegment AS "name__1", CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS "Balance" FROM customer""",
 )
 def csv_roundtrip(spark, sf_dir):
-    """CSV with multi-line, padded and case-duplicate headers and missing
-    tokens -> cleaned, typed frame."""
-    n = table(spark, sf_dir, "nation")
-    rk = F.col("n_regionkey")
-    messy = n.select(
-        F.col("n_nationkey").alias("Nation\nKey"),
-        F.col("n_name").alias("  Name "),
-        F.when(rk == 0, "None").when(rk == 1, "N/A").otherwise(rk.cast("string")).alias("Region   Key"),
-        F.col("n_name").alias("name"),
-    )
-    path = shared_path(spark, "csv")
-    FL.write_csv(messy, path)
+    """Two uploads with multi-line, padded and case-duplicate headers, their
+    columns in another order and one with a column more, in several files,
+    with padded values and missing tokens -> one cleaned, typed frame."""
+    c = table(spark, sf_dir, "customer")
+    nk = F.col("c_nationkey")
+    messy = [
+        F.col("c_custkey").alias("Cust\nKey"),
+        F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")).alias("  Name "),
+        F.when(nk == 0, "None").when(nk == 1, "N/A").otherwise(nk.cast("string")).alias("Nation   Key"),
+        F.col("c_mktsegment").alias("name"),
+    ]
+    paths = [shared_path(spark, "csv"), shared_path(spark, "csv")]
+    even = F.col("c_custkey") % 2 == 0
+    FL.write_csv(c.where(~even).repartition(3).select(*messy), paths[0])
+    # The second upload's first duplicate is still "Name": its order is kept.
+    other = [messy[2], F.col("c_acctbal").alias("Balance"), messy[1], messy[0], messy[3]]
+    FL.write_csv(c.where(even).repartition(2).select(*other), paths[1])
+    return FL.read_csv(spark, paths)
+
+
+@register(
+    "stacked_export",
+    f"""SELECT o_orderkey::BIGINT AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, o_totalprice,
+  o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'January' ELSE 'February' END AS Source_Month,
+  2024::BIGINT AS Source_Year FROM orders""",
+)
+def stacked_export(spark, sf_dir):
+    """Two uploads stacked, exported as CSV and read back."""
+    path = shared_path(spark, "stacked")
+    FL.write_csv(stack_frames(spark, sf_dir), path)
     return FL.read_csv(spark, path)
 
 
@@ -299,14 +460,29 @@ def kpi_exports(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@register("report_job", ORACLE["matrix_two_key"])
+@register(
+    "report_job",
+    f"""SELECT 'summary' AS output, NULL::VARCHAR AS key1, NULL::VARCHAR AS key2, total_sites AS n1, ok_sites AS n2
+FROM ({ORACLE["health_summary"]})
+UNION ALL SELECT 'kpi_totals', failure_type, NULL, fail_count, crit_count FROM ({ORACLE["kpi_totals"]})
+UNION ALL SELECT 'matrix', o_orderstatus, o_orderpriority, total_sites, deficient_sites FROM ({ORACLE["matrix_two_key"]})
+UNION ALL (WITH {EV_ORDERS}, d AS ({" UNION ALL ".join(
+    f"SELECT o_orderpriority AS k, '{n}' AS t FROM ev WHERE FAIL_{n}" for n in Q_NAMES)})
+  SELECT 'distribution', k, t, count(*)::BIGINT, (sum(count(*)) OVER (PARTITION BY k))::BIGINT FROM d GROUP BY k, t)
+UNION ALL (WITH {EV_ORDERS}
+  SELECT 'export_actionable', NULL, NULL, count(*)::BIGINT, sum(o_orderkey)::BIGINT FROM ev WHERE FAIL_urgent_f)
+UNION ALL (WITH {EV_ORDERS}
+  SELECT 'export_severe', NULL, NULL, count(*)::BIGINT, coalesce(sum(o_orderkey), 0)::BIGINT
+  FROM ev WHERE FAIL_urgent_f AND _TOTAL_FAILS >= 3)""",
+)
 def report_job(spark, sf_dir):
     """The batch report (rule file -> evaluated copy -> every view and the
-    exports of rules flagged for a deep dive), read back: its matrix."""
+    exports of rules flagged for a deep dive), read back: all its outputs."""
     from rulescope.report import run_report
 
     rules_path = shared_path(spark, "report-rules")
-    write_rules(spark, pack_q(), rules_path)
+    rules = [replace(r, make_dash=r.name == "urgent_f") for r in pack_q()]
+    write_rules(spark, rules, rules_path)
     written = run_report(
         spark,
         table(spark, sf_dir, "orders"),
@@ -315,23 +491,73 @@ def report_job(spark, sf_dir):
         matrix_keys=["o_orderstatus", "o_orderpriority"],
         dims=["o_orderpriority"],
     )
-    return spark.read.parquet(written["matrix"])
+
+    def part(name: str, output: str, key1: str | None, key2: str | None, n1: str, n2: str):
+        df = spark.read.parquet(written[name]) if not name.startswith("export") else FL.read_csv(spark, written[name])
+        key = lambda k: F.lit(None).cast("string") if k is None else F.col(k).cast("string")
+        return df.select(
+            F.lit(output).alias("output"), key(key1).alias("key1"), key(key2).alias("key2"),
+            F.expr(n1).cast("long").alias("n1"), F.expr(n2).cast("long").alias("n2"),
+        )
+
+    parts = [
+        part("summary", "summary", None, None, "total_sites", "ok_sites"),
+        part("kpi_totals", "kpi_totals", "failure_type", None, "fail_count", "crit_count"),
+        part("matrix", "matrix", "o_orderstatus", "o_orderpriority", "total_sites", "deficient_sites"),
+        part("distribution_o_orderpriority", "distribution", "o_orderpriority", "failure_type", "failures", "total_errors"),
+        part("export_urgent_f_actionable", "export_actionable", None, None, "count(1)", "coalesce(sum(o_orderkey), 0)"),
+        part("export_urgent_f_severe", "export_severe", None, None, "count(1)", "coalesce(sum(o_orderkey), 0)"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register(
     "header_clean",
-    """SELECT n_nationkey AS "Nation Key", n_name AS "Name", n_name AS "name__1",
-  n_regionkey AS "Region Key (N+1)" FROM nation""",
+    """SELECT o_orderkey AS "Order Key", o_orderstatus AS "Name", o_orderpriority AS "name__1",
+  o_custkey AS "Cust Key (N+1)" FROM orders""",
 )
 def header_clean(spark, sf_dir):
     """Header names with line breaks, runs of whitespace and a duplicate that
     differs only in case: normalised and made unique (a rename, no data
     work)."""
-    n = table(spark, sf_dir, "nation")
-    messy = n.select(
-        F.col("n_nationkey").alias("Nation\nKey"),
-        F.col("n_name").alias("  Name "),
-        F.col("n_name").alias("name"),
-        F.col("n_regionkey").alias("Region\t\tKey\n(N+1)"),
+    o = table(spark, sf_dir, "orders")
+    messy = o.select(
+        F.col("o_orderkey").alias("Order\nKey"),
+        F.col("o_orderstatus").alias("  Name "),
+        F.col("o_orderpriority").alias("name"),
+        F.col("o_custkey").alias("Cust\t\tKey\n(N+1)"),
     )
     return H.clean_headers(messy)
+
+
+@register(
+    "column_keywords",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS "Site ID", o_orderpriority AS "Cluster", o_orderstatus AS "DG Type (Macro/ULS)",
+  o_clerkish AS "DG Automation Status", o_totalprice AS "Battery Backup (Hrs)"
+FROM (SELECT *, 'c' || CAST(o_custkey AS VARCHAR) AS o_clerkish FROM orders)""",
+)
+def column_keywords(spark, sf_dir):
+    """Role columns found by the second dashboard's keywords; the role that no
+    column matches is left out."""
+    o = table(spark, sf_dir, "orders")
+    sites = o.select(
+        F.col("o_totalprice").alias("Battery Backup (Hrs)"),
+        F.col("o_orderpriority").alias("Zone"),
+        F.col("o_orderstatus").alias("Macro/ULS"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("DG Automation"),
+        F.col("o_orderkey").cast("string").alias("My SITE_ID"),
+    )
+    roles, _ = H.resolve_roles(sites.columns, H.ROLE_KEYWORDS_V4)
+    return H.select_roles(sites, roles)
+
+
+@register(
+    "optional_dimensions",
+    """SELECT o_orderpriority AS "Cluster", count(*)::BIGINT AS sites FROM orders GROUP BY 1""",
+)
+def optional_dimensions(spark, sf_dir):
+    """Rows per value of the first optional dimension that the table has (of
+    four, three are absent)."""
+    sites = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("Cluster"), "o_orderkey")
+    present = H.present_dimensions(sites.columns, ["Town", "Circle", "Cluster", "Owner"])
+    return sites.groupBy(*present).agg(F.count(F.lit(1)).alias("sites"))

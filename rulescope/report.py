@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from rulescope.operators import views as V
 from rulescope.operators.exports import export_kpi
 from rulescope.operators.rules import evaluate
+from rulescope.session import shared_path
 from rulescope.sources import files as FL
+from rulescope.sources import folders
 from rulescope.sources.headers import present_dimensions, with_circle
 from rulescope.sources.rules_io import read_rules
 
@@ -32,7 +34,9 @@ def load_table(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     """Parquet, or CSV read with the cleaning rules; ``fmt="auto"`` takes a
     path ending in ``.csv`` as CSV."""
     csv = fmt == "csv" or (fmt == "auto" and path.lower().endswith(".csv"))
-    return with_circle(FL.read_csv(spark, path) if csv else spark.read.parquet(path))
+    if csv:  # parsed once; all later reads are of the Parquet copy
+        return with_circle(FL.ingest_csv(spark, path, shared_path(spark, "ingested")))
+    return with_circle(spark.read.parquet(path))
 
 
 def run_report(
@@ -43,14 +47,19 @@ def run_report(
     *,
     matrix_keys: Sequence[str] | None = None,
     dims: Sequence[str] | None = None,
-    top_n: int | None = 10,
+    top_n: int | None = None,
     severe_at: int = 3,
     on_missing: str = "error",
 ) -> dict[str, str]:
     """Write every output under ``out``; returns the paths by output name."""
     base = out.rstrip("/")
-    ev = V.materialized(evaluate(table, read_rules(spark, rules_path), on_missing=on_missing))
-    keys = list(matrix_keys) if matrix_keys else V.hierarchy_keys(ev.source_columns)
+    lazy = evaluate(table, read_rules(spark, rules_path), on_missing=on_missing)
+    keys = list(matrix_keys) if matrix_keys else V.hierarchy_keys(lazy.source_columns)
+    present = present_dimensions(lazy.source_columns, list(dims) if dims else DISTRIBUTION_DIMS)
+    # Only what the outputs need is copied; exports hold all input columns.
+    needed = lazy.source_columns if lazy.dash_rules else list(dict.fromkeys([*keys, *present]))
+    copy = shared_path(spark, "evaluated")
+    ev = V.materialized(lazy, copy, keep=needed)
     written: dict[str, str] = {}
 
     def save(name: str, df: DataFrame) -> None:
@@ -61,12 +70,13 @@ def run_report(
     save("summary", V.health_summary(ev, severe_at=severe_at))
     save("kpi_totals", V.kpi_totals(ev))
     save("matrix", V.matrix(ev, keys))
-    for dim in present_dimensions(ev.source_columns, list(dims) if dims else DISTRIBUTION_DIMS):
+    for dim in present:
         save(f"distribution_{_safe(dim)}", V.distribution_by_dim(ev, dim, top_n=top_n))
     for rule in ev.dash_rules:
         exports = export_kpi(ev, rule.name, f"{base}/exports", severe_at=severe_at, materialize=False)
         for name, path in exports.items():
             written[f"export_{_safe(rule.name)}_{name}"] = path
+    folders.discard(spark, copy)
     return written
 
 
@@ -74,6 +84,10 @@ def _safe(text: str) -> str:
     return "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in text)
 
 
+def _top_n(text: str) -> int | None:
+    return None if text.lower() == "all" else int(text)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="rulescope")
     sub = ap.add_subparsers(dest="command", required=True)
@@ -84,7 +98,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     rep.add_argument("--out", required=True, help="output folder (shared file system)")
     rep.add_argument("--matrix-keys", nargs="*", default=None)
     rep.add_argument("--dims", nargs="*", default=None)
-    rep.add_argument("--top-n", type=int, default=10)
+    rep.add_argument("--top-n", type=_top_n, default=None, help="entities per distribution: a number, or all (default)")
     rep.add_argument("--severe-at", type=int, default=3)
     rep.add_argument("--on-missing", default="error", choices=["error", "skip_rule", "ignore_layer"])
     args = ap.parse_args(argv)

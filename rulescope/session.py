@@ -39,7 +39,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set: configure a folder on the cluster's shared file system"
             )

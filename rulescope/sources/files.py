@@ -1,9 +1,8 @@
-"""CSV ingest and CSV / Parquet sinks.
+"""CSV ingest and the CSV sink.
 
 CSV is read once, cleaned (header names, missing-value tokens, optional
 type detection) and written to Parquet; every later job reads the Parquet
-copy (columnar, splittable, filter pushdown).  Multi-line CSV cannot be
-split, which is one more reason to convert it once.
+copy (columnar, splittable, filter pushdown).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulescope.functions.columns import ASCII_WHITESPACE, NUMBER_TEXT, qcol
+from rulescope.sources import folders
 from rulescope.sources.headers import clean_headers
 
 # Text read as missing (pandas' default NA tokens).
@@ -50,40 +50,33 @@ def read_csv(
     na_tokens: Sequence[str] = NA_TOKENS,
     detect_types: bool = True,
     encoding: str = "UTF-8",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """Read a CSV with a header row (quoted fields may hold newlines).
+    """Read CSV files that each have a header row, united by column name.
 
     Columns are read as text, header names are normalised and made unique,
     the ``na_tokens`` become NULL, and (``detect_types``) a column whose
     non-missing values are all integers becomes BIGINT, all numbers DOUBLE.
     Type detection is one aggregate over the data, not a driver loop.
 
-    Multi-line parsing cannot split a file, so each file is one task.  For
-    large files whose header and fields hold no line breaks pass
-    ``multi_line=False``: Spark then splits every file into byte ranges read
-    in parallel.
+    Every file is read by its own header: files with the same columns in
+    another order, or with a column more, are united by name.  A row with
+    fewer cells than its header is filled with NULL; one with more raises an
+    error when it is read.
+
+    Rows are read line by line, so Spark splits large files into byte ranges.
+    Quoted fields with line breaks need ``multi_line=True``, which reads each
+    file in one task; a line break in the header alone is noticed.
     """
-    reader = (
-        spark.read.option("multiLine", bool(multi_line))
-        .option("escape", '"')
-        .option("encoding", encoding)
-        .option("inferSchema", False)
-    )
-    # Read the header record as data (Spark would rename duplicate header
-    # cells by appending the column index), then read the rows with an
-    # explicit all-text schema of that width: no second inference job.
-    header = reader.option("header", False).csv(path).first()
-    if header is None:  # empty input: no columns, no rows
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in _headers(spark, path, encoding):
+        groups.setdefault(header, []).append(file)
+    if not groups:  # empty input: no columns, no rows
         return spark.createDataFrame([], T.StructType([]))
-    names = [("" if v is None else v) for v in header]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    raw = reader.schema(schema).option("header", True).csv(path)
-    df = clean_headers(raw.toDF(*names))
-    # Multi-line parsing keeps the CR of CRLF line ends on the last field.
-    if multi_line:
-        last = df.columns[-1]
-        df = df.withColumn(last, F.rtrim(qcol(last), F.lit("\r")))
+    df = None
+    for header, files in groups.items():
+        part = _read_group(spark, files, header, encoding, multi_line)
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     tokens = list(na_tokens)
     df = df.select(
         *[F.when(qcol(c).isin(tokens), F.lit(None)).otherwise(qcol(c)).alias(c) for c in df.columns]
@@ -91,6 +84,51 @@ def read_csv(
     return detect_column_types(df) if detect_types else df
 
 
+def _reader(spark: SparkSession, encoding: str, multi_line: bool):
+    return (
+        spark.read.option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("encoding", encoding)
+        .option("inferSchema", False)
+    )
+
+
+def _headers(spark: SparkSession, path: str | Sequence[str], encoding: str) -> list[tuple[str, tuple[str, ...]]]:
+    """(file, header cells) of every file that has a header.  The header
+    record is read as data, because Spark would rename duplicate cells; only
+    the first record of each file is parsed."""
+    listed = folders.data_files(spark, path)
+    files = [] if listed is None else sorted(r["path"] for r in listed.collect())
+    out = []
+    for file in files:
+        first = _reader(spark, encoding, True).option("header", False).csv(file).first()
+        if first is not None:
+            out.append((file, tuple("" if v is None else v for v in first)))
+    if listed is None:
+        raise FileNotFoundError(f"no such path: {path}")
+    return out
+
+
+def _read_group(
+    spark: SparkSession, files: list[str], header: tuple[str, ...], encoding: str, multi_line: bool | None
+) -> DataFrame:
+    """Files of one header, as text columns under clean names."""
+    # Multi-line parsing keeps the CR of CRLF line ends on the last cell.
+    crlf = header[-1].endswith("\r")
+    names = [*header[:-1], header[-1].removesuffix("\r")]
+    whole = any("\n" in n or "\r" in n for n in names) if multi_line is None else multi_line
+    extra = f"_c{len(names)}"
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
+    raw = _reader(spark, encoding, whole).schema(schema).option("header", True).csv(files)
+    if whole and crlf:
+        # A full row's last cell ends in CR; a short row's CR is on another.
+        raw = raw.select(*[F.regexp_replace(c, "\r$", "").alias(c) if c == f"_c{len(names) - 1}" else F.col(c) for c in raw.columns])
+    too_wide = F.col(extra).isNotNull()
+    problem = F.raise_error(F.lit(f"CSV row with more than the {len(names)} cells of its header")).cast("boolean")
+    raw = raw.where(F.when(too_wide, problem).otherwise(F.lit(True))).drop(extra)
+    return clean_headers(raw.toDF(*names))
+
+
 def detect_column_types(df: DataFrame) -> DataFrame:
     """Cast text columns whose every non-NULL value is an integer that fits
     BIGINT (to BIGINT) or a finite number (to DOUBLE).  One global aggregate
@@ -156,8 +194,7 @@ def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     directory); ``single_file`` funnels everything through one task, which
     only suits small exports."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-
-
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    writer = out.write.mode("overwrite").option("header", True).option("escape", '"')
+    # Spark's writer would trim values.
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)

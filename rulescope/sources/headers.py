@@ -14,8 +14,8 @@ from rulescope.functions.columns import CIRCLE_DEFAULT, CIRCLE_PREFIXES, prefix_
 
 
 def normalize_header(name: object) -> str:
-    """Newlines to spaces, whitespace runs to one space, trimmed."""
-    return re.sub(r"\s+", " ", str(name).replace("\n", " ")).strip()
+    """White space of any kind, line breaks included, to single spaces."""
+    return " ".join(str(name).split())
 
 
 def make_unique(names: Sequence[str]) -> list[str]:
@@ -53,38 +53,43 @@ def clean_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*make_unique([normalize_header(c) for c in df.columns]))
 
 
-def find_column(columns: Sequence[str], pattern: str) -> str | None:
-    """First column (table order) whose lower-cased name matches ``pattern``
-    (regular expression search); None when nothing matches."""
-    rx = re.compile(pattern)
-    for c in columns:
-        if rx.search(c.lower()):
-            return c
-    return None
+def matching_columns(
+    columns: Sequence[str], *, pattern: str | None = None, keywords: Sequence[str] | None = None
+) -> list[str]:
+    """All columns, in table order, whose lower-cased name matches the regular
+    expression ``pattern`` or holds one of the ``keywords``."""
+    tests = [re.escape(k.lower()) for k in keywords or ()]
+    if pattern is not None:
+        tests.append(pattern)
+    if not tests:
+        return []
+    found = re.compile("|".join(f"(?:{t})" for t in tests))
+    return [c for c in columns if found.search(c.lower())]
 
 
 def find_columns(columns: Sequence[str], pattern: str) -> list[str]:
-    rx = re.compile(pattern)
-    return [c for c in columns if rx.search(c.lower())]
+    return matching_columns(columns, pattern=pattern)
+
+
+def find_column(columns: Sequence[str], pattern: str) -> str | None:
+    """First match of a pattern; None when nothing matches."""
+    return next(iter(matching_columns(columns, pattern=pattern)), None)
 
 
 def find_by_keywords(columns: Sequence[str], keywords: Sequence[str]) -> str | None:
-    """First column (table order) whose lower-cased name contains any keyword."""
-    for c in columns:
-        low = c.lower()
-        if any(k.lower() in low for k in keywords):
-            return c
-    return None
+    """First column that holds any keyword; None when none does."""
+    return next(iter(matching_columns(columns, keywords=keywords)), None)
 
 
 def resolve_roles(
     columns: Sequence[str],
-    patterns: Mapping[str, str],
+    patterns: Mapping[str, str | Sequence[str]],
     overrides: Mapping[str, str] | None = None,
 ) -> tuple[dict[str, str | None], dict[str, list[str]]]:
     """Role -> column map.  An explicit override wins; otherwise the first
-    match of the role's pattern.  Also returns the roles whose pattern
-    matched more than one column (ambiguous, worth a look)."""
+    match of the role's pattern (or of its keywords, if it has a list of
+    them).  Also returns the roles that matched more than one column
+    (ambiguous, worth a look)."""
     overrides = dict(overrides or {})
     out: dict[str, str | None] = {}
     ambiguous: dict[str, list[str]] = {}
@@ -94,7 +99,7 @@ def resolve_roles(
                 raise ValueError(f"override for {role!r}: no column {overrides[role]!r}")
             out[role] = overrides[role]
             continue
-        hits = find_columns(columns, pat)
+        hits = matching_columns(columns, pattern=pat) if isinstance(pat, str) else matching_columns(columns, keywords=pat)
         out[role] = hits[0] if hits else None
         if len(hits) > 1:
             ambiguous[role] = hits
@@ -112,9 +117,13 @@ def present_dimensions(columns: Sequence[str], wanted: Sequence[str]) -> list[st
     return [w for w in wanted if w in cols]
 
 
+# How a site-id column is named (lower-cased).
+SITE_ID_NAMES = ("site id", "site_id")
+
+
 def site_column(columns: Sequence[str]) -> str | None:
-    """The site-id column: first name containing ``site id`` or ``site_id``."""
-    return next((c for c in columns if "site id" in c.lower() or "site_id" in c.lower()), None)
+    """The site-id column."""
+    return find_by_keywords(columns, SITE_ID_NAMES)
 
 
 def with_circle(df: DataFrame, out_col: str = "Auto_Circle") -> DataFrame:
@@ -144,3 +153,13 @@ ROLE_PATTERNS_V5 = {
     "SNMP Communicated": r"snmp",
     "RM Count": r"rm.*count|rm.*n\+1",
 }
+
+# Role keywords of the second dashboard (lower-case substrings).
+ROLE_KEYWORDS_V4 = {
+    "Site ID": ["site id", "site_id", "siteid"],
+    "Cluster": ["cluster", "zone"],
+    "DG Type (Macro/ULS)": ["dg/non", "site type", "macro"],
+    "DG Automation Status": ["automation status", "snmp", "dg auto"],
+    "Battery Backup (Hrs)": ["battery backup (hrs)", "battery", "backup"],
+    "RM Count": ["rm count", "rm (n+1)", "rm status"],
+}

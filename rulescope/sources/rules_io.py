@@ -2,101 +2,86 @@
 
 A rule set is configuration: a short, user-written list (tens to hundreds of
 rules), so it is read to the driver and compiled there into one projection.
-Files hold either a JSON array of rule objects (the format users exchange)
-or JSON lines; both read through Spark, so the path may be on any shared
-file system.  Order is kept through a ``rule_no`` field.
+Files hold a JSON array of rule objects (the format users exchange) or JSON
+lines; both are read and written through Spark, so the path may be on any
+shared file system.  Values keep their JSON type: a list stays a list,
+whatever commas and padding its items hold.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import warnings
 from collections.abc import Iterable
+from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import SparkSession
 
 from rulescope.operators.rules import Rule
 
-RULE_SCHEMA = T.StructType(
-    [
-        T.StructField("rule_no", T.IntegerType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("use_pre", T.BooleanType()),
-        T.StructField("use_precond", T.BooleanType()),
-        T.StructField("pre_col", T.StringType()),
-        T.StructField("pre_op", T.StringType()),
-        T.StructField("pre_val", T.StringType()),
-        T.StructField("fail_col", T.StringType()),
-        T.StructField("fail_op", T.StringType()),
-        T.StructField("fail_val", T.StringType()),
-        T.StructField("use_nested", T.BooleanType()),
-        T.StructField("nest_col", T.StringType()),
-        T.StructField("nest_op", T.StringType()),
-        T.StructField("nest_val", T.StringType()),
-        T.StructField("use_severe", T.BooleanType()),
-        T.StructField("sev_col", T.StringType()),
-        T.StructField("sev_op", T.StringType()),
-        T.StructField("sev_val", T.StringType()),
-        T.StructField("make_dash", T.BooleanType()),
-        T.StructField("regex", T.BooleanType()),
-        T.StructField("reason", T.StringType()),
-    ]
-)
-
-_TEXT_VALUES = ("pre_val", "fail_val", "nest_val", "sev_val")
-
-
-def _value_text(v):
-    if v is None or isinstance(v, str):
-        return v
-    if isinstance(v, (list, tuple)):
-        return ",".join(str(x) for x in v)
-    return str(v)
-
-
-def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    rows = []
-    for i, r in enumerate(rules):
-        d = r.to_dict()
-        for k in _TEXT_VALUES:
-            d[k] = _value_text(d[k])
-        d["use_precond"] = None
-        d["rule_no"] = i + 1
-        rows.append(d)
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+_FIELDS = {f.name for f in fields(Rule)}
+_LIST_OPS = ("in", "not in", "in_exact", "in_ci", "contains_any")
+_VALUE_OF = {"pre_op": "pre_val", "fail_op": "fail_val", "nest_op": "nest_val", "sev_op": "sev_val"}
+_REGEX_MARKS = re.compile(r"[|^$*+?()\[\]{}\\]|\.\*")
+
+
+def rule_of(record: dict) -> Rule:
+    """A rule from one record; older names are understood, unknown keys and
+    NULLs are left out.  The text of a JSON list is read as that list where
+    the operator takes one."""
+    d = {k: v for k, v in record.items() if v is not None}
+    if "use_pre" not in d and "use_precond" in d:
+        d["use_pre"] = d["use_precond"]
+    for op, val in _VALUE_OF.items():
+        v = d.get(val)
+        if d.get(op) in _LIST_OPS and isinstance(v, str) and v.lstrip().startswith("["):
+            try:
+                d[val] = json.loads(v)
+            except json.JSONDecodeError:
+                pass  # hand-written text that only looks like a list
+        if d.get(op) == "Contains" and "regex" not in record and isinstance(v, str) and _REGEX_MARKS.search(v):
+            warnings.warn(
+                f"rule {d.get('name')!r}: {val} {v!r} looks like a regular expression but is matched as plain text; "
+                "add \"regex\": true to search by pattern",
+                stacklevel=2,
+            )
+    return Rule.from_dict({k: v for k, v in d.items() if k in _FIELDS})
 
 
 def write_rules(spark: SparkSession, rules: Iterable[Rule], path: str) -> None:
     """Write a rule set as one JSON array on one line: the folder ``path``
     holds a single small part file (Spark's output layout)."""
-    df = rules_frame(spark, rules)
-    packed = df.agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct(*[F.col(f.name) for f in RULE_SCHEMA.fields])))).alias("v")
-    )
-    packed.coalesce(1).write.mode("overwrite").text(path)
+    text = spark.createDataFrame([(rules_to_json(rules),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     """Read a rule set written by :func:`write_rules` or exchanged as a JSON
-    array / JSON lines; 8-key files (``use_precond``) load too."""
-    def load(multi_line: bool):
-        reader = spark.read.schema(RULE_SCHEMA).option("mode", "FAILFAST")
-        return reader.option("multiLine", multi_line).json(path).collect()
-
-    try:  # JSON lines, or an array on one line (as json.dumps writes it)
-        rows = load(False)
-    except Exception:  # noqa: BLE001 - e.g. a pretty-printed array: parse whole files
-        rows = load(True)
-    ordered = sorted(enumerate(rows), key=lambda t: (t[1]["rule_no"] is None, t[1]["rule_no"] or 0, t[0]))
-    out = []
-    for _, row in ordered:
-        d = {k: v for k, v in row.asDict().items() if v is not None}
-        d.pop("rule_no", None)
-        if "use_pre" not in d and "use_precond" in d:
-            d["use_pre"] = d.pop("use_precond")
-        d.pop("use_precond", None)
-        out.append(Rule.from_dict(d))
+    array / JSON lines; 8-key files (``use_precond``) load too.  Records with
+    a ``rule_no`` are ordered by it."""
+    records: list[dict] = []
+    files = spark.read.text(path, wholetext=True).orderBy("value").collect()
+    for row in files:
+        text = row["value"].strip()
+        if not text:
+            continue
+        if text.startswith("["):
+            records += json.loads(text)
+        else:
+            records += _objects(text)
+    order = sorted(range(len(records)), key=lambda i: (records[i].get("rule_no") is None, records[i].get("rule_no") or 0, i))
+    return [rule_of(records[i]) for i in order]
+
+
+def _objects(text: str) -> list[dict]:
+    """JSON objects one after the other, on one line each or pretty-printed."""
+    decoder, at, out = json.JSONDecoder(), 0, []
+    while at < len(text):
+        value, at = decoder.raw_decode(text, at)
+        out.append(value)
+        while at < len(text) and text[at] in " \t\r\n,":
+            at += 1
     return out
 
 
@@ -106,4 +91,4 @@ def rules_to_json(rules: Iterable[Rule]) -> str:
 
 
 def rules_from_json(text: str) -> list[Rule]:
-    return [Rule.from_dict(d) for d in json.loads(text)]
+    return [rule_of(d) for d in json.loads(text)]

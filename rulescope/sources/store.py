@@ -1,23 +1,22 @@
 """Month-partitioned trend store on Parquet.
 
-Layout: ``<root>/source_year=YYYY/source_month=M/part-*.parquet``.  Reading
-one month prunes partitions; saving a month replaces only that month
-(dynamic partition overwrite); deleting a month removes its directory
-through the Hadoop FileSystem of the path, so it works on any shared file
-system the cluster uses.
+Layout: ``<root>/source_year=YYYY/source_month=M/part-*.parquet``.  A month
+is read by its own path with its own schema, so a metric that appears in one
+month or changes its type is neither lost nor an error: months are united by
+column name, and a column whose type differs is widened to text (the rule of
+:func:`trends.stack`).  Saving a month replaces only that month (dynamic
+partition overwrite), an empty upload included; deleting a month removes its
+folder.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulescope.operators.trends import MONTH_COL, YEAR_COL, catalogue, month_name, tag_period
-
-
-_PARTITION = re.compile(rf"/{YEAR_COL}=(\d+)/{MONTH_COL}=(\d+)/")
+from rulescope.functions.columns import qcol
+from rulescope.operators.trends import MONTH_COL, YEAR_COL, catalogue, month_name, stack, tag_period
+from rulescope.sources import folders
 
 
 class TrendStore:
@@ -28,30 +27,26 @@ class TrendStore:
     # -- write ---------------------------------------------------------------
 
     def save_month(self, df: DataFrame, year: int, month: int) -> None:
-        """Save (or replace) one month; other months are untouched."""
+        """Save (or replace) one month; other months are untouched.  An empty
+        upload leaves the month without rows."""
         tagged = tag_period(df.drop(YEAR_COL, MONTH_COL), year, month)
-        self._write(tagged)
+        if df.isEmpty():  # an overwrite by partition would replace nothing
+            self.delete_month(year, month)
+        else:
+            self._write(tagged)
 
-    def save_tagged(self, df: DataFrame, files_per_month: int | None = None) -> None:
+    def save_tagged(self, df: DataFrame) -> None:
         """Save rows that already carry ``source_year`` / ``source_month``;
-        every month present is replaced, the others are untouched.
-
-        By default each task writes one file per month it holds.  With
-        ``files_per_month`` the rows are first hash-partitioned on (year,
-        month, salt), the salt being a hash of the row itself modulo
-        ``files_per_month``: a month's rows fall into at most that many
-        buckets, so a month is never funnelled into a single task and yields
-        at most ``files_per_month`` files.  The salt is deterministic, so a
-        task re-run after a lost executor produces the same split.
-        """
-        if files_per_month is not None and files_per_month > 0:
-            salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(int(files_per_month)))
-            df = df.repartition(F.col(YEAR_COL), F.col(MONTH_COL), salt)
+        every month present is replaced, the others are untouched."""
         self._write(df)
 
     def _write(self, df: DataFrame) -> None:
+        """Rebalanced by month: adaptive execution splits large months over
+        several tasks and merges small ones, so neither one task nor a file
+        per task and month results."""
         (
-            df.write.mode("overwrite")
+            df.hint("rebalance", YEAR_COL, MONTH_COL)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(YEAR_COL, MONTH_COL)
             .parquet(self.root)
@@ -59,34 +54,51 @@ class TrendStore:
 
     def delete_month(self, year: int, month: int) -> bool:
         """Remove one month; returns whether it existed."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{YEAR_COL}={int(year)}/{MONTH_COL}={int(month)}")
-        fs = path.getFileSystem(conf)
-        return bool(fs.exists(path) and fs.delete(path, True))
+        return folders.delete(self.spark, self._path(year, month))
 
     # -- read ----------------------------------------------------------------
 
+    def _path(self, year: int, month: int) -> str:
+        return f"{self.root}/{YEAR_COL}={int(year)}/{MONTH_COL}={int(month)}"
+
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return bool(path.getFileSystem(conf).exists(path))
+        """Any month is present."""
+        return bool(self.months())
 
     def load_all(self) -> DataFrame:
         """All months; the tags come from the partition columns."""
-        return self.spark.read.parquet(self.root)
+        return self._read(self.months())
 
     def load_month(self, year: int, month: int) -> DataFrame:
-        return self.load_all().where((F.col(YEAR_COL) == int(year)) & (F.col(MONTH_COL) == int(month)))
+        """One month with its own columns and types, read by its own path;
+        without rows (and with the store's columns) if it is absent."""
+        if (int(year), int(month)) in self.months():
+            return self._read([(int(year), int(month))])
+        return self.load_all().limit(0)
 
     def load_months(self, periods: list[tuple[int, int]]) -> DataFrame:
-        """Chosen months stacked, each row tagged with its month name and year
-        (one pruned scan instead of a union of per-month reads)."""
-        # one predicate on the partition columns (pruned like any other)
-        codes = sorted({int(y) * 100 + int(m) for y, m in periods})
-        key = F.col(YEAR_COL) * 100 + F.col(MONTH_COL)
-        return self.with_labels(self.load_all().where(key.isin(codes)))
+        """Chosen months stacked, each row tagged with its month name and
+        year; only their folders are read."""
+        wanted = {(int(y), int(m)) for y, m in periods}
+        return self.with_labels(self._read([p for p in self.months() if p in wanted]))
+
+    def _read(self, periods: list[tuple[int, int]]) -> DataFrame:
+        if not periods:
+            return self.spark.createDataFrame([], f"{YEAR_COL} int, {MONTH_COL} int")
+        reader = self.spark.read.option("basePath", self.root)
+        paths = [self._path(*p) for p in periods]
+        try:  # one scan; Spark unites the files' columns by name
+            return reader.option("mergeSchema", True).parquet(*paths)
+        except Exception as e:  # Spark's own exception class is not mapped to Python's
+            if "CANNOT_MERGE" not in str(e):
+                raise
+        # A type changed between months: read the months of one schema
+        # together and widen where the groups differ.
+        groups: dict[str, list[str]] = {}
+        for path in paths:
+            groups.setdefault(reader.parquet(path).schema.json(), []).append(path)
+        frames = [reader.parquet(*group) for group in groups.values()]
+        return stack([(f, {}) for f in frames], allow_missing=True)
 
     @staticmethod
     def with_labels(df: DataFrame) -> DataFrame:
@@ -98,14 +110,10 @@ class TrendStore:
         )
 
     def months(self) -> list[tuple[int, int]]:
-        """(year, month) pairs present, read from the partition folder names
-        of the file listing; no data file is opened."""
-        found = set()
-        for path in self.load_all().inputFiles():
-            m = _PARTITION.search(path)
-            if m:
-                found.add((int(m.group(1)), int(m.group(2))))
-        return sorted(found)
+        """(year, month) pairs present, by the names of the two partition
+        levels; no data file is opened."""
+        names = folders.partition_values(self.spark, self.root, (YEAR_COL, MONTH_COL))
+        return sorted((int(y), int(m)) for y, m in names)
 
     def period_labels(self) -> list[str]:
         """``yyyy-MM`` labels of :meth:`months` (for ``trends.month_pivot``)."""
@@ -113,4 +121,4 @@ class TrendStore:
 
     def list_months(self) -> DataFrame:
         """Catalogue: year, month, month_name, rows; chronological."""
-        return catalogue(self.load_all())
+        return catalogue(self.load_all().select(qcol(YEAR_COL), qcol(MONTH_COL)))

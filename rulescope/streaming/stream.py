@@ -4,7 +4,8 @@
 on a streaming DataFrame: each new file in the landing folder is evaluated
 once and appended to a Parquet sink (exactly-once through the sink's log and
 the checkpoint).  The running matrix is a streaming aggregate whose state is
-one row per group key; each micro-batch rewrites the small result table.
+one row per group key; each micro-batch writes the small result to a folder
+of its own, and readers take the newest complete one.
 Checkpoints live in the shared folder, so a lost executor or a restarted
 driver resumes where the last committed batch ended.
 """
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rulescope.operators import views as V
 from rulescope.operators.rules import Evaluation, Rule, evaluate
+from rulescope.sources import folders
 
 
 def read_uploads(
@@ -74,12 +76,18 @@ def running_matrix(
     available_now: bool = True,
     names: Mapping[str, str] | None = None,
 ) -> StreamingQuery:
-    """Keep the deficiency matrix of everything received so far in ``sink``
-    (complete output, rewritten per micro-batch)."""
+    """Keep the deficiency matrix of everything received so far in ``sink``;
+    read it with :func:`latest_matrix`.
+
+    Every micro-batch writes the complete result, one row per group, as one
+    file in a folder of its own, so a reader or a crash in between never sees
+    a result half gone; the folder before the last one is removed.
+    """
     result = V.matrix(ev, keys, names=names)
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        folders.discard(batch.sparkSession, f"{sink}/epoch={epoch - 2}")
 
     writer = (
         result.writeStream.outputMode("complete")
@@ -88,3 +96,11 @@ def running_matrix(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def latest_matrix(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest complete result of :func:`running_matrix`."""
+    epochs = [int(e) for (e,) in folders.partition_values(spark, sink, ["epoch"])]
+    if not epochs:
+        raise ValueError(f"no result in {sink} yet")
+    return spark.read.parquet(f"{sink}/epoch={max(epochs)}")

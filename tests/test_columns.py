@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulescope.functions.columns import (
-    balanced_sum,
     is_no,
     is_ok_token,
     is_yes,
@@ -91,12 +90,6 @@ def test_prefix_label(spark):
     assert got == ["Bihar", "Jharkhand", "Other", "Other"]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 16])
-def test_balanced_sum(spark, n):
-    cols = [F.lit(i) for i in range(n)]
-    assert spark.range(1).select(balanced_sum(cols).alias("s")).first()["s"] == sum(range(n))
-
-
 def test_card_text_matches_python_format(spark):
     from rulescope.functions.columns import pct_card_text
 

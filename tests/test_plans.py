@@ -66,7 +66,8 @@ def test_topn_distribution_is_one_scan(built):
     p = initial_plan(built["distribution_topn"])
     assert "TakeOrderedAndProject(limit=10" in p
     assert p.count("FileScan") == 1 and "BroadcastExchange" not in p
-    assert len(re.findall(r"Exchange hashpartitioning", p)) == 1
+    # pairs, then entities; both combined map-side
+    assert len(re.findall(r"Exchange hashpartitioning", p)) == 2
 
 
 def test_semi_join_broadcast_is_bounded(built):
@@ -136,24 +137,37 @@ def test_materialized_copy_takes_pushed_filters(spark, tmp_dir):
     assert sorted(view.collect()) == sorted(direct.collect())
 
 
-def test_semi_join_beyond_bound_is_shuffled(spark, monkeypatch):
+def test_semi_join_needs_no_broadcast(spark):
     from rulescope.operators import views as V
     from rulescope.plans.queries import ev_orders
 
     ev = ev_orders(spark, SF_SMALL)
     detail = V.failure_long(ev, ["o_orderkey", "o_custkey"])
-    small = V.restrict_to_top(detail, ev, "o_custkey", 10)
-    monkeypatch.setattr(V, "BROADCAST_KEYS_MAX", 5)
+    top = sorted(V.restrict_to_top(detail, ev, "o_custkey", 10).collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        big = V.restrict_to_top(detail, ev, "o_custkey", 10)
-        p = initial_plan(big)
+        shuffled = V.restrict_to_top(detail, ev, "o_custkey", 10)
+        p = initial_plan(shuffled)
         assert "BroadcastExchange" not in p and "LeftSemi" in p
-        assert sorted(big.collect()) == sorted(small.collect())
+        assert sorted(shuffled.collect()) == top
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_distribution_is_one_scan_without_join(built):
+    for name in ("distribution_topn", "distribution_by_dim"):
+        p = initial_plan(built[name])
+        assert p.count("FileScan") == 1 and "Join" not in p, name
+    assert "TakeOrderedAndProject" in initial_plan(built["distribution_topn"])
+
+
+def test_each_rule_is_evaluated_once_per_scan(built):
+    # '5-low' stands for one rule of the pack over orders
+    for name in ("failure_long", "distribution_by_dim", "distribution_topn", "kpi_by_cluster", "matrix_two_key"):
+        p = initial_plan(built[name])
+        assert p.count("5-low") <= p.count("FileScan") == 1, name
+
+
 def test_clean_export_evaluates_rules_once(built):
     # generated columns are pruned: the plan is a filter on the scan
     p = initial_plan(built["actionable_export"])

@@ -111,56 +111,3 @@ def test_views_reconcile(spark, rows):
     assert dist == sum(totals.values())
     hist = {r["fail_count"]: r["sites"] for r in V.fail_count_hist(ev).collect()}
     assert sum(hist.values()) == len(rows) and hist.get(0, 0) == s["ok_sites"]
-
-
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.sampled_from(TEXTS), st.sampled_from(NUMS)),
-                     min_size=1, max_size=40),
-       top_n=st.integers(min_value=1, max_value=3))
-def test_matrix_and_topn_match_brute_force(spark, rows, top_n):
-    import numpy as np
-
-    rules = [Rule(name="yes", fail_col="s", fail_op="==", fail_val="yes"),
-             Rule(name="low", fail_col="d", fail_op="<", fail_val="4")]
-    df = spark.createDataFrame(rows, "g string, s string, d double")
-    ev = evaluate(df, rules)
-
-    def flags(row):
-        return {"yes": _cond(row, "s", "==", "yes"), "low": _cond(row, "d", "<", "4")}
-
-    groups: dict = {}
-    for g, s_, d in rows:
-        f = flags((s_, d, None))
-        e = groups.setdefault(g, {"total": 0, "ok": 0, "yes": 0, "low": 0})
-        e["total"] += 1
-        e["ok"] += not any(f.values())
-        e["yes"] += f["yes"]
-        e["low"] += f["low"]
-    got = {r["g"]: r for r in V.matrix(ev, "g").collect()}
-    assert set(got) == set(groups)
-    for g, e in groups.items():
-        r = got[g]
-        assert (r["total_sites"], r["ok_sites"], r["yes"], r["low"]) == (e["total"], e["ok"], e["yes"], e["low"])
-        assert r["ok_pct"] == f"{np.round(e['ok'] / e['total'] * 100, 1)}%"
-    # top-N entities by total failures, ties by key (NULL last)
-    errors = {g: e["yes"] + e["low"] for g, e in groups.items() if e["yes"] + e["low"] > 0}
-    ranked = sorted(errors, key=lambda g: (-errors[g], g is None, g or ""))[:top_n]
-    dist = V.distribution_by_dim(ev, "g", top_n=top_n).collect()
-    assert {r["g"] for r in dist} == set(ranked)
-    for r in dist:
-        assert r["failures"] == groups[r["g"]][r["failure_type"]] and r["total_errors"] == errors[r["g"]]
-
-
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.sampled_from(TEXTS), st.sampled_from(NUMS)),
-                     min_size=0, max_size=40),
-       top_n=st.sampled_from([None, 1, 2, 5]))
-def test_distribution_strategies_agree(spark, rows, top_n):
-    rules = [Rule(name="yes", fail_col="s", fail_op="==", fail_val="yes"),
-             Rule(name="low", fail_col="d", fail_op="<", fail_val="4"),
-             Rule(name="o", fail_col="s", fail_op="Contains", fail_val="o")]
-    ev = evaluate(spark.createDataFrame(rows, "g string, s string, d double"), rules)
-    wide = V.distribution_by_dim(ev, "g", top_n=top_n, strategy="wide")
-    long = V.distribution_by_dim(ev, "g", top_n=top_n, strategy="long")
-    assert wide.columns == long.columns and wide.dtypes == long.dtypes
-    assert sorted(map(tuple, wide.collect()), key=repr) == sorted(map(tuple, long.collect()), key=repr)

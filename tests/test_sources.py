@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulescope.operators.rules import Rule
@@ -69,7 +70,7 @@ def test_rules_json_roundtrip(spark, tmp_dir):
     write_rules(spark, rules, path)
     back = read_rules(spark, path)
     assert [r.name for r in back] == [r.name for r in rules]
-    assert back[0].use_severe and back[0].sev_op == ">" and back[-1].fail_val == "yes,y"
+    assert back[0].use_severe and back[0].sev_op == ">" and back[-1].fail_val == ["yes", "y"]
     assert rules_from_json(rules_to_json(pack_q())) == pack_q()
 
 
@@ -122,11 +123,11 @@ def test_csv_single_line_mode_splits_large_files(spark, tmp_dir):
             f.write(f"{i},n{i % 7},{'None' if i % 5 == 0 else i / 4}\r\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
     try:
-        df = FL.read_csv(spark, path, multi_line=False)
+        df = FL.read_csv(spark, path)
         assert df.rdd.getNumPartitions() > 1  # byte ranges of one file, read in parallel
         assert df.count() == 20000 and df.columns == ["id", "name", "val"]
         assert dict(df.dtypes)["val"] == "double" and df.where("val IS NULL").count() == 4000
-        assert FL.read_csv(spark, path).rdd.getNumPartitions() == 1  # multi-line: one task per file
+        assert FL.read_csv(spark, path, multi_line=True).rdd.getNumPartitions() == 1  # multi-line: one task per file
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
@@ -162,7 +163,7 @@ def test_rules_read_lines_and_pretty_arrays(spark, tmp_dir):
         json.dump(recs, f, indent=2)
     for path in (lines, pretty):
         back = read_rules(spark, path)
-        assert [(r.name, r.fail_val) for r in back] == [("a", "1"), ("b", "2")], path
+        assert [(r.name, r.fail_val) for r in back] == [("a", "1"), ("b", 2)], path
 
 
 def test_empty_export_has_header(spark, tmp_dir):
@@ -175,3 +176,102 @@ def test_empty_export_has_header(spark, tmp_dir):
     assert parts and open(parts[0]).read() == "id,v\n"
     back = FL.read_csv(spark, out)
     assert back.columns == ["id", "v"] and back.count() == 0
+
+
+def write(path, text):
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_files_are_united_by_name(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "many")
+    os.mkdir(folder)
+    write(os.path.join(folder, "a.csv"), "id,dg\n1,yes\n")
+    write(os.path.join(folder, "b.csv"), "dg,id,more\nno,2,x\n")
+    write(os.path.join(folder, "c.csv"), "id,dg\n3\n")  # a short row
+    rows = {r["id"]: (r["dg"], r["more"]) for r in FL.read_csv(spark, folder).collect()}
+    assert rows == {1: ("yes", None), 2: ("no", "x"), 3: (None, None)}
+
+
+def test_csv_row_wider_than_the_header_is_an_error(spark, tmp_dir):
+    path = write(os.path.join(tmp_dir, "w.csv"), "id,dg\n1,yes,EXTRA\n2,no\n")
+    with pytest.raises(Exception, match="more than the 2 cells"):
+        FL.read_csv(spark, path).collect()
+
+
+def test_csv_values_keep_padding_and_line_ends(spark, tmp_dir):
+    df = spark.createDataFrame([(1, " a "), (2, "b\r"), (3, 'q"uo,te')], "id int, v string")
+    out = os.path.join(tmp_dir, "pad")
+    FL.write_csv(df, out)
+    back = {r["id"]: r["v"] for r in FL.read_csv(spark, out, multi_line=True).collect()}
+    assert back[1] == " a " and back[3] == 'q"uo,te'
+    for text, mode in (("id,v\r\n1,x\r\n2,y\r\n", None), ('id,v\r\n1,x\r\n2,"two\r\nlines"\r\n', True)):
+        path = write(os.path.join(tmp_dir, f"crlf{mode}.csv"), text)
+        df = FL.read_csv(spark, path, multi_line=mode)
+        rows = df.orderBy("id").collect()
+        assert df.columns == ["id", "v"] and rows[0]["v"] == "x"
+        assert rows[1]["v"].splitlines() == (["two", "lines"] if mode else ["y"])
+
+
+def test_csv_missing_path_is_an_error(spark, tmp_dir):
+    with pytest.raises(FileNotFoundError):
+        FL.read_csv(spark, os.path.join(tmp_dir, "nowhere"))
+
+
+def test_rule_lists_survive_every_way(spark, tmp_dir):
+    from rulescope.operators.packs import fixed_kpi_pack
+
+    tokens = ["Failed, hard", " No ", "x"]
+    rules = [Rule(name="t", fail_col="s", fail_op="in_exact", fail_val=tokens), *fixed_kpi_pack("a", "b", "c", "d")]
+    folder = os.path.join(tmp_dir, "rules")
+    write_rules(spark, rules, folder)
+    text = write(os.path.join(tmp_dir, "rules.json"), rules_to_json(rules))
+    for back in (read_rules(spark, folder), read_rules(spark, text), rules_from_json(rules_to_json(rules))):
+        assert [r.to_dict() for r in back] == [r.to_dict() for r in rules]
+    quoted = write(os.path.join(tmp_dir, "quoted.json"), '[{"name": "t", "fail_col": "s", "fail_op": "in_exact", "fail_val": "[\\"a, b\\", \\"c\\"]"}]')
+    assert read_rules(spark, quoted)[0].fail_val == ["a, b", "c"]
+
+
+def test_rule_file_errors_are_told(spark, tmp_dir):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_rules(spark, os.path.join(tmp_dir, "nowhere.json"))
+    with pytest.raises(ValueError):
+        read_rules(spark, write(os.path.join(tmp_dir, "bad.json"), '[{"name": "a",'))
+
+
+def test_contains_with_regex_marks_warns(spark, tmp_dir):
+    path = write(os.path.join(tmp_dir, "r.json"), '[{"name": "a", "fail_col": "s", "fail_op": "Contains", "fail_val": "no|fail"}]')
+    with pytest.warns(UserWarning, match="regular expression"):
+        assert read_rules(spark, path)[0].regex is False
+
+
+def test_store_keeps_new_columns_and_changed_types(spark, tmp_dir):
+    store = TrendStore(spark, os.path.join(tmp_dir, "drift"))
+    assert store.months() == [] and store.list_months().collect() == [] and not store.exists()
+    store.save_month(spark.createDataFrame([("a", 1.0)], "`Site ID` string, EB double"), 2024, 1)
+    store.save_month(spark.createDataFrame([("a", 1.5, 2.0)], "`Site ID` string, EB double, DG double"), 2024, 2)
+    assert "DG" in store.load_all().columns and "DG" in store.load_month(2024, 2).columns
+    assert "DG" not in store.load_month(2024, 1).columns
+    store.save_month(spark.createDataFrame([("a", "n/a")], "`Site ID` string, EB string"), 2024, 3)
+    got = {r["source_month"]: (r["EB"], r["DG"]) for r in store.load_all().collect()}
+    assert got == {1: ("1.0", None), 2: ("1.5", 2.0), 3: ("n/a", None)}
+    assert store.load_month(2024, 3).first()["EB"] == "n/a"
+
+
+def test_store_empty_month_replaces(spark, tmp_dir):
+    store = TrendStore(spark, os.path.join(tmp_dir, "empty"))
+    df = spark.createDataFrame([("a",), ("b",)], "site string")
+    store.save_month(df, 2024, 1)
+    store.save_month(df.where("false"), 2024, 1)
+    assert store.load_month(2024, 1).count() == 0 and store.load_all().count() == 0
+    assert store.list_months().collect() == []
+
+
+def test_keyword_roles_and_compat_threshold():
+    from rulescope.operators.rules import parse_threshold
+
+    roles, _ = H.resolve_roles(["Zone", "My SITE_ID", "RM Status"], H.ROLE_KEYWORDS_V4)
+    assert (roles["Cluster"], roles["Site ID"], roles["RM Count"], roles["Battery Backup (Hrs)"]) == ("Zone", "My SITE_ID", "RM Status", None)
+    values = {"4": 4.0, "2.5": 2.5, "5.": 5.0, ".5": 0.5, "": 0.0, ".": 0.0, "-5": 0.0, "1e3": 0.0, "1.2.3": 0.0, " 4": 0.0}
+    assert {k: parse_threshold(k, "compat") for k in values} == values

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rulescope.operators import views as V
 from rulescope.operators.rules import evaluate
 from rulescope.plans.queries import pack_q
-from rulescope.streaming.stream import append_evaluated, evaluate_stream, read_uploads, running_matrix
+from rulescope.streaming.stream import append_evaluated, evaluate_stream, read_uploads, latest_matrix, running_matrix
 from tests.conftest import SF_SMALL
 
 
@@ -41,6 +41,6 @@ def test_running_matrix_matches_batch(spark, tmp_dir):
     ev = evaluate_stream(read_uploads(spark, SF_SMALL, orders.schema, glob="orders.parquet"), pack_q())
     sink, ckpt = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "mc")
     running_matrix(ev, ["o_orderstatus"], sink, ckpt).awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
+    got = sorted(tuple(r) for r in latest_matrix(spark, sink).collect())
     want = sorted(tuple(r) for r in V.matrix(evaluate(orders, pack_q()), ["o_orderstatus"]).collect())
     assert got == want
