@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulescope.llm import units
-from rulescope.llm.common import Emitter, docs_of, row_stream, written
+from rulescope.llm.common import Emitter, docs_of, row_stream, written_at
 from rulescope.session import shared_path
+from rulescope.sources.folders import discard
 
 BLOCK_IDS = 65_536
-MARK_IDS = 256
+MARK_IDS = 128
 #: Longest code; 2 ** MAX_BITS is the size of the decoding table.
 MAX_BITS = 18
 
@@ -199,12 +200,22 @@ def id_counts(encoded: DataFrame, width: int) -> DataFrame:
     """(id, n) over all documents, summed per task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
+        total = np.zeros(1 << 16, dtype=np.int64)
+        held: list[bytes] = []
+        size = 0
+
+        def add() -> None:
+            nonlocal total, held, size
+            one = np.bincount(np.frombuffer(b"".join(held), f"<u{width}"), minlength=len(total))
+            one[: len(total)] += total
+            total, held, size = one, [], 0
+
         for (raw,) in row_stream(batches, "ids"):
-            one = np.bincount(np.frombuffer(raw, f"<u{width}"))
-            if len(one) > len(total):
-                total = np.concatenate([total, np.zeros(max(len(one), 1 << 16) - len(total), dtype=np.int64)])
-            total[: len(one)] += one
+            held.append(raw)
+            size += len(raw)
+            if size > 4 << 20:
+                add()
+        add()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"]
@@ -308,6 +319,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def roundtrip(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Encodes, writes to a new folder of the shared storage, reads back."""
     path = shared_path(df.sparkSession, "token-files")
-    encoded = written(encode_ids(df, tokenizer_path, end_id), "token-ids")
+    encoded, at = written_at(encode_ids(df, tokenizer_path, end_id), "token-ids")
     write_ids(encoded, path, id_width(tokenizer_path, end_id))
+    discard(df.sparkSession, at)
     return read_ids(df.sparkSession, path)
