@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulescope.session import checkpoint_root, shared_path
+from rulescope.session import shared_path
 
 #: Rows that leave a Python task are sent in groups of about this many bytes.
-EMIT_BYTES = 8 << 20
+EMIT_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,23 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder, read back.
 
     Cuts the lineage: a lost executor costs one task's rows, not the jobs
-    that led here.  The copy belongs to the caller's session and is left in
+    that led here.  What a lazy result still reads is left in
     ``spark.checkpoint.dir`` for that folder's own clean-up.
     """
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the folder, for tables that are dropped again."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (never localCheckpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def crc32_col(col: Column) -> Column:
-    return F.crc32(col)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 class Emitter:
