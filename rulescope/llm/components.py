@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulescope.llm.common import written
+from rulescope.llm.common import written_at
+from rulescope.sources.folders import discard
 
 
 def connected_components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -14,15 +15,15 @@ def connected_components(links: DataFrame, nodes: DataFrame | None = None) -> Da
     Every round hooks each node's label to the smallest label among its
     neighbours' and then jumps to the label's label, so stars settle at once
     and a chain of n nodes in about log n rounds.  Each round is written to the
-    shared folder.  Nodes are those of the links and of ``nodes``.
+    shared folder, where only the last is left.  Nodes are those of the links and of ``nodes``.
     """
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = ends.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct()
-    both = written(both, "cc-links")
+    both, links_at = written_at(both, "cc-links")
     start = both.groupBy("u").agg(F.min("v").alias("low")).select(
         F.col("u").alias("node"), F.least("u", "low").alias("label")
     )
-    labels = written(start, "cc-labels")
+    labels, at = written_at(start, "cc-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("theirs")), "v")
         low = near.groupBy("u").agg(F.min("theirs").alias("theirs"))
@@ -36,10 +37,12 @@ def connected_components(links: DataFrame, nodes: DataFrame | None = None) -> Da
         done = settled.join(jump, "new", "left").select(
             "node", F.col("label").alias("old"), F.least("new", F.coalesce("next", "new")).alias("label")
         )
-        done = written(done, "cc-labels")
-        labels = done.select("node", "label")
+        done, new_at = written_at(done, "cc-labels")
+        discard(links.sparkSession, at)
+        labels, at = done.select("node", "label"), new_at
         if done.where("old <> label").isEmpty():
             break
+    discard(links.sparkSession, links_at)
     if nodes is not None:
         labels = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     return labels

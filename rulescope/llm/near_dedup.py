@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulescope.llm.common import Emitter, docs_of, row_stream, written
+from rulescope.llm.common import Emitter, docs_of, row_stream, written, written_at
 from rulescope.llm.components import connected_components
 from rulescope.llm.shingles import mix, shingle_set
+from rulescope.sources.folders import discard
 
 #: Similarity of a link, as a percentage of the union.
 PERCENT = 75
@@ -289,9 +290,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     equal = full.groupBy("key").agg(F.min("doc_id").alias("rep"))
     nodes = full.join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     nodes = nodes.dropDuplicates(["doc_id", "key"])
-    all_bands = written(bands(nodes), "near-bands")
+    all_bands, bands_at = written_at(bands(nodes), "near-bands")
     shared = all_bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     members = written(all_bands.join(shared.select("band", "a"), "band"), "near-members")
+    discard(df.sparkSession, bands_at)
     sets = written(sets_of(docs, members.select("node").distinct()), "near-sets")
     stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = written(confirmed(screened(stars, nodes), sets), "near-links")

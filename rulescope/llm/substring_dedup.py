@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulescope.llm.anchors import BUFFER, WINDOW, Hasher, stretches
-from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream, written
+from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream, written, written_at
 from rulescope.llm.suffix_arrays import common_prefixes, suffix_array
+from rulescope.sources.folders import discard
 
 #: Stretches that a task merges before it sends them on.
 MERGE_ROWS = 400_000
@@ -297,8 +298,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     if not total:
         return covered
     shards = -(-total // SHARD_BYTES)
-    pieces = written(_fetched(docs, firsts), "repeat-pieces")
+    pieces, pieces_at = written_at(_fetched(docs, firsts), "repeat-pieces")
     shard = written(_sharded(pieces, shards), "repeat-shards")
+    discard(docs.sparkSession, pieces_at)
     more = shard.where(F.col("kind") == COVER).select("doc_id", "at", "n")
     reps = shard.where(F.col("kind") == REP)
     crossed = _cross_shard(reps, shards)
