@@ -12,6 +12,8 @@ from rulescope.session import shared_path
 
 #: Rows that leave a Python task are sent in groups of about this many bytes.
 EMIT_BYTES = 2 << 20
+#: Rows of an Arrow batch that enters a Python task.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole documents are wide rows: lowers the session's Arrow batches from
+    Spark's default of 10,000 rows, unless another number was set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def docs_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id long, text string) with a NULL text as the empty text; no
     other column is read, so extra or clashing names do not matter."""
+    small_batches(df.sparkSession)
     return df.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
@@ -107,6 +118,7 @@ def rewritten(df: DataFrame, text: str, change: Callable[[], Callable[..., str |
     the columns ``using``, which are left out of the result.  A row whose text
     does not change keeps it, NULL included.  A column ``n_chars`` follows.
     """
+    small_batches(df.sparkSession)
     left = [c for c in df.columns if c not in using]
     result = df.select(*[F.col(f"`{c}`") for c in left]).schema
 
