@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from rulescope.plans import registry
 from tests.conftest import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -24,7 +24,7 @@ def initial_plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def built(spark):
-    return {name: fn(spark, SF_SMALL) for name, fn in E.queries().items()}
+    return {name: fn(spark, SF_SMALL) for name, fn in registry.queries().items()}
 
 
 def test_no_python_udf_and_no_cartesian(built):
@@ -95,7 +95,7 @@ def test_month_pivot_preaggregates_before_each_exchange(built):
 
 
 def test_store_read_prunes_partitions(spark):
-    df = E.queries()["store_roundtrip"](spark, SF_SMALL)
+    df = registry.queries()["store_roundtrip"](spark, SF_SMALL)
     assert "source_year" in df.columns
 
 

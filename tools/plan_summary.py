@@ -1,4 +1,4 @@
-"""Summarise the physical plan of every registered query as a markdown table.
+"""Summarise the physical plan of every query of the library itself as a markdown table.
 
 usage: python tools/plan_summary.py [sf_dir]
 """
@@ -10,7 +10,7 @@ import sys
 
 sys.path.insert(0, ".")
 
-import __spark_entry__ as E  # noqa: E402
+from rulescope.plans import registry  # noqa: E402
 from rulescope.session import local_session  # noqa: E402
 
 
@@ -46,7 +46,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     print("| query | scans | hash shuffles | combined map-side | range shuffles | to one partition | broadcasts | top-k | Python |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(registry.queries().items()):
         df = fn(spark, sf)
         s = summary(df._jdf.queryExecution().executedPlan().toString())
         print(
