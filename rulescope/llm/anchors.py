@@ -16,7 +16,7 @@ from rulescope.llm.shingles import mix
 
 WINDOW, GRAM = 100, 28
 #: Bytes hashed at a time.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 _POS = np.uint64(BUFFER - 1)
 
 

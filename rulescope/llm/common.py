@@ -87,6 +87,8 @@ def row_stream(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple
             part = b.slice(lo, 256)
             cols = [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
             yield from zip(*cols, strict=True)
+    # What this task's batches held is not kept for the worker's next task.
+    pa.default_memory_pool().release_unused()
 
 
 def per_row(

@@ -8,7 +8,7 @@ import xxhash
 #: Words of a shingle.
 WORDS = 5
 #: Word hashes that a worker remembers; cleared beyond it.
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -36,9 +36,9 @@ from rulescope.llm.suffix_arrays import common_prefixes, suffix_array
 from rulescope.sources.folders import discard
 
 #: Stretches that a task merges before it sends them on.
-MERGE_ROWS = 400_000
+MERGE_ROWS = 200_000
 #: Bytes of a shard; a class with more is spread over several shards.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 COVER, FIRST, REP = 1, 2, 3
 _DDL = "kind int, cls long, key long, doc_id long, at int, n int"

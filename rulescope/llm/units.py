@@ -21,7 +21,7 @@ from itertools import islice
 import numpy as np
 
 #: Units that a worker remembers; cleared beyond it.
-MAX_UNITS = 900_000
+MAX_UNITS = 700_000
 
 # The printable character by which byte-level vocabularies spell each byte.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
