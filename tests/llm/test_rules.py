@@ -93,6 +93,26 @@ def test_base_spans_and_extra_spans(spark, odd_docs, odd_rows, no_docs):
     assert pii.find(no_docs).count() == 0
 
 
+def test_personal_data_beyond_the_base_rules(spark, real_docs):
+    taken = [
+        ("please ring (212) 555-0100 today", "phone:12:26"), ("ring 312-555-0147 now", "phone:5:17"),
+        ("phone 0301234567 at noon", "phone:6:16"), ("to jo.doe (at) example.com.", "email:3:26"),
+        ("ann [at] uni.de wrote", "email:0:15"), ("visa 378282246310005 ok", "card:5:20"),
+        ("card 30569309025904 ok", "card:5:19"), ("card 4222222222222 ok", "card:5:18"),
+        ("paid by 4111.1111.1111.1111", "card:8:27"), ("ip 10,0,0,1 is down", "ip:3:11"),
+    ]
+    others = [
+        "order 0301234567 of", "on 2024-01-15 10 we met", "isbn 978-3-16-148410-0", "let us meet (at) noon", "look @ this",
+        "serial 0300233469491448", "number 123-45-6789", "version 256.1.2.300 is", "list 10,20,30,40", "pi is 3.14159265",
+    ]
+    rows = [(10**6 + i, t) for i, t in enumerate([t for t, _ in taken] + others)]
+    df = real_docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in pii.counts(pii.find(df)).where("doc_id >= 1000000").collect()}
+    assert [got[d] for d, _ in rows] == [s for _, s in taken] + [""] * len(others)
+    alone = spark.createDataFrame(rows[:1], "doc_id long, text string")
+    assert [r.text for r in pii.masked(alone).collect()] == ["please ring [PHONE] today"]
+
+
 def test_trees_become_sql(spark):
     debug = """GBTClassificationModel: uid = x, numTrees=2
   Tree 0 (weight 1.0):
