@@ -13,7 +13,9 @@ Line rules (a line without words is neither kept nor counted):
 * ``single_word``: ``REPEATED_WORD`` or more words, of which one word makes up
   at least ``REPEATED_SHARE`` (spam);
 * ``boilerplate``: the line names cookies, scripts, log-ins, subscriptions or
-  the like (``BOILERPLATE``);
+  the like (``BOILERPLATE``), and has at most ``NOTICE_WORDS`` words or
+  consists of such phrases by ``PHRASE_SHARE`` of its words or more: a longer
+  line that mentions one is text;
 * ``repeated``: the same line came earlier in the document.
 
 A rule about the final mark of a line counts only together with another sign
@@ -38,6 +40,9 @@ SYMBOLS_PER_WORD = 0.5
 BARS_PER_WORD = 0.4
 REPEATED_WORD, REPEATED_SHARE = 20, 0.4
 SHORT_LINE, NAV_RUN = 5, 5
+#: Words of a line that one phrase makes boilerplate, at most; in longer lines
+#: the phrases' least share of the words.
+NOTICE_WORDS, PHRASE_SHARE = 20, 0.2
 #: Least share of a document's words that the line rules must leave.
 KEEP_SHARE = 0.5
 #: Base rules of a document.
@@ -57,6 +62,7 @@ BOILERPLATE = (
     "terms of use",
 )
 
+_PHRASE_WORDS = [(b, len(b.split())) for b in BOILERPLATE]
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 _DECORATION = re.compile(r"[#*$%&<>]|!!")
@@ -103,7 +109,8 @@ def line_fails(line: str, words: list[str]) -> bool:
     if n >= REPEATED_WORD and Counter(words).most_common(1)[0][1] >= REPEATED_SHARE * n:
         return True
     low = line.lower()
-    return any(b in low for b in BOILERPLATE)
+    phrases = sum(low.count(b) * k for b, k in _PHRASE_WORDS)
+    return phrases > 0 and (n <= NOTICE_WORDS or phrases >= PHRASE_SHARE * n)
 
 
 def clean_lines(text: str) -> tuple[str, int, int]:

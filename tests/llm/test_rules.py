@@ -47,6 +47,18 @@ def test_line_rules():
     assert quality_rules.judge("")[5:7] == (True, False) and quality_rules.judge("a b c")[5:7] == (True, False)
 
 
+def test_long_lines_that_mention_boilerplate_are_text():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(999)}" for _ in range(300)]
+    for phrase in quality_rules.BOILERPLATE:
+        article = " ".join([*words[:150], phrase, *words[150:]]) + "."
+        assert quality_rules.judge(article)[5:] == (False, True, 0, article)
+        both = article + "\n" + " ".join(words[:9]) + f" {phrase} here."
+        assert quality_rules.clean_lines(both)[0] == article
+    notices = " ".join(f"{b}, {w}." for b, w in zip(quality_rules.BOILERPLATE * 3, words, strict=False))
+    assert quality_rules.clean_lines(notices + "\n" + article)[0] == article
+
+
 def test_labelled_good_documents_are_kept(spark, real_rows):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
     verdicts = [(labels[d], quality_rules.judge(t)) for d, t in real_rows if d in labels]
