@@ -4,10 +4,10 @@ The standard library's parser is fed a page piece by piece; its events are
 gathered into *lines*, one per block element.  A line's ratio is its text
 length by its number of tags (link text does not count).  The ratios are
 smoothed by a Gaussian over neighbouring lines and split by a threshold, their
-standard deviation, into content and the rest.  The element around the largest
-content cluster is the article: its nearest ``article`` or ``main``, or else
-the container that holds most of the cluster.  All its lines belong to the
-main text, short ones included, but for furniture: navigation, page headers,
+standard deviation, into content and the rest.  The ``article`` and ``main``
+elements with content are the article, or else the deepest container that
+holds ``HOLD`` of the content.  All its lines belong to the main text, short
+ones included, but for furniture: navigation, page headers,
 footers, sidebars, notices, adverts, forms, hidden parts and reader comments,
 recognised by element, role, class or id.
 """
@@ -31,6 +31,8 @@ FEED = 1 << 16
 REACH, SIGMA = 2, 1.0
 #: Share of link text from which a line outside paragraphs is a menu entry.
 LINK_SHARE = 0.8
+#: Share of the content that a container must hold to be the article.
+HOLD = 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that begin and end a line.
@@ -39,6 +41,11 @@ BLOCKS = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
+# Blocks that are parts of a text, never the container of an article.
+PARTS = frozenset(
+    "address blockquote caption dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup html legend li ol p "
+    "pre summary table tbody td tfoot th thead tr ul".split()
+)
 # Elements whose text is never part of an article.
 SKIPPED = frozenset(
     "applet aside audio button canvas datalist dialog footer form head iframe input label map menu nav noembed noframes "
@@ -196,6 +203,28 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[REACH : REACH + len(ratios)] / weight
 
 
+def articles(page: Lines, content: list[bool]) -> set[int]:
+    """The containers whose lines are the article; none: the whole page."""
+    below: dict[int, int] = {}  # content characters below each container
+    outer: dict[int, int] = {}  # the outermost article or main around each inner one
+    total = 0
+    for x, good in zip(page.lines, content, strict=True):
+        if not good:
+            continue
+        total += len(x[0])
+        marked = [n for n in x[4] if page.kinds[n] in ("article", "main")]
+        outer.update((n, marked[0]) for n in marked)
+        for n in x[4]:
+            below[n] = below.get(n, 0) + len(x[0])
+    if outer:
+        # Of each outermost one the innermost that has all its content.
+        whole = [n for n in outer if below[n] == below[outer[n]]]
+        return {max(n for n in whole if outer[n] == top) for top in set(outer.values())}
+    # Containers with most of the content lie in each other.
+    holding = [n for n, k in below.items() if k >= HOLD * total and page.kinds[n] not in PARTS]
+    return {max(holding)} if holding else set()
+
+
 def main_text(html: str) -> str:
     page = lines_of(html)
     lines = page.lines
@@ -206,30 +235,10 @@ def main_text(html: str) -> str:
     content = (smooth >= smooth.std()) & (ratios > 0)
     if not content.any():
         content = ratios > 0
-    # Content characters below each container; the last of a path holds them
-    # directly, its parent for the most part.
-    weight: dict[int, float] = {}
-    marked: dict[int, int] = {}
-    for x, good in zip(lines, content.tolist(), strict=True):
-        if not good:
-            continue
-        for n in x[4]:
-            if page.kinds[n] in ("article", "main"):
-                marked[n] = marked.get(n, 0) + len(x[0])
-        share = 1.0
-        for n in reversed([n for n in x[4] if page.kinds[n] not in ("p", "li", "td", "th", "tr", "html")][-3:]):
-            weight[n] = weight.get(n, 0) + share * len(x[0])
-            share /= 2
-    if marked:
-        # The innermost of the elements with the most content.
-        top = max(marked, key=lambda n: (marked[n], n))
-    elif weight:
-        top = max(weight, key=lambda n: (weight[n], -n))
-    else:
-        top = -1
+    tops = articles(page, content.tolist())
     out = []
     for x, good in zip(lines, content.tolist(), strict=True):
-        if x[3] or top >= 0 and top not in x[4]:
+        if x[3] or tops and tops.isdisjoint(x[4]):
             continue
         menu = not good and x[2] >= LINK_SHARE * len(x[0]) and not (x[4] and page.kinds[x[4][-1]] in ("p", "h1", "h2"))
         if not menu:

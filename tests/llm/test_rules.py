@@ -190,6 +190,28 @@ def test_main_text_without_furniture(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)).split("\n\n") == WANT
 
 
+def test_layouts_without_one_article():
+    def prose(n: int, word: str) -> str:
+        return (f"The {word} is a part of this page. " * n)[:n].strip() + "."
+
+    a, b, c = prose(600, "first"), prose(400, "second"), prose(300, "third")
+    for page in (
+        f"<div><section><p>{a}</p></section><section><p>{b}</p></section></div>",
+        f"<div><div><div><p>{a}</p></div></div><div><p>{b}</p></div></div>",
+        f"<div><p>{a}</p><ul><li>{b}</li></ul></div>",
+        f"<div><p>{b}</p><ol><li>{a}</li></ol></div>",
+        f"<div><p>{b}</p><table><tbody><tr><td>{a}</td></tr></tbody></table></div>",
+        f"<div><p>{b}</p><blockquote><p>{a}</p></blockquote></div>",
+        f"<div><p>{b}</p><pre>{a}</pre></div>",
+        f"<div><article><p>{a}</p></article><article><p>{b}</p></article></div>",
+        f"<main><article><p>{a}</p></article><article><p>{b}</p></article></main>",
+    ):
+        first, second = sorted((a, b), key=page.find)
+        assert html_text.main_text(PAGE % page).split("\n\n") == [first, second], page
+    three = f"<article><p>{a}</p></article><article><div><p>{b}</p></div></article><article><section><p>{c}</p></section></article>"
+    assert html_text.main_text(PAGE % three).split("\n\n") == [a, b, c]
+
+
 def test_broken_pages():
     assert html_text.main_text("") == html_text.main_text("<html><body></body></html>") == ""
     assert html_text.main_text("just text, no markup at all") == "just text, no markup at all"
