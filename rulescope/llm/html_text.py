@@ -29,7 +29,8 @@ from rulescope.llm.common import Emitter, row_stream
 FEED = 1 << 16
 #: Reach and spread of the Gaussian, in lines.
 REACH, SIGMA = 2, 1.0
-#: Share of link text from which a line outside paragraphs is a menu entry.
+#: Share of link text from which a line outside paragraphs, headings and
+#: ``article`` or ``main`` is a menu entry, if another one is beside it.
 LINK_SHARE = 0.8
 #: Share of the content that a container must hold to be the article.
 HOLD = 0.9
@@ -46,6 +47,8 @@ PARTS = frozenset(
     "address blockquote caption dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup html legend li ol p "
     "pre summary table tbody td tfoot th thead tr ul".split()
 )
+# Blocks whose lines are no menu entries, even if they are links.
+UNLISTED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 # Elements whose text is never part of an article.
 SKIPPED = frozenset(
     "applet aside audio button canvas datalist dialog footer form head iframe input label map menu nav noembed noframes "
@@ -236,13 +239,25 @@ def main_text(html: str) -> str:
     if not content.any():
         content = ratios > 0
     tops = articles(page, content.tolist())
-    out = []
+    own = any(page.kinds[n] in ("article", "main") for n in tops)
+    out: list[str] = []
+    run: list[str] = []  # linked lines outside an article or main: a menu if two or more
+
+    def end_run() -> None:
+        if len(run) < 2:
+            out.extend(run)
+        run.clear()
+
     for x, good in zip(lines, content.tolist(), strict=True):
         if x[3] or tops and tops.isdisjoint(x[4]):
             continue
-        menu = not good and x[2] >= LINK_SHARE * len(x[0]) and not (x[4] and page.kinds[x[4][-1]] in ("p", "h1", "h2"))
-        if not menu:
-            out.append(x[0])
+        kind = page.kinds[x[4][-1]] if x[4] else ""
+        if not own and not good and x[2] >= LINK_SHARE * len(x[0]) and kind not in UNLISTED:
+            run.append(x[0])
+            continue
+        end_run()
+        out.append(x[0])
+    end_run()
     return "\n\n".join(out)
 
 

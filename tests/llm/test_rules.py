@@ -212,6 +212,17 @@ def test_layouts_without_one_article():
     assert html_text.main_text(PAGE % three).split("\n\n") == [a, b, c]
 
 
+def test_linked_lines_of_an_article_stay():
+    prose = "A long paragraph of the article that says something of substance. " * 5
+    rest = '<h3><a href="/s">A linked subheading</a></h3><ul><li><a href="/1">First source</a><li><a href="/2">Second source</a></ul>'
+    want = [prose.strip(), "A linked subheading", "First source", "Second source"]
+    assert html_text.main_text(PAGE % f"<article><p>{prose}</p>{rest}</article>").split("\n\n") == want
+    alone = '<h3><a href="/s">A linked subheading</a></h3><ul><li><a href="/1">First source</a></ul>'
+    assert html_text.main_text(PAGE % f"<div><p>{prose}</p>{alone}<p>{prose}</p></div>").split("\n\n") == [*want[:3], prose.strip()]
+    # A run of links outside an article or main is a menu.
+    assert html_text.main_text(PAGE % f"<div><p>{prose}</p>{rest}</div>").split("\n\n") == want[:2]
+
+
 def test_broken_pages():
     assert html_text.main_text("") == html_text.main_text("<html><body></body></html>") == ""
     assert html_text.main_text("just text, no markup at all") == "just text, no markup at all"
