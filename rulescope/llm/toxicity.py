@@ -21,15 +21,15 @@ whatever the corpus.  The weights go to all tasks, which score whole texts.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulescope.llm.common import docs_of, per_row, written_at
+from rulescope.llm.common import docs_of, per_row, row_stream, written_at
 from rulescope.sources import folders
 
 #: Coordinates are hashes of this many bits.
@@ -40,7 +40,7 @@ STEMS = (4, 6)
 #: of more a share by hash that makes about this number.
 SAMPLE_ROWS = 24_000
 #: Rows that make another shard worth its averaging, shards at most, rounds.
-SHARD_ROWS, SHARDS, EPOCHS = 4_000, 6, 2
+SHARD_ROWS, SHARDS, EPOCHS = 4_000, 6, 3
 #: Learning rate, its smoothing, and the penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.01
 #: A score from which a text is predicted toxic.
@@ -54,11 +54,7 @@ _PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0
 
 
 def _word_hash(word: str) -> int:
-    """FNV-1a of the UTF-8 bytes, 64 bits."""
-    h = 0xCBF29CE484222325
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
 class _Words(dict):
@@ -176,45 +172,27 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, toxic: str) -> Data
     return texts
 
 
-def _prepared(sample: DataFrame) -> DataFrame:
-    """(doc_id, toxic, coordinates): the distinct coordinates of each text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.bool_()), ("coordinates", pa.list_(pa.int32()))])
-
-    def make() -> Callable[..., tuple[int, tuple]]:
-        features = Features()
-
-        def one(d: int, toxic: bool, text: str) -> tuple[int, tuple]:
-            found = np.unique(features(text))
-            return 4 * len(found), (d, toxic, found)
-
-        return one
-
-    return per_row(sample, schema, "doc_id long, toxic boolean, coordinates array<int>", ("doc_id", "toxic", "text"), make)
-
-
-def _round(rows: DataFrame, shards: int, z: np.ndarray, n: np.ndarray) -> DataFrame:
+def _round(sample: DataFrame, shards: int, z: np.ndarray, n: np.ndarray) -> DataFrame:
     """(shard, at, dz, dn): what each shard's rows change in the common state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
         mine: Ftrl | None = None
         shard = None
-        for b in batches:
-            lists = b.column(2)
-            flat, ends = lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())
-            for k, toxic, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), np.split(flat, ends[:-1]), strict=True):
-                if mine is not None and k != shard:
-                    yield _changes(shard, mine, z, n)
-                    mine = None
-                if mine is None:
-                    mine, shard = Ftrl(z, n), k
-                mine.learn(at, toxic)
+        for k, toxic, text in row_stream(batches, "shard", "toxic", "text"):
+            if mine is not None and k != shard:
+                yield _changes(shard, mine, z, n)
+                mine = None
+            if mine is None:
+                mine, shard = Ftrl(z, n), k
+            mine.learn(np.unique(features(text)), toxic)
         if mine is not None:
             yield _changes(shard, mine, z, n)
 
     key = F.xxhash64("doc_id", F.lit("order"))
-    dealt = rows.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).withColumn("key", key)
+    dealt = sample.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).withColumn("key", key)
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id")
-    return dealt.select("shard", "toxic", "coordinates").mapInArrow(run, "shard int, at binary, dz binary, dn binary")
+    return dealt.select("shard", "toxic", "text").mapInArrow(run, "shard int, at binary, dz binary, dn binary")
 
 
 def _changes(shard: int, mine: Ftrl, z: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -229,7 +207,7 @@ def _changes(shard: int, mine: Ftrl, z: np.ndarray, n: np.ndarray) -> pa.RecordB
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
     """The model learned from the labelled rows of ``docs`` (doc_id, text)
     that are not held out.  Without such rows every score is 0.5."""
-    sample, path = written_at(_prepared(_sample(docs, labels, doc_id, toxic)), "toxicity-sample")
+    sample, path = written_at(_sample(docs, labels, doc_id, toxic), "toxicity-sample")
     shards = max(1, min(SHARDS, -(-sample.count() // SHARD_ROWS)))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(EPOCHS):
