@@ -11,9 +11,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rulescope.functions.columns import num, qcol
+from rulescope.functions.types import common_types
 
 # Metric columns, base columns and labels of the trend report.
 TREND_METRICS = ["EB_Run_Avg", "DG_Run_Avg", "BB_Run_Avg", "Solar_Run_Avg", "Total_Run_Avg"]
@@ -235,18 +235,6 @@ def catalogue(df: DataFrame, year_col: str = YEAR_COL, month_col: str = MONTH_CO
     )
 
 
-def _common_types(frames: Sequence[DataFrame]) -> dict[str, T.DataType | None]:
-    """Per column: the shared type, or None when frames disagree."""
-    seen: dict[str, T.DataType | None] = {}
-    for f in frames:
-        for field in f.schema.fields:
-            if field.name not in seen:
-                seen[field.name] = field.dataType
-            elif seen[field.name] is not None and seen[field.name] != field.dataType:
-                seen[field.name] = None
-    return seen
-
-
 def stack(
     frames: Sequence[tuple[DataFrame, Mapping[str, object]]],
     *,
@@ -255,18 +243,20 @@ def stack(
     """UNION ALL of several datasets by column name, each tagged with
     literal columns (e.g. ``{"Source_Month": "January", "Source_Year": 2024}``).
 
-    A column whose type differs between frames is cast to text in every
-    frame first: under ANSI rules Spark would widen ``bigint`` and ``string``
-    to ``bigint`` and fail at run time on text values.
+    A column whose type differs between frames is widened in every frame to
+    the least common type (:mod:`rulescope.functions.types`): whole numbers and
+    fractions to DOUBLE, dates to timestamps, anything next to text to text.
+    Under ANSI rules Spark would widen ``bigint`` and ``string`` to ``bigint``
+    and fail at run time on text values.
     """
     if not frames:
         raise ValueError("nothing to stack")
-    dfs = [df for df, _ in frames]
-    common = _common_types(dfs)
+    common = common_types(df.schema for df, _ in frames)
     out = None
     for df, tags in frames:
         cols = [
-            (qcol(c) if common[c] is not None else qcol(c).cast("string")).alias(c) for c in df.columns
+            qcol(f.name) if f.dataType == common[f.name.lower()] else qcol(f.name).cast(common[f.name.lower()]).alias(f.name)
+            for f in df.schema.fields
         ]
         tagged = df.select(*cols, *[F.lit(v).alias(k) for k, v in tags.items()])
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=allow_missing)

@@ -251,6 +251,38 @@ def store_schema_drift(spark, sf_dir):
     return store.load_all().select("o_orderkey", "o_custkey", "o_totalprice", TR.YEAR_COL, TR.MONTH_COL)
 
 
+@register(
+    "store_numeric_drift",
+    """SELECT o_orderkey, CASE year(o_orderdate) WHEN 1995 THEN CAST(o_custkey AS DOUBLE)
+    WHEN 1996 THEN o_totalprice ELSE CAST(CAST(o_totalprice AS DECIMAL(12, 1)) AS DOUBLE) END AS amount,
+  strftime(CASE WHEN year(o_orderdate) = 1996 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 90 MINUTE
+    ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END, '%Y-%m-%d %H:%M') AS seen,
+  CASE year(o_orderdate) WHEN 1995 THEN CAST(o_orderkey % 2 AS BIGINT) WHEN 1996 THEN CAST(o_custkey % 100 AS BIGINT)
+    ELSE CAST(o_custkey AS BIGINT) END AS n,
+  CASE WHEN year(o_orderdate) = 1997 THEN 'c' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS code,
+  year(o_orderdate)::INTEGER AS source_year, 1 AS source_month
+FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997) AND month(o_orderdate) = 1""",
+)
+def store_numeric_drift(spark, sf_dir):
+    """Three uploads of one store whose column types drift: whole numbers,
+    fractions and decimals become DOUBLE, dates and timestamps TIMESTAMP,
+    flags and whole numbers of two sizes BIGINT, numbers and text TEXT."""
+    store = TrendStore(spark, shared_path(spark, "trend-store"))
+    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate") == 1)
+    price, cust, day = F.col("o_totalprice"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
+    uploads = {
+        1995: [cust.cast("bigint"), day, F.col("o_orderkey") % 2 == 1, cust.cast("int")],
+        1996: [price, day.cast("timestamp") + F.expr("INTERVAL 90 MINUTES"), (cust % 100).cast("int"), cust.cast("bigint")],
+        1997: [price.cast("decimal(12,1)"), day, cust.cast("bigint"), F.concat(F.lit("c"), cust.cast("string"))],
+    }
+    for year, values in uploads.items():
+        names = ("amount", "seen", "n", "code")
+        cols = [v.alias(name) for v, name in zip(values, names, strict=True)]
+        store.save_month(o.where(F.year("o_orderdate") == year).select("o_orderkey", *cols), year, 1)
+    seen = F.date_format("seen", "yyyy-MM-dd HH:mm").alias("seen")
+    return store.load_all().select("o_orderkey", "amount", seen, "n", "code", TR.YEAR_COL, TR.MONTH_COL)
+
+
 @register(
     "store_empty_replace",
     f"""SELECT {_ORD}, year(o_orderdate)::INTEGER AS source_year, month(o_orderdate)::INTEGER AS source_month
@@ -392,6 +424,65 @@ def csv_roundtrip(spark, sf_dir):
     return FL.read_csv(spark, paths)
 
 
+_PARTS = 3  # files of an upload
+
+
+@register(
+    "csv_quoted_breaks",
+    """SELECT o_orderkey::BIGINT AS "Order Key",
+  CASE o_orderkey % 3 WHEN 0 THEN 'line one,' || chr(10) || '"' || o_orderstatus || '"' || chr(10)
+    WHEN 1 THEN '5" pipe, ' || o_orderpriority ELSE o_orderpriority END AS "Note",
+  o_custkey::BIGINT AS "Cust", 'broken' AS upload FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey::BIGINT, CASE o_orderkey % 3 WHEN 1 THEN '5" pipe, ' || o_orderpriority ELSE o_orderpriority END,
+  o_custkey::BIGINT, 'plain' FROM orders WHERE o_orderkey % 3 <> 0""",
+)
+def csv_quoted_breaks(spark, sf_dir):
+    """An upload whose quoted cells hold line breaks, commas and quotes, and
+    one that is plain but for quotes and commas, read without saying which is
+    which: records that span lines are found by a survey of the raw lines."""
+    o = table(spark, sf_dir, "orders")
+    third = F.col("o_orderkey") % 3
+    note = (
+        F.when(third == 0, F.concat(F.lit('line one,\n"'), F.col("o_orderstatus"), F.lit('"\n')))
+        .when(third == 1, F.concat(F.lit('5" pipe, '), F.col("o_orderpriority")))
+        .otherwise(F.col("o_orderpriority"))
+    )
+    paths = [shared_path(spark, "csv"), shared_path(spark, "csv")]
+    for path, name, mine in ((paths[0], "broken", third == 0), (paths[1], "plain", third != 0)):
+        cols = [F.col("o_orderkey").alias("Order Key"), note.alias("Note"), F.col("o_custkey").alias("Cust")]
+        FL.write_csv(o.where(mine).select(*cols, F.lit(name).alias("upload")).repartition(_PARTS), path)
+    return FL.read_csv(spark, paths)
+
+
+@register(
+    "csv_ragged",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS "key", CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE o_orderstatus END AS status,
+  NULL::INTEGER AS cells, NULL::INTEGER AS header_cells FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN ',,' ELSE ',"F,x",,LOST' END, NULL,
+  CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 4 END, 2 FROM orders WHERE o_orderkey % 7 = 0""",
+)
+def csv_ragged(spark, sf_dir):
+    """Rows with fewer cells than the header are filled up; rows with more,
+    empty ones included, are refused and listed with their cells."""
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    text = key.cast("string")
+    fitting = F.when(key % 3 == 0, text).otherwise(F.concat_ws(",", text, F.col("o_orderstatus")))
+    wide = F.concat(text, F.when(key % 3 == 0, F.lit(",,")).otherwise(F.lit(',"F,x",,LOST')))
+    paths = [shared_path(spark, "csv"), shared_path(spark, "csv")]
+    for path, record, mine in ((paths[0], fitting, key % 7 != 0), (paths[1], wide, key % 7 == 0)):
+        # One line a record; each file starts with the header line.
+        lines = o.where(mine).repartition(_PARTS).select(record.alias("key,status"))
+        writer = lines.write.option("header", True).option("quote", "").option("sep", "\u0001").option("escapeQuotes", False)
+        writer.csv(path)
+    read = FL.read_csv(spark, paths[0], detect_types=False)
+    refused = FL.wide_rows(spark, paths[1])
+    none = F.lit(None)
+    return read.select("key", "status", none.cast("int").alias("cells"), none.cast("int").alias("header_cells")).unionByName(
+        refused.select(F.col("row").alias("key"), none.cast("string").alias("status"), "cells", "header_cells")
+    )
+
+
 @register(
     "stacked_export",
     f"""SELECT o_orderkey::BIGINT AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, o_totalprice,

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulescope.functions.columns import ASCII_WHITESPACE, NUMBER_TEXT, qcol
-from rulescope.sources import folders
+from rulescope.sources import csv_survey
 from rulescope.sources.headers import clean_headers
 
 # Text read as missing (pandas' default NA tokens).
@@ -60,23 +60,22 @@ def read_csv(
     Type detection is one aggregate over the data, not a driver loop.
 
     Every file is read by its own header: files with the same columns in
-    another order, or with a column more, are united by name.  A row with
-    fewer cells than its header is filled with NULL; one with more raises an
-    error when it is read.
-
-    Rows are read line by line, so Spark splits large files into byte ranges.
-    Quoted fields with line breaks need ``multi_line=True``, which reads each
-    file in one task; a line break in the header alone is noticed.
+    another order, or with a column more, are united by name.  The headers of
+    all files come from one job (:func:`csv_survey.survey`).  A row with fewer
+    cells than its header is filled with NULL; one with more, empty ones
+    included, raises an error when it is read (:func:`wide_rows` lists them).
+
+    A file is read line by line, so that Spark splits it into byte ranges,
+    unless the survey finds quoted cells with line breaks: then its records
+    are parsed by one task.  ``multi_line`` sets one way for all files.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in _headers(spark, path, encoding):
-        groups.setdefault(header, []).append(file)
-    if not groups:  # empty input: no columns, no rows
-        return spark.createDataFrame([], T.StructType([]))
     df = None
-    for header, files in groups.items():
-        part = _read_group(spark, files, header, encoding, multi_line)
+    for (header, spans), files in _groups(spark, path, encoding, multi_line).items():
+        rows = _parsed(spark, files, len(header), encoding, spans)
+        part = clean_headers(_checked(rows, len(header)).toDF(*header))
         df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    if df is None:  # empty input: no columns, no rows
+        return spark.createDataFrame([], T.StructType([]))
     tokens = list(na_tokens)
     df = df.select(
         *[F.when(qcol(c).isin(tokens), F.lit(None)).otherwise(qcol(c)).alias(c) for c in df.columns]
@@ -84,49 +83,88 @@ def read_csv(
     return detect_column_types(df) if detect_types else df
 
 
-def _reader(spark: SparkSession, encoding: str, multi_line: bool):
-    return (
-        spark.read.option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("encoding", encoding)
-        .option("inferSchema", False)
-    )
-
+def wide_rows(
+    spark: SparkSession, path: str | Sequence[str], *, encoding: str = "UTF-8", multi_line: bool | None = None
+) -> DataFrame:
+    """(file, line, cells, header_cells, row): the rows that ``read_csv``
+    refuses because they have more cells than their file's header.
 
-def _headers(spark: SparkSession, path: str | Sequence[str], encoding: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(file, header cells) of every file that has a header.  The header
-    record is read as data, because Spark would rename duplicate cells; only
-    the first record of each file is parsed."""
-    listed = folders.data_files(spark, path)
-    files = [] if listed is None else sorted(r["path"] for r in listed.collect())
-    out = []
-    for file in files:
-        first = _reader(spark, encoding, True).option("header", False).csv(file).first()
-        if first is not None:
-            out.append((file, tuple("" if v is None else v for v in first)))
-    if listed is None:
-        raise FileNotFoundError(f"no such path: {path}")
+    ``line`` counts the lines of the file from 1.  It is NULL for files whose
+    records span lines.
+    """
+    out = spark.createDataFrame([], "file string, header_cells int, cells int, row string, spans boolean")
+    for (header, spans), files in _groups(spark, path, encoding, multi_line).items():
+        rows = _parsed(spark, files, len(header), encoding, spans).withColumn("cells", _cells(F.col("row")))
+        found = rows.where(F.col("cells") > len(header)).select(
+            "file", F.lit(len(header)).alias("header_cells"), "cells", "row", F.lit(spans).alias("spans")
+        )
+        out = out.unionByName(found)
+    # Number the lines of a part of a file within their task, and add the
+    # lines of the parts before it: one row per part is shuffled.
+    lines = csv_survey.raw_lines(spark, path, encoding).withColumn("at", F.monotonically_increasing_id())
+    parts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("from"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    texts = out.where(~F.col("spans")).select("file", F.col("row").alias("value")).distinct()
+    placed = lines.join(texts, ["file", "value"], "left_semi").join(parts, ["file", "block"])
+    placed = placed.select("file", F.col("value").alias("row"), (F.col("at") - F.col("from") + F.col("before") + 1).alias("line"))
+    columns = ["file", "line", "cells", "header_cells", "row"]
+    spanning = out.where("spans").withColumn("line", F.lit(None).cast("long")).select(*columns)
+    single = out.where(~F.col("spans")).distinct().join(placed, ["file", "row"]).select(*columns)
+    return single.unionByName(spanning)
+
+
+def _groups(
+    spark: SparkSession, path: str | Sequence[str], encoding: str, multi_line: bool | None
+) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """Files by header and by whether their records span lines."""
+    out: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for f in csv_survey.survey(spark, path, encoding):
+        spans = f.spans if multi_line is None else multi_line
+        out.setdefault((f.header, spans), []).append(f.path)
     return out
 
 
-def _read_group(
-    spark: SparkSession, files: list[str], header: tuple[str, ...], encoding: str, multi_line: bool | None
-) -> DataFrame:
-    """Files of one header, as text columns under clean names."""
-    # Multi-line parsing keeps the CR of CRLF line ends on the last cell.
-    crlf = header[-1].endswith("\r")
-    names = [*header[:-1], header[-1].removesuffix("\r")]
-    whole = any("\n" in n or "\r" in n for n in names) if multi_line is None else multi_line
-    extra = f"_c{len(names)}"
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
-    raw = _reader(spark, encoding, whole).schema(schema).option("header", True).csv(files)
-    if whole and crlf:
-        # A full row's last cell ends in CR; a short row's CR is on another.
-        raw = raw.select(*[F.regexp_replace(c, "\r$", "").alias(c) if c == f"_c{len(names) - 1}" else F.col(c) for c in raw.columns])
-    too_wide = F.col(extra).isNotNull()
-    problem = F.raise_error(F.lit(f"CSV row with more than the {len(names)} cells of its header")).cast("boolean")
-    raw = raw.where(F.when(too_wide, problem).otherwise(F.lit(True))).drop(extra)
-    return clean_headers(raw.toDF(*names))
+def _cells(record: Column) -> Column:
+    """Cells of a record, which start at its start or behind a comma and are
+    quoted, with what follows up to the next comma, or bare."""
+    pairs_removed = F.replace(record, F.lit('""'), F.lit(""))
+    return F.regexp_count(pairs_removed, F.lit('(?:^|,)(?:"[^"]*"[^,]*|[^,]*)')).cast("int")
+
+
+def _parsed(spark: SparkSession, files: list[str], n: int, encoding: str, spans: bool) -> DataFrame:
+    """Rows of files whose headers have ``n`` cells: the cells as text columns
+    ``_c0`` to ``_c<n - 1>``, ``file``, and ``row``, the record itself if its
+    number of cells is another (NULL otherwise)."""
+    fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(n)]
+    raw = (
+        spark.read.schema(T.StructType([*fields, T.StructField("row", T.StringType())]))
+        .option("columnNameOfCorruptRecord", "row")
+        # A parser that skips cells would not see that a row is too wide.
+        .option("columnPruning", False)
+        .option("header", True)
+        .option("multiLine", spans)
+        .option("escape", '"')
+        .option("encoding", encoding)
+        .csv(files)
+    )
+    # The reader refuses plans that need ``row`` alone.
+    row = F.when(F.col("_c0").isNotNull() | F.col("row").isNotNull(), F.col("row"))
+    rows = raw.withColumns({"row": row, "file": F.col("_metadata.file_path")})
+    if spans:
+        # Record parsing keeps the CR of CRLF line ends on the last cell.
+        rows = rows.withColumns({f"_c{n - 1}": F.regexp_replace(f"_c{n - 1}", "\r$", "")})
+    return rows
+
+
+def _checked(rows: DataFrame, n: int) -> DataFrame:
+    """The cells of rows that have ``n`` of them at most; others raise."""
+    wide = F.col("row").isNotNull() & (_cells(F.col("row")) > n)
+    message = F.concat(
+        F.lit(f"CSV row with more than the {n} cells of its header in "), F.col("file"), F.lit(": "), F.substring("row", 1, 500)
+    )
+    problem = F.raise_error(message).cast("boolean")
+    return rows.where(F.when(wide, problem).otherwise(F.lit(True))).drop("row", "file")
 
 
 def detect_column_types(df: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Layout: ``<root>/source_year=YYYY/source_month=M/part-*.parquet``.  A month
 is read by its own path with its own schema, so a metric that appears in one
 month or changes its type is neither lost nor an error: months are united by
-column name, and a column whose type differs is widened to text (the rule of
-:func:`trends.stack`).  Saving a month replaces only that month (dynamic
+column name, and a column whose type differs is widened to the least common
+type (the rule of :func:`trends.stack`).  Saving a month replaces only that month (dynamic
 partition overwrite), an empty upload included; deleting a month removes its
 folder.
 """

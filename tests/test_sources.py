@@ -4,9 +4,12 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rulescope.functions.types import common_type
 from rulescope.operators.rules import Rule
 from rulescope.plans.queries import pack_q
+from rulescope.sources import csv_survey
 from rulescope.sources import files as FL
 from rulescope.sources import headers as H
 from rulescope.sources.rules_io import read_rules, rules_from_json, rules_to_json, write_rules
@@ -275,3 +278,150 @@ def test_keyword_roles_and_compat_threshold():
     assert (roles["Cluster"], roles["Site ID"], roles["RM Count"], roles["Battery Backup (Hrs)"]) == ("Zone", "My SITE_ID", "RM Status", None)
     values = {"4": 4.0, "2.5": 2.5, "5.": 5.0, ".5": 0.5, "": 0.0, ".": 0.0, "-5": 0.0, "1e3": 0.0, "1.2.3": 0.0, " 4": 0.0}
     assert {k: parse_threshold(k, "compat") for k in values} == values
+
+
+# --- CSV files as they come ---
+
+
+def upload(folder, name, text, encoding="utf-8"):
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", newline="", encoding=encoding) as f:
+        f.write(text)
+    return path
+
+
+@pytest.mark.parametrize("extra", [",,LOST", ",", ",x", ',"a,b"', ",,,"])
+def test_csv_row_wider_than_its_header(spark, tmp_dir, extra):
+    path = upload(tmp_dir, "wide/x.csv", f'id,dg\n"0 ""q"", z",no\n1,yes{extra}\n2,no\n')
+    for read in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("id").collect()):
+        with pytest.raises(Exception, match="more than the 2 cells.*1,yes"):
+            read(FL.read_csv(spark, path, detect_types=False))
+    found = FL.wide_rows(spark, path).collect()
+    assert [(r.line, r.cells > 2, r.header_cells, r.row) for r in found] == [(3, True, 2, f"1,yes{extra}")]
+
+
+def test_csv_wide_rows_are_numbered_by_line(spark, tmp_dir):
+    text = "id,v\n" + "".join(f"{i},x{',,' if i in (7, 33333) else ''}\n" for i in range(50_000)) + "\n7,x,,\n"
+    path = upload(tmp_dir, "numbered/x.csv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found = sorted((r.line, r.cells, r.row) for r in FL.wide_rows(spark, path).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == [(9, 4, "7,x,,"), (33335, 4, "33333,x,,"), (50003, 4, "7,x,,")]
+    spanning = upload(tmp_dir, "spanning/x.csv", 'id,v\n1,"a\nb"\n2,c,,\n')
+    assert [(r.line, r.cells) for r in FL.wide_rows(spark, spanning).collect()] == [(None, 4)]
+
+
+def test_csv_short_rows_are_filled(spark, tmp_dir):
+    path = upload(tmp_dir, "short/x.csv", 'id,dg,c\n1,yes\n2\n3,"a,b",x\n')
+    rows = FL.read_csv(spark, path).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "yes", None), (2, None, None), (3, "a,b", "x")]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_quoted_line_breaks_without_being_told(spark, tmp_dir, end):
+    path = upload(tmp_dir, f"breaks{len(end)}/x.csv", end.join(["id,v", '1,"a\nb"', "2,c", '3,"5"" pipe, ""x"""', '4,5" pipe', ""]))
+    df = FL.read_csv(spark, path)
+    assert dict(df.dtypes)["id"] == "bigint"
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "a\nb"), (2, "c"), (3, '5" pipe, "x"'), (4, '5" pipe')]
+
+
+def test_csv_quotes_without_line_breaks_stay_splittable(spark, tmp_dir):
+    marks = ['5" pipe', '"a ""b"", c"', '""', "x", '"q"']
+    text = "id,v,w\n" + "".join(f"{i},{marks[i % 5]},{marks[i % 3]}\n" for i in range(20_000))
+    path = upload(tmp_dir, "marks/x.csv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = FL.read_csv(spark, path, detect_types=False)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 20_000
+        # An empty cell is missing, quoted or not.
+        assert {r.v for r in df.select("v").distinct().collect()} == {'5" pipe', 'a "b", c', None, "x", "q"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_survey_composes_ranges(spark, tmp_dir):
+    """Quoted cells that go on over the edges of byte ranges."""
+    long = "\n".join(f"line {i}, with a comma" for i in range(3000))
+    good = upload(tmp_dir, "ranges/a.csv", f'id,v\n1,"{long}"\n2,"{long}"\n3,x\n')
+    bad = upload(tmp_dir, "ranges2/b.csv", f'id,v\n1,"{long}"\n2,"{long}\n3,x\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert [f.spans for f in csv_survey.survey(spark, good)] == [True]
+        rows = FL.read_csv(spark, good).orderBy("id").collect()
+        assert [r.v for r in rows] == [long, long, "x"]
+        with pytest.raises(ValueError, match="no end in .*b.csv"):
+            FL.read_csv(spark, bad)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_cells_without_end_are_refused(spark, tmp_dir):
+    for k, text in enumerate(['id,v\n1,"abc\n2,d\n', '"id,v\n1,abc\n2,d\n']):
+        with pytest.raises(ValueError, match="has no end"):
+            FL.read_csv(spark, upload(tmp_dir, f"open{k}/x.csv", text))
+
+
+def test_csv_headers_of_many_files_in_one_job(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "many")
+    for i in range(1000):
+        head = "id,v" if i % 2 else 'v,id,"w\n(hrs)"'
+        upload(folder, f"p{i % 7}/f {i}%20.csv", f"{head}\n" + (f"{i},x\n" if i % 2 else f"x,{i},1.5\n"))
+    upload(folder, "empty.csv", "")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("survey", "headers")
+    try:
+        found = csv_survey.survey(spark, folder)
+        jobs = tracker.getJobIdsForGroup("survey")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Listing a thousand files may be a job of its own; adaptive execution
+    # submits the shuffle's map side and its result apart.
+    assert len(found) == 1000 and len(jobs) <= 3
+    df = FL.read_csv(spark, folder)
+    assert sorted(df.columns) == ["id", "v", "w (hrs)"] and df.count() == 1000
+    assert df.selectExpr("sum(id)", "sum(`w (hrs)`)", "min(v)", "max(v)").first() == (499500, 750.0, "x", "x")
+
+
+def test_csv_in_another_encoding(spark, tmp_dir):
+    path = upload(tmp_dir, "latin/x.csv", 'n\xe9,b\n"\xe9t\xe9, x",1\n', "latin-1")
+    df = FL.read_csv(spark, path, encoding="ISO-8859-1")
+    assert df.columns == ["n\xe9", "b"] and tuple(df.first()) == ("\xe9t\xe9, x", 1)
+    with pytest.raises(FileNotFoundError):
+        FL.read_csv(spark, os.path.join(tmp_dir, "nowhere"))
+    assert FL.read_csv(spark, upload(tmp_dir, "none/x.csv", "")).columns == []
+
+
+# --- types that drift between months ---
+
+
+def test_common_types():
+    def of(a, b):
+        x, y = (T._parse_datatype_string(t) for t in (a, b))
+        both = common_type(x, y)
+        assert both == common_type(y, x) or both.simpleString() == common_type(y, x).simpleString()
+        return both.simpleString()
+
+    assert of("int", "bigint") == "bigint" and of("tinyint", "smallint") == "smallint"
+    assert of("bigint", "double") == "double" and of("float", "int") == "double" and of("float", "decimal(5,2)") == "double"
+    assert of("decimal(10,2)", "decimal(8,4)") == "decimal(12,4)" and of("decimal(38,10)", "decimal(38,0)") == "double"
+    assert of("int", "decimal(5,2)") == "decimal(12,2)" and of("bigint", "decimal(38,0)") == "decimal(38,0)"
+    assert of("boolean", "int") == "int" and of("boolean", "double") == "double"
+    assert of("date", "timestamp") == "timestamp" and of("date", "timestamp_ntz") == "timestamp_ntz"
+    assert of("string", "int") == "string" and of("date", "int") == "string" and of("boolean", "date") == "string"
+    assert of("array<int>", "array<double>") == "array<double>" and of("map<string,int>", "map<string,bigint>") == "map<string,bigint>"
+    assert of("struct<a:int,b:date>", "struct<a:bigint,b:timestamp>") == "struct<a:bigint,b:timestamp>"
+    assert of("struct<a:int>", "struct<b:int>") == "string" and of("void", "int") == "int"
+
+
+def test_store_numbers_that_drift_stay_numbers(spark, tmp_dir):
+    store = TrendStore(spark, os.path.join(tmp_dir, "drift"))
+    store.save_month(spark.createDataFrame([(10_000_000, True, 1)], "v bigint, f boolean, k int"), 2024, 1)
+    store.save_month(spark.createDataFrame([(12345678.5, 7, None)], "V double, f int, k int"), 2024, 2)
+    df = store.load_all()
+    assert dict(df.dtypes)["v"] == "double" and dict(df.dtypes)["f"] == "int"
+    assert sorted((r.v, r.f) for r in df.collect()) == [(10_000_000.0, 1), (12345678.5, 7)]
+    store.save_month(spark.createDataFrame([("n/a", 7, None)], "v string, f int, k int"), 2024, 3)
+    assert dict(store.load_all().dtypes)["v"] == "string" and store.load_all().count() == 3
