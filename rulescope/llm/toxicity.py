@@ -33,7 +33,7 @@ from rulescope.llm.common import docs_of, per_row, row_stream, written_at
 from rulescope.sources import folders
 
 #: Coordinates are hashes of this many bits.
-BITS = 20
+BITS = 18
 #: Letters of the word beginnings that count as words too.
 STEMS = (4, 6)
 #: Labelled rows that the model is fitted on: all of them up to this number,
@@ -76,7 +76,7 @@ class _Words(dict):
 class Features:
     """Coordinates of texts."""
 
-    def __init__(self, bits: int = BITS):
+    def __init__(self, bits: int):
         self.shift = np.uint64(64 - bits)
         self.words = _Words()
 
@@ -106,7 +106,7 @@ class Ftrl:
     is the intercept, which has no L1 penalty."""
 
     def __init__(self, z: np.ndarray, n: np.ndarray):
-        self.z, self.n, self.bias = z.copy(), n.copy(), len(z) - 1
+        self.z, self.n, self.bias = z.astype(np.float64), n.astype(np.float64), len(z) - 1
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
@@ -133,7 +133,7 @@ class Ftrl:
 class Model:
     """Coordinates with a weight, their weights, and the intercept."""
 
-    def __init__(self, at: np.ndarray, weights: np.ndarray, bias: float, bits: int = BITS):
+    def __init__(self, at: np.ndarray, weights: np.ndarray, bias: float, bits: int):
         self.at, self.weights, self.bias, self.bits = at, weights, bias, bits
 
     def scorer(self) -> Callable[[str], float]:
@@ -176,7 +176,7 @@ def _round(sample: DataFrame, shards: int, z: np.ndarray, n: np.ndarray) -> Data
     """(shard, at, dz, dn): what each shard's rows change in the common state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = Features((len(z) - 1).bit_length() - 1)
         mine: Ftrl | None = None
         shard = None
         for k, toxic, text in row_stream(batches, "shard", "toxic", "text"):
@@ -197,19 +197,19 @@ def _round(sample: DataFrame, shards: int, z: np.ndarray, n: np.ndarray) -> Data
 
 def _changes(shard: int, mine: Ftrl, z: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     at = np.flatnonzero(mine.n != n)
-    parts = at.astype(np.int32), mine.z[at] - z[at], mine.n[at] - n[at]
+    parts = at.astype(np.int32), (mine.z[at] - z[at]).astype(np.float32), (mine.n[at] - n[at]).astype(np.float32)
     return pa.RecordBatch.from_arrays(
         [pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)],
         names=["shard", "at", "dz", "dn"],
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic", bits: int = BITS) -> Model:
     """The model learned from the labelled rows of ``docs`` (doc_id, text)
     that are not held out.  Without such rows every score is 0.5."""
     sample, path = written_at(_sample(docs, labels, doc_id, toxic), "toxicity-sample")
     shards = max(1, min(SHARDS, -(-sample.count() // SHARD_ROWS)))
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    z, n = (np.zeros((1 << bits) + 1, dtype=np.float32) for _ in range(2))
     for _ in range(EPOCHS):
         # At most SHARDS rows; in the order of the shards, so that sums of
         # doubles come out the same each time.
@@ -217,15 +217,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", toxic: str =
         dz, dn, touched = np.zeros_like(z), np.zeros_like(n), np.zeros_like(n)
         for row in changes:
             at = np.frombuffer(row["at"], dtype=np.int32)
-            dz[at] += np.frombuffer(row["dz"])
-            dn[at] += np.frombuffer(row["dn"])
+            dz[at] += np.frombuffer(row["dz"], dtype=np.float32)
+            dn[at] += np.frombuffer(row["dn"], dtype=np.float32)
             touched[at] += 1
         touched = np.maximum(touched, 1)
         z, n = z + dz / touched, n + dn / touched
     folders.discard(docs.sparkSession, path)
     weights = Ftrl(z, n).weights(np.arange(len(z)))
     at = np.flatnonzero(weights[:-1])
-    return Model(at, weights[at], float(weights[-1]))
+    return Model(at, weights[at], float(weights[-1]), bits)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

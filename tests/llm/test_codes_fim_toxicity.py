@@ -212,7 +212,7 @@ def test_steps_equal_the_textbook_form():
 
 
 def test_features_are_grams_and_skip_grams():
-    f = toxicity.Features()
+    f = toxicity.Features(toxicity.BITS)
     words = "one two three four".split()
     # words (beginnings count for long ones), pairs, triples, and two kinds of skips
     assert len(set(f("one two three four").tolist())) == 4 + 1 + 3 + 2 + 2 + 1
