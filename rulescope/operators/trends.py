@@ -223,13 +223,16 @@ def report_header(
     )
 
 
-def catalogue(df: DataFrame, year_col: str = YEAR_COL, month_col: str = MONTH_COL) -> DataFrame:
+def catalogue(
+    df: DataFrame, year_col: str = YEAR_COL, month_col: str = MONTH_COL, rows: Column | None = None
+) -> DataFrame:
     """Dataset catalogue: one row per (year, month) with its month name and
-    row count, chronological."""
+    row count, chronological.  ``rows`` is the aggregate that counts them
+    where ``df`` holds counts already."""
     y, m = qcol(year_col), qcol(month_col)
     return (
         df.groupBy(y.cast("int").alias("year"), m.cast("int").alias("month"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg((F.count(F.lit(1)) if rows is None else rows).alias("rows"))
         .select("year", "month", month_name(F.col("year"), F.col("month")).alias("month_name"), "rows")
         .orderBy("year", "month")
     )

@@ -8,6 +8,7 @@ go to fresh folders under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -24,6 +25,7 @@ from rulescope.sources import files as FL
 from rulescope.sources import headers as H
 from rulescope.sources.rules_io import read_rules, write_rules
 from rulescope.sources.store import TrendStore
+from rulescope.sources.table_store import TableStore
 
 TREND_SQL = f"""(SELECT o_custkey AS "Site ID", o_orderstatus AS "Circle", o_orderpriority AS "MIB Name",
   year(o_orderdate)::INTEGER AS source_year, month(o_orderdate)::INTEGER AS source_month,
@@ -305,6 +307,46 @@ def store_catalogue(spark, sf_dir):
     return _store_with_orders(spark, sf_dir).list_months()
 
 
+@register("table_store_roundtrip", ORACLE["store_roundtrip"])
+def table_store_roundtrip(spark, sf_dir):
+    """The store round trip on a table of the catalogue: save every month,
+    replace one, delete one, read the rest."""
+    store = TableStore(spark, f"months_{uuid.uuid4().hex[:12]}")
+    o = table(spark, sf_dir, "orders").select(*_ORD.split(", "), "o_orderdate")
+    day = F.col("o_orderdate")
+    store.save_tagged(o.withColumns({TR.YEAR_COL: F.year(day), TR.MONTH_COL: F.month(day)}).drop("o_orderdate"))
+    june = store.load_month(1998, 6).where(F.col("o_orderstatus") == "F")
+    store.save_month(_materialize(spark, june), 1998, 6)
+    store.delete_month(1999, 1)
+    return store.load_all().select(*_ORD.split(", "), TR.YEAR_COL, TR.MONTH_COL)
+
+
+@register(
+    "table_store_drift",
+    """SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1996 THEN o_totalprice ELSE CAST(o_custkey AS DOUBLE) END AS amount,
+  CASE WHEN year(o_orderdate) = 1997 THEN o_orderpriority END AS note,
+  year(o_orderdate)::INTEGER AS source_year, 1 AS source_month
+FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997) AND month(o_orderdate) = 1""",
+)
+def table_store_drift(spark, sf_dir):
+    """Uploads into a table of the catalogue: the second needs a wider type,
+    so the table is widened into a new one; the third adds a metric and
+    brings a smaller type, which is cast."""
+    names = [f"months_{uuid.uuid4().hex[:12]}" for _ in range(2)]
+    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate") == 1)
+
+    def upload(year, *cols):
+        return o.where(F.year("o_orderdate") == year).select("o_orderkey", *cols)
+
+    store = TableStore(spark, names[0])
+    store.save_month(upload(1995, F.col("o_custkey").cast("bigint").alias("amount")), 1995, 1)
+    second = upload(1996, F.col("o_totalprice").alias("amount"))
+    store = store.widened(second.schema, names[1])
+    store.save_month(second, 1996, 1)
+    store.save_month(upload(1997, F.col("o_custkey").cast("int").alias("amount"), F.col("o_orderpriority").alias("note")), 1997, 1)
+    return store.load_all().select("o_orderkey", "amount", "note", TR.YEAR_COL, TR.MONTH_COL)
+
+
 _LISTED = ["1-URGENT", "5-LOW, padded", " 2-HIGH", "3-MEDIUM"]
 
 

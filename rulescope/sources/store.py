@@ -120,5 +120,24 @@ class TrendStore:
         return [f"{y:04d}-{m:02d}" for y, m in self.months()]
 
     def list_months(self) -> DataFrame:
-        """Catalogue: year, month, month_name, rows; chronological."""
-        return catalogue(self.load_all().select(qcol(YEAR_COL), qcol(MONTH_COL)))
+        """Catalogue: year, month, month_name, rows; chronological.  The rows
+        are counted from the footers of the data files."""
+        if not self.exists():
+            return catalogue(self.load_all())
+        counts = footer_counts(self.spark, self.root, (YEAR_COL, MONTH_COL))
+        return catalogue(counts, rows=F.sum("rows"))
+
+
+def footer_counts(spark: SparkSession, root: str, levels: tuple[str, ...]) -> DataFrame:
+    """(levels..., rows): the rows of every partition of a Parquet folder.
+
+    The count is pushed to the reader, which gives one row per file from its
+    footer.  Only Spark's newer Parquet reader does so, and only where it is
+    allowed to: both are settings of a session of its own, so that the
+    caller's session keeps its settings.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    files = own.read.schema(", ".join(f"{c} INT" for c in levels)).parquet(root)
+    return files.groupBy(*map(qcol, levels)).agg(F.count(F.lit(1)).alias("rows"))

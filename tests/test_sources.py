@@ -1,6 +1,7 @@
 """Headers, CSV ingest, rule files and the month store."""
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from rulescope.sources import csv_survey
 from rulescope.sources import files as FL
 from rulescope.sources import headers as H
 from rulescope.sources.rules_io import read_rules, rules_from_json, rules_to_json, write_rules
-from rulescope.sources.store import TrendStore
+from rulescope.sources.store import TrendStore, footer_counts
+from rulescope.sources.table_store import TableStore
 from tests.conftest import SF_SMALL
 
 
@@ -425,3 +427,69 @@ def test_store_numbers_that_drift_stay_numbers(spark, tmp_dir):
     assert sorted((r.v, r.f) for r in df.collect()) == [(10_000_000.0, 1), (12345678.5, 7)]
     store.save_month(spark.createDataFrame([("n/a", 7, None)], "v string, f int, k int"), 2024, 3)
     assert dict(store.load_all().dtypes)["v"] == "string" and store.load_all().count() == 3
+
+
+# --- the store as a table of the catalogue, and its counts ---
+
+
+@pytest.fixture
+def table_store(spark):
+    name = f"months_{uuid.uuid4().hex[:8]}"
+    yield TableStore(spark, name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_table_store_save_replace_delete(spark, table_store):
+    store = table_store
+    a = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "site string, v double")
+    assert store.months() == [] and store.delete_month(2024, 1) is False
+    store.save_month(a, 2024, 1)
+    store.save_month(a, 2024, 2)
+    store.save_month(a.where("site = 's1'"), 2024, 2)  # replace February only
+    assert [(r.year, r.month, r.rows) for r in store.list_months().collect()] == [(2024, 1, 2), (2024, 2, 1)]
+    plan = store.load_month(2024, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "InMemoryFileIndex(1 paths)" in plan
+    labelled = store.load_months([(2024, 2), (1901, 1)]).collect()
+    assert [(r["Source_Month"], r["Source_Year"], r.site) for r in labelled] == [("February", 2024, "s1")]
+    files = {r.path for r in spark.read.format("binaryFile").load(store.load_all().inputFiles()).select("path").collect()}
+    assert store.delete_month(2024, 1) is True and store.delete_month(2024, 1) is False
+    assert store.months() == [(2024, 2)] and store.load_all().count() == 1
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in files if "source_month=1" in f)
+    store.save_month(a.limit(0), 2024, 2)  # an empty upload replaces too
+    assert store.load_all().count() == 0
+    with pytest.raises(ValueError):
+        store.save_month(a, 2024, 13)
+
+
+def test_table_store_schema_changes(spark, table_store):
+    store = table_store
+    store.save_month(spark.createDataFrame([(1, "a")], "v bigint, `odd ``name` string"), 2024, 1)
+    # Other order and case, a smaller type, a new column, a missing column.
+    store.save_month(spark.createDataFrame([(0.5, 2)], "w double, V int"), 2024, 2)
+    rows = sorted(tuple(r) for r in store.load_all().select("v", "`odd ``name`", "w", "source_month").collect())
+    assert rows == [(1, "a", None, 1), (2, None, 0.5, 2)]
+    wide = spark.createDataFrame([(1.5,)], "v double")
+    with pytest.raises(ValueError, match=r"\['v'\]"):
+        store.save_month(wide, 2024, 3)
+    other = store.widened(wide.schema, f"{store.name}_wide")
+    try:
+        other.save_month(wide, 2024, 3)
+        assert sorted(r.v for r in other.load_all().collect()) == [1.0, 1.5, 2.0] and store.load_all().count() == 2
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {other.name}")
+
+
+def test_store_counts_come_from_footers(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "counted")
+    store = TrendStore(spark, root)
+    assert store.list_months().count() == 0
+    for month, rows in ((1, 500), (2, 1), (11, 20)):
+        store.save_month(spark.range(rows).withColumn("v", F.lit("x" if month == 1 else None)), 2024, month)
+    store.save_month(spark.range(7).withColumn("id", F.col("id").cast("string")), 2023, 5)  # a type that drifts
+    listed = store.list_months()
+    assert [tuple(r) for r in listed.collect()] == [
+        (2023, 5, "May", 7), (2024, 1, "January", 500), (2024, 2, "February", 1), (2024, 11, "November", 20),
+    ]
+    plan = footer_counts(spark, root, ("source_year", "source_month"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "PushedGroupBy: [source_year, source_month]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""
