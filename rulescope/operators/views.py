@@ -281,11 +281,8 @@ def failure_long(ev: Evaluation, ids: str | Sequence[str]) -> DataFrame:
     keeps Catalyst from testing the array's size before it, which would
     evaluate every rule a second time.
     """
-    labels = F.array(*[F.when(ev.fail(r.name), F.lit(r.name)) for r in ev.rules])
-    if not ev.rules:
-        labels = F.expr("cast(array() as array<string>)")
     return (
-        ev.df.select(*[qcol(i) for i in _keys(ids)], F.array_compact(labels).alias("__f"))
+        ev.df.select(*[qcol(i) for i in _keys(ids)], ev.failing().alias("__f"))
         .select(*[qcol(i) for i in _keys(ids)], F.explode_outer("__f").alias("failure_type"))
         .where("failure_type IS NOT NULL")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulescope.operators import views as V
-from rulescope.operators.rules import Evaluation, Rule, evaluate
+from rulescope.operators.rules import Evaluation, Rule, evaluate, evaluate_packed
 from rulescope.plans.oracle import (
     d_cmp,
     d_contains,
@@ -162,6 +162,44 @@ def rule_eval_four_layer(spark, sf_dir):
     return ev.df.select("o_orderkey", *ev.fail_cols, *ev.crit_cols, ev.total_col, ev.ok_col)
 
 
+_STEPS = range(70)  # more rules than a word has flags
+
+
+def _step_rules() -> list[Rule]:
+    """Price limits, every second one for one status, every third severe."""
+    return [
+        Rule(
+            name=f"step_{k}", fail_col="o_totalprice", fail_op=">", fail_val=str(5000 * k),
+            use_pre=k % 2 == 1, pre_col="o_orderstatus", pre_op="==", pre_val="F",
+            use_severe=k % 3 == 0, sev_col="o_custkey", sev_op="<", sev_val=str(10 * k),
+        )
+        for k in _STEPS
+    ]
+
+
+def _step_word(first: int, severe: bool) -> str:
+    bits = ["CAST(0 AS BIGINT)"]
+    for k in _STEPS:
+        if first <= k < first + 63 and (k % 3 == 0 or not severe):
+            cond = f"o_totalprice > {5000 * k}" + (" AND o_orderstatus = 'F'" if k % 2 else "")
+            cond += f" AND o_custkey < {10 * k}" if severe else ""
+            bits.append(f"CASE WHEN {cond} THEN {1 << (k - first)} ELSE 0 END")
+    return " + ".join(bits)
+
+
+@register(
+    "rule_eval_packed",
+    f"""WITH w AS (SELECT o_orderkey, ({_step_word(0, False)})::BIGINT AS "FAIL_BITS_0", ({_step_word(63, False)})::BIGINT AS "FAIL_BITS_1",
+  ({_step_word(0, True)})::BIGINT AS "CRIT_BITS_0", ({_step_word(63, True)})::BIGINT AS "CRIT_BITS_1" FROM orders)
+SELECT *, CAST(bit_count("FAIL_BITS_0") + bit_count("FAIL_BITS_1") AS INTEGER) AS _TOTAL_FAILS,
+  "FAIL_BITS_0" = 0 AND "FAIL_BITS_1" = 0 AS _IS_OK FROM w""",
+)
+def rule_eval_packed(spark, sf_dir):
+    """Seventy rules whose flags are bits of two words."""
+    ev = evaluate_packed(table(spark, sf_dir, "orders"), _step_rules())
+    return ev.df.select("o_orderkey", *ev.generated)
+
+
 # --------------------------------------------------------------------------
 # Operators one by one, with NULLs
 # --------------------------------------------------------------------------
@@ -379,6 +417,13 @@ def matrix_two_key(spark, sf_dir):
     return V.matrix(ev_orders(spark, sf_dir), ["o_orderstatus", "o_orderpriority"])
 
 
+@register("matrix_packed", ORACLE["matrix_two_key"])
+def matrix_packed(spark, sf_dir):
+    """The two-key matrix from flags that are bits."""
+    ev = evaluate_packed(table(spark, sf_dir, "orders"), pack_q())
+    return V.matrix(ev, ["o_orderstatus", "o_orderpriority"])
+
+
 def pack_lineitem() -> list[Rule]:
     return [
         Rule(name="big_qty", fail_col="l_quantity", fail_op=">", fail_val="40"),

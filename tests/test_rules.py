@@ -3,15 +3,19 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rulescope.operators import views as V
 from rulescope.operators.rules import (
+    WORD_BITS,
     Rule,
     RuleError,
     compile_condition,
     evaluate,
+    evaluate_packed,
     parse_threshold,
     resolve_column,
 )
 from rulescope.plans.queries import pack_q
+from tests.conftest import SF_SMALL
 
 COMPARE = [
     (1, "OK", 5.0),
@@ -242,3 +246,49 @@ def test_names_clash_ignoring_case(spark):
         evaluate(spark.createDataFrame([(1, "x")], "fail_a int, v string"), [Rule(name="a", fail_col="v", fail_val="x")])
     with pytest.raises(RuleError):
         evaluate(spark.createDataFrame([(1, "x")], "_total_fails int, v string"), [Rule(name="a", fail_col="v")])
+
+
+# --- flags as bits ---
+
+
+def _many(n: int) -> list[Rule]:
+    return [
+        Rule(name=f"r {i}", fail_col="o_totalprice", fail_op=">", fail_val=str(1000 + i * 3000), use_pre=i % 2 == 0,
+             pre_col="o_orderstatus", pre_op="==", pre_val="F", use_severe=i % 3 == 0, sev_col="o_custkey",
+             sev_op=">=", sev_val=str(i))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("n", [0, 1, 62, 63, 64, 130])
+def test_packed_flags_equal_the_columns(spark, n):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    odd = spark.createDataFrame([(-1, None, None, None), (-2, float("nan"), " f ", 5)], o.schema)
+    o = o.unionByName(odd)
+    rules = [*_many(n), Rule(name="absent", fail_col="nowhere", fail_op="==", fail_val="1")]
+    wide, packed = evaluate(o, rules), evaluate_packed(o, rules)
+    assert packed.skipped == wide.skipped and len(packed.fail_cols) == -(-n // WORD_BITS)
+    back = packed.unpacked()
+    assert back.df.columns == wide.df.columns and back.df.dtypes == wide.df.dtypes
+    key = lambda r: repr(tuple(r))  # noqa: E731 - NaN is not equal to itself
+    assert sorted(map(key, back.df.collect())) == sorted(map(key, wide.df.collect()))
+
+
+def test_views_take_packed_flags(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    wide, packed = evaluate(o, _many(70)), evaluate_packed(o, _many(70))
+    views = [
+        V.health_summary,
+        V.kpi_totals,
+        lambda ev: V.failure_long(ev, "o_orderkey"),
+        lambda ev: V.distribution_by_dim(ev, "o_orderpriority", 2),
+        lambda ev: V.deep_dive_card(ev, "r 65"),
+        lambda ev: V.actionable(ev, "kpi_severe", rule="r 69").clean(),
+        lambda ev: V.actionable(V.materialized(ev), "severe").clean(),
+    ]
+    for view in views:
+        assert sorted(map(tuple, view(packed).collect())) == sorted(map(tuple, view(wide).collect()))
+    with pytest.raises(RuleError):
+        packed.fail("nowhere")
+    with pytest.raises(RuleError, match="FAIL_BITS_0"):
+        evaluate_packed(o.withColumn("fail_bits_0", F.lit(1)), _many(2))
