@@ -191,7 +191,7 @@ def _round(sample: DataFrame, shards: int, z: np.ndarray, n: np.ndarray) -> Data
 
     key = F.xxhash64("doc_id", F.lit("order"))
     dealt = sample.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).withColumn("key", key)
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id")
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "doc_id")
     return dealt.select("shard", "toxic", "text").mapInArrow(run, "shard int, at binary, dz binary, dn binary")
 
 
