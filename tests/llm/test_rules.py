@@ -223,6 +223,66 @@ def test_linked_lines_of_an_article_stay():
     assert html_text.main_text(PAGE % f"<div><p>{prose}</p>{rest}</div>").split("\n\n") == want[:2]
 
 
+LONG = " ".join(f"<p>Paragraph {i} of a long article that says something of substance.</p>" for i in range(8))
+LONG_WANT = [f"Paragraph {i} of a long article that says something of substance." for i in range(8)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html><body class="single comments-open"><div id="c">%s</div></body></html>',
+        '<html><body id="menu" class="has-sidebar hidden-nav"><article>%s</article></body></html>',
+        '<html><body><article class="post comments-open">%s</article></body></html>',
+        '<html><body><main id="main-menu-page" class="share">%s</main></body></html>',
+        '<html><body><div class="content-with-sidebar">%s</div></body></html>',
+        '<html><body><div class="page-no-menu">%s</div></body></html>',
+        '<html><body><div class="layout-sidebar"><article>%s</article></div></body></html>',
+        '<html><body><div class="layout-sidebar"><h1>T</h1>%s</div></body></html>',
+        '<html><body><div class="related">%s</div></body></html>',
+        '<html><body><form id="aspnetForm" method="post"><div>%s</div></form></body></html>',
+        '<html><body><form><article>%s</article><p><label>Q</label><input><button>Go</button></p></form></body></html>',
+        '<html><body><div><a href="/x">Skip<div><p>x</p></div><div>%s</div></div></body></html>',
+        '<html><body><div><p><a name="top">%s</div></body></html>',
+        '<html><body><header class="banner" role="banner"><main>%s</main></header></body></html>',
+        '<html><body><div id="comments-wrap"><main>%s</main></div></body></html>',
+        "<html><body><div><header>%s</header></div></body></html>",
+    ],
+)
+def test_no_layout_loses_the_page(page):
+    """Containers named after something beside the text, forms around the
+    page, links without an end."""
+    got = html_text.main_text(page % LONG).split("\n\n")
+    assert [x for x in got if x.startswith("Paragraph")] == LONG_WANT
+    assert set(got) - set(LONG_WANT) <= {"T", "x", "Skip"}
+
+
+def test_furniture_that_is_longer_than_the_article():
+    notes = "".join(f"<div class='comment'><p>Reader {i} has a long opinion about every part of this.</p></div>" for i in range(30))
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>An entry of the menu, number {i}</a></li>" for i in range(60)) + "</ul>"
+    side = "<p>" + "A sidebar with one very long paragraph. " * 40 + "</p>"
+    for before, after in (
+        ("", f"<section id='comments'>{notes}</section>"),
+        (f"<nav>{menu}</nav>", f"<div class='comments'><h2>Replies</h2>{notes}</div>"),
+        (f"<div class='menu'>{menu}</div>", f"<aside>{side}</aside>"),
+        (f"<div class='cookie-notice'>{side}</div>", f"<div class='sidebar'>{side}</div>"),
+        ("", f"<article class='comment even'>{side}</article><article id='comment-7'>{side}</article>"),
+    ):
+        page = f"<html><body>{before}<article><h1>T</h1>{LONG}</article>{after}</body></html>"
+        assert html_text.main_text(page).split("\n\n") == ["T", *LONG_WANT]
+
+
+def test_headers_of_articles_and_controls_in_sentences():
+    lead = "This standfirst tells in one sentence what the article is about."
+    head = f"<header><p class='byline'>By A. Writer and some more words to make it long</p><h1>T</h1><p>{lead}</p><p>3 May</p></header>"
+    page = f"<article>{head}{LONG}<p>Press the <button>Save</button> button.</p><button>Share</button><p><label>Name</label></p></article>"
+    assert html_text.main_text(PAGE % page).split("\n\n") == ["T", lead, *LONG_WANT, "Press the Save button."]
+
+
+def test_furniture_inside_a_line():
+    page = f"<article>{LONG}<p>Before <script>var x = '<p>';</script>and <span class='share'>Tweet</span>after.</p></article>"
+    assert html_text.main_text(PAGE % page).split("\n\n") == [*LONG_WANT, "Before and after."]
+
+
 def test_broken_pages():
     assert html_text.main_text("") == html_text.main_text("<html><body></body></html>") == ""
     assert html_text.main_text("just text, no markup at all") == "just text, no markup at all"
