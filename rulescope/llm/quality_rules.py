@@ -5,23 +5,25 @@ boilerplate rule are removed.  A document is rejected if it fails a rule of
 its own (too few words, too many words in repeated 5-word windows) or if the
 line rules leave too little of it.
 
-Line rules (a line without words is neither kept nor counted):
+Line rules (a line without words stays and is not counted):
 
 * ``symbols``: at least ``SYMBOLS_PER_WORD`` marks of ``#*$%&<>`` or doubled
   exclamation marks per word (decoration and shouting);
 * ``table``: at least ``BARS_PER_WORD`` ``|`` per word (navigation bars);
 * ``single_word``: ``REPEATED_WORD`` or more words, of which one word makes up
   at least ``REPEATED_SHARE`` (spam);
-* ``boilerplate``: the line names cookies, scripts, log-ins, subscriptions or
-  the like (``BOILERPLATE``), and has at most ``NOTICE_WORDS`` words or
-  consists of such phrases by ``PHRASE_SHARE`` of its words or more: a longer
-  line that mentions one is text;
-* ``repeated``: the same line came earlier in the document.
-
-A rule about the final mark of a line counts only together with another sign
-of navigation, a line of fewer than ``SHORT_LINE`` words without any
-punctuation: titles and list items are ordinary parts of clean documents, so
-such lines are removed only where they stand ``NAV_RUN`` or more in a row.
+* ``repeated``: the same line came earlier in the document;
+* ``recurring``: the line is page furniture (menus, banners, notices) by the
+  company it keeps: at most ``FURNITURE_CHARS`` long, and found with
+  ``RECUR_DOCS`` or more different bodies in its source that make up
+  ``RECUR_SHARE`` of the source's bodies or more.  No list of phrases is needed,
+  so it holds in every language; lists, verse and titles are ordinary lines.
+
+A document's *body* is the least hash of three words in a row, which edited
+copies mostly share and different documents do not.  A line that comes with
+fewer than ``RECUR_SPREAD`` bodies per document recurs because its documents
+are copies, and stays.  Lines removed as furniture do not count as lost text,
+but ``MIN_WORDS`` must be left beside them.
 """
 
 from __future__ import annotations
@@ -32,41 +34,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream
+from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream, written
 
 SYMBOLS_PER_WORD = 0.5
 BARS_PER_WORD = 0.4
 REPEATED_WORD, REPEATED_SHARE = 20, 0.4
-SHORT_LINE, NAV_RUN = 5, 5
-#: Words of a line that one phrase makes boilerplate, at most; in longer lines
-#: the phrases' least share of the words.
-NOTICE_WORDS, PHRASE_SHARE = 20, 0.2
+#: Code points of a line that can be furniture, at most; bodies of its source
+#: that it comes with, at least, and their share of the source's bodies.
+FURNITURE_CHARS, RECUR_DOCS, RECUR_SHARE = 160, 10, 0.05
+#: Bodies per document with the line, at least.
+RECUR_SPREAD = 0.5
 #: Least share of a document's words that the line rules must leave.
 KEEP_SHARE = 0.5
 #: Base rules of a document.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: Phrases of page furniture, lower case.
-BOILERPLATE = (
-    "accept all cookies",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "log in to continue",
-    "privacy policy",
-    "sign up for our newsletter",
-    "skip to content",
-    "subscribe to our",
-    "terms of use",
-)
-
-_PHRASE_WORDS = [(b, len(b.split())) for b in BOILERPLATE]
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 _DECORATION = re.compile(r"[#*$%&<>]|!!")
-_END_MARKS = re.compile(r"[.!?,;:…。！？\"'»”)]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Spark's seed of ``xxhash64``.
+_SEED = 42
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -106,45 +98,35 @@ def line_fails(line: str, words: list[str]) -> bool:
     n = len(words)
     if len(_DECORATION.findall(line)) >= SYMBOLS_PER_WORD * n or line.count("|") >= BARS_PER_WORD * n:
         return True
-    if n >= REPEATED_WORD and Counter(words).most_common(1)[0][1] >= REPEATED_SHARE * n:
-        return True
-    low = line.lower()
-    phrases = sum(low.count(b) * k for b, k in _PHRASE_WORDS)
-    return phrases > 0 and (n <= NOTICE_WORDS or phrases >= PHRASE_SHARE * n)
+    return n >= REPEATED_WORD and Counter(words).most_common(1)[0][1] >= REPEATED_SHARE * n
 
 
-def clean_lines(text: str) -> tuple[str, int, int]:
-    """(lines that pass, their words, lines removed)."""
-    kept: list[str] = []
-    kept_words = removed = 0
-    seen: set[str] = set()
-    run: list[tuple[str, int]] = []  # short lines without punctuation
+def line_hash(line: str) -> int:
+    """Spark's ``xxhash64`` of a string."""
+    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), seed=_SEED)
+    return h - (1 << 64) if h >> 63 else h
 
-    def end_run() -> None:
-        nonlocal kept_words, removed
-        if len(run) >= NAV_RUN:
-            removed += len(run)
-        else:
-            kept.extend(x for x, _ in run)
-            kept_words += sum(k for _, k in run)
-        run.clear()
 
+def clean_lines(text: str, recurring: frozenset[int] = frozenset()) -> tuple[str, int, int, int]:
+    """(lines that pass, their words, lines removed, words of those that
+    recur); ``recurring`` holds the hashes of the recurring lines."""
+    kept: list[str] = []
+    kept_words = removed = furniture = 0
+    seen: set[str] = set()
     for line in text.split("\n"):
-        words = line.split()
+        words = _WORD.findall(line)
         if not words:
-            continue
-        if line in seen or line_fails(line, words):
+            kept.append(line)
+        elif recurring and len(line) <= FURNITURE_CHARS and line_hash(line) in recurring:
             removed += 1
-            continue
-        seen.add(line)
-        if len(words) < SHORT_LINE and not _END_MARKS.search(line):
-            run.append((line, len(words)))
-            continue
-        end_run()
-        kept.append(line)
-        kept_words += len(words)
-    end_run()
-    return "\n".join(kept) if removed else text, kept_words, removed
+            furniture += len(words)
+        elif line in seen or line_fails(line, words):
+            removed += 1
+        else:
+            seen.add(line)
+            kept.append(line)
+            kept_words += len(words)
+    return "\n".join(kept) if removed else text, kept_words, removed, furniture
 
 
 DDL = (
@@ -153,7 +135,8 @@ DDL = (
 )
 
 
-def judge(text: str) -> tuple:
+def judge(text: str, recurring: frozenset[int] = frozenset()) -> tuple:
+    """The values of ``DDL`` but the first."""
     raw = text.encode()
     words = raw.split()  # bytes split at exactly the ASCII white space
     n = len(words)
@@ -163,14 +146,57 @@ def judge(text: str) -> tuple:
     dup = len(lines) - len(set(lines))
     repeat = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeat > REPEAT_PERCENT * n
-    cleaned, left, removed = clean_lines(text)
-    kept = not failed and left >= KEEP_SHARE * n
+    cleaned, left, removed, furniture = clean_lines(text, recurring)
+    kept = not failed and left >= KEEP_SHARE * (n - furniture) and (left >= MIN_WORDS or not furniture)
     return n, len(text) - blank, symbols, dup, repeat, failed, kept, removed, cleaned
 
 
-def assess(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def recurring_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str | None = "source") -> DataFrame:
+    """(doc_id, recurring): the hashes of the recurring lines of every document
+    that has some.
+
+    Lines are counted by source (a table without such a column is one source).
+    All steps combine map-side; a line that a third of all documents have is
+    counted by (source, line, body), so no task holds its documents.
+    """
+    of = F.col(f"`{source}`").cast("string") if source in df.columns else F.lit(None)
+    docs = df.select(
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+        F.coalesce(of, F.lit("")).alias("source"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
+    ).where(F.col("doc_id").isNotNull())
+
+    def least(words: Column) -> Column:
+        return F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
+
+    # The words of an array of one array: they are split once, not for every word.
+    body = F.transform(F.array(F.split("text", r"[\x20\x09-\x0D]+")), least)[0]
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= FURNITURE_CHARS) & x.rlike(r"[^\x20\x09-\x0D]"))
+    hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
+    docs = docs.select("doc_id", "source", body.alias("body"), hashes.alias("lines"))
+    # Written once: it is read to count the bodies and the lines, and to find these.
+    docs = written(docs, "quality-lines")
+    bodies = docs.select("source", "body").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("bodies"))
+    short = docs.select("doc_id", "source", "body", F.explode("lines").alias("line"))
+    seen = short.groupBy("source", "line", "body").agg(F.count(F.lit(1)).alias("docs"))
+    seen = seen.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs"))
+    seen = seen.where((F.col("n") >= RECUR_DOCS) & (F.col("n") >= RECUR_SPREAD * F.col("docs")))
+    often = seen.join(bodies, "source").where(F.col("n") >= RECUR_SHARE * F.col("bodies"))
+    # At most 1 / RECUR_SHARE times the lines of an average document a source.
+    found = short.join(often.select("source", "line"), ["source", "line"])
+    return found.groupBy("doc_id").agg(F.collect_set("line").alias("recurring"))
+
+
+def assess(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str | None = "source") -> DataFrame:
     """One row per input row (columns: ``DDL``); ``cleaned`` is the text of
-    the lines that passed (the text itself if all did).  A NULL or empty text has no words, so it fails."""
+    the lines that passed (the text itself if all did).
+
+    A NULL or empty text has no words, so it fails.  Very long texts are
+    judged whole, by the task that has the row.  Repeated rows each give a
+    row; rows without an id are judged without the rule on recurring lines; an
+    empty table gives no rows.  Other columns than the text, the id and the
+    source are not read.
+    """
     schema = pa.schema(
         [("doc_id", pa.int64())]
         + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -179,25 +205,32 @@ def assess(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Emitter(schema)
-        for d, t in row_stream(batches, "doc_id", "text"):
-            values = judge(t)
+        for d, t, r in row_stream(batches, "doc_id", "text", "recurring"):
+            values = judge(t, frozenset(r or ()))
             out.add(len(values[-1]) + 64, d, *values)
             if out.full():
                 yield out.batch()
         yield out.batch()
 
-    return docs_of(df, text, doc_id).mapInArrow(run, DDL)
+    found = recurring_lines(df, text, doc_id, source)
+    rows = docs_of(df, text, doc_id).join(found, "doc_id", "left")
+    return rows.select("doc_id", "text", "recurring").mapInArrow(run, DDL)
 
 
-def cleaned(df: DataFrame, text: str = "text") -> DataFrame:
+def cleaned(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str | None = "source") -> DataFrame:
     """The rows of ``df`` whose documents are kept, with the lines that passed
     as their text; all columns stay."""
 
-    def change() -> Callable[[str], str | None]:
-        def one(t: str) -> str | None:
-            values = judge(t)
+    def change() -> Callable[..., str | None]:
+        def one(t: str, recurring: list[int] | None) -> str | None:
+            values = judge(t, frozenset(recurring or ()))
             return values[-1] if values[6] else None
 
         return one
 
-    return rewritten(df, text, change)
+    # Names that no column has: extra columns may be called anything.
+    taken = {c.lower() for c in df.columns}
+    key, lines = (next(f"{n}{k}" for k in range(len(taken) + 1) if f"{n}{k}" not in taken) for n in ("_id", "_lines"))
+    found = recurring_lines(df, text, doc_id, source).toDF(key, lines)
+    rows = df.join(found, F.col(f"`{doc_id}`").cast("long") == F.col(key), "left").drop(key)
+    return rewritten(rows, text, change, (lines,))

@@ -36,27 +36,65 @@ def test_line_rules():
     rng = random.Random(2)
     prose = "\n".join(" ".join(f"w{rng.randrange(999)}" for _ in range(12)) + "." for _ in range(6))
     assert quality_rules.judge(prose)[5:8] == (False, True, 0) and quality_rules.judge(prose)[8] == prose
-    menu = "\n".join(["Home", "News", "About us", "Contact", "Shop", "Login"])
-    assert quality_rules.clean_lines(menu + "\n" + prose)[0] == prose
     bars = " | ".join(f"x{i}" for i in range(40))
     assert quality_rules.judge(bars)[5:7] == (False, False)
+    assert quality_rules.clean_lines(prose + "\n" + bars)[0] == prose
     shout = " ".join(f"W{i}!!" for i in range(40))
     assert quality_rules.judge(shout)[5:7] == (False, False)
-    assert quality_rules.clean_lines(prose + "\nPlease accept all cookies to go on reading here.")[0] == prose
+    assert quality_rules.clean_lines("\n" + prose + "\n\n" + shout + "\n\n" + prose[:40])[0] == "\n" + prose + "\n\n\n" + prose[:40]
     # Base failures are never kept; short texts fail.
     assert quality_rules.judge("")[5:7] == (True, False) and quality_rules.judge("a b c")[5:7] == (True, False)
-
-
-def test_long_lines_that_mention_boilerplate_are_text():
-    rng = random.Random(4)
-    words = [f"w{rng.randrange(999)}" for _ in range(300)]
-    for phrase in quality_rules.BOILERPLATE:
-        article = " ".join([*words[:150], phrase, *words[150:]]) + "."
-        assert quality_rules.judge(article)[5:] == (False, True, 0, article)
-        both = article + "\n" + " ".join(words[:9]) + f" {phrase} here."
-        assert quality_rules.clean_lines(both)[0] == article
-    notices = " ".join(f"{b}, {w}." for b, w in zip(quality_rules.BOILERPLATE * 3, words, strict=False))
-    assert quality_rules.clean_lines(notices + "\n" + article)[0] == article
+    # Words are counted alike before and after: a no-break space is no white space.
+    wide = "\n".join(f"a{i}\u00a0b{i}\u3000c{i} d{i} e{i} f{i}" for i in range(9)) + "\n" + bars[:60]
+    assert quality_rules.clean_lines(wide)[1] == 9 * 4
+
+
+RECIPE = "Pancakes\n\nflour\nmilk\neggs\nsugar\nbutter\nsalt\n\nMix it all and fry it in a hot pan until it is brown."
+POEM = "The night is long\nthe road is far\nand over all\na single star\n\nI walk alone\nand never rest\nthe wind goes north\nthe moon goes west"
+
+
+def test_lists_verse_and_blank_lines_stay():
+    for text in (RECIPE, POEM):
+        assert quality_rules.judge(text)[5:] == (False, True, 0, text)
+    bars = " | ".join(f"x{i}" for i in range(9))
+    assert quality_rules.clean_lines(RECIPE + "\n" + bars)[0] == RECIPE
+
+
+def test_line_hash_is_sparks(spark):
+    lines = ["", "a", "Wir verwenden Cookies", "é日本\U0001f600 " * 9, "x" * 500]
+    df = spark.createDataFrame([(x,) for x in lines], "s string").select("s", F.xxhash64("s").alias("h"))
+    assert all(r.h == quality_rules.line_hash(r.s) for r in df.collect())
+
+
+def _prose(rng: random.Random) -> str:
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(60)) + "."
+
+
+def test_lines_that_recur_in_a_source_are_furniture(spark):
+    """Banners in any language, by source; copies do not make lines recur."""
+    rng = random.Random(11)
+    banner = ["Wir verwenden Cookies, um Ihnen das beste Erlebnis zu bieten.", "Startseite", "Impressum"]
+    rows = [(i, "\n".join([banner[1], _prose(rng), banner[0], banner[2]]), "host1") for i in range(40)]
+    rows += [(100 + i, "\n".join([_prose(rng), "Startseite" if i < 5 else f"Teil {i}", _prose(rng)]), "host2") for i in range(40)]
+    same = "\n".join([RECIPE, _prose(rng)])
+    rows += [(200 + i, same, "host1") for i in range(60)]  # exact copies
+    other = _prose(rng).split()
+    for i in range(60):  # edited copies
+        words = [f"edit{i}" if k == i % 50 else w for k, w in enumerate(other)]
+        rows.append((300 + i, "\n".join([POEM, RECIPE, " ".join(words)]), "host2"))
+    rows += [(400, "\n".join(banner), "host1"), (401, POEM, "host1"), (402, None, None), (403, RECIPE, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in quality_rules.assess(df).collect()}
+    for i, text, source in rows[:40]:
+        assert got[i].kept and got[i].cleaned == text.split("\n")[1] and got[i].n_lines_removed == 3
+    for i, text, _ in rows[40:]:
+        assert i == 400 or (got[i].kept, got[i].cleaned) == (text is not None, text or ""), i
+    assert not got[400].kept
+    out = {r.doc_id: r.text for r in quality_rules.cleaned(df).collect()}
+    assert out == {i: r.cleaned for i, r in got.items() if r.kept}
+    # Without a source column the table is one source.
+    one = {r.doc_id: r.cleaned for r in quality_rules.assess(df.drop("source")).collect()}
+    assert one[0] == got[0].cleaned and one[401] == POEM
 
 
 def test_labelled_good_documents_are_kept(spark, real_rows):
