@@ -39,6 +39,12 @@ def docs_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     )
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with a number behind it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(f"{n}{k}" for k in range(len(taken) + 1) if f"{n}{k}" not in taken) for n in names]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder, read back.
 
@@ -122,7 +128,12 @@ def rewritten(df: DataFrame, text: str, change: Callable[[], Callable[..., str |
     """
     small_batches(df.sparkSession)
     left = [c for c in df.columns if c not in using]
-    result = df.select(*[F.col(f"`{c}`") for c in left]).schema
+    # Numbered names on the way: a Python task takes no names with points.
+    number = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    numbered = df.toDF(*number.values())
+    kept = [number[c] for c in left]
+    result = numbered.select(*kept).schema
+    body, given = number[text], [number[c] for c in using]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = change()
@@ -130,16 +141,17 @@ def rewritten(df: DataFrame, text: str, change: Callable[[], Callable[..., str |
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 col = {f.name: part.column(i) for i, f in enumerate(part.schema)}
-                old = col[text].to_pylist()
-                rows = zip(old, *[col[c].to_pylist() for c in using], strict=True)
+                old = col[body].to_pylist()
+                rows = zip(old, *[col[c].to_pylist() for c in given], strict=True)
                 new = [fn(t or "", *rest) for t, *rest in rows]
                 same = [n if n is None or (o or "") != n else o for o, n in zip(old, new, strict=True)]
                 keep = pa.array([n is not None for n in new])
-                cols = [pa.array(same, col[c].type) if c == text else col[c] for c in left]
-                yield pa.RecordBatch.from_arrays(cols, names=left).filter(keep)
+                cols = [pa.array(same, col[c].type) if c == body else col[c] for c in kept]
+                yield pa.RecordBatch.from_arrays(cols, names=kept).filter(keep)
 
-    out = df.mapInArrow(run, result)
+    out = numbered.mapInArrow(run, result).toDF(*left)
+    types = {f.name: f.dataType for f in df.schema.fields}
     if "n_chars" in out.columns and text != "n_chars":
-        size = F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast(result["n_chars"].dataType)
+        size = F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast(types["n_chars"])
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(size))
     return out

@@ -314,8 +314,17 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` whose document stands for its group; all columns
-    stay.  Repeated rows of one id leave one; rows without id all stay."""
-    gone = near_duplicates(df, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct()
-    rest = df.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left_anti")
-    named = F.col(f"`{doc_id}`").isNotNull()
-    return rest.where(named).dropDuplicates([doc_id]).unionByName(rest.where(~named))
+    stay, whatever their names.  Of repeated rows of one id, the one of the
+    smallest text stays (ties: the smallest hash of its columns); rows without
+    id all stay, and so do NULL and empty texts.  Very long texts are compared
+    whole; an empty table stays empty."""
+    gone = near_duplicates(df, text, doc_id).where(~F.col("kept")).select("doc_id").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole.alias("row"))
+    rest = rows.join(gone, "doc_id", "left_anti")
+    # Maps can be neither compared nor hashed.
+    plain = [F.col("row")[f.name] for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = F.min_by("row", F.struct(F.col("row")[text], F.xxhash64(*plain))).alias("row")
+    named = F.col("doc_id").isNotNull()
+    stays = rest.where(named).groupBy("doc_id").agg(first).unionByName(rest.where(~named))
+    return stays.select(*[F.col("row")[c].alias(c) for c in df.columns])

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream, written
+from rulescope.llm.common import Emitter, docs_of, free_names, rewritten, row_stream, written
 
 SYMBOLS_PER_WORD = 0.5
 BARS_PER_WORD = 0.4
@@ -219,7 +219,8 @@ def assess(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: st
 
 def cleaned(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str | None = "source") -> DataFrame:
     """The rows of ``df`` whose documents are kept, with the lines that passed
-    as their text; all columns stay."""
+    as their text; all columns stay.  NULL, empty and very long texts, repeated
+    rows, rows without an id and empty tables as in :func:`assess`."""
 
     def change() -> Callable[..., str | None]:
         def one(t: str, recurring: list[int] | None) -> str | None:
@@ -228,9 +229,7 @@ def cleaned(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
 
         return one
 
-    # Names that no column has: extra columns may be called anything.
-    taken = {c.lower() for c in df.columns}
-    key, lines = (next(f"{n}{k}" for k in range(len(taken) + 1) if f"{n}{k}" not in taken) for n in ("_id", "_lines"))
+    key, lines = free_names(df, "_id", "_lines")
     found = recurring_lines(df, text, doc_id, source).toDF(key, lines)
     rows = df.join(found, F.col(f"`{doc_id}`").cast("long") == F.col(key), "left").drop(key)
     return rewritten(rows, text, change, (lines,))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulescope.llm.anchors import BUFFER, WINDOW, Hasher, stretches
-from rulescope.llm.common import Emitter, docs_of, rewritten, row_stream, written, written_at
+from rulescope.llm.common import Emitter, docs_of, free_names, rewritten, row_stream, written, written_at
 from rulescope.llm.suffix_arrays import common_prefixes, suffix_array
 from rulescope.sources.folders import discard
 
@@ -370,10 +370,13 @@ def stripped(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """The rows of ``df`` without their repeated bytes; all columns stay.
 
     What is left of a character that was cut goes too.  A document of which
-    no word is left is dropped, unless it had none before.
+    no word is left is dropped, unless it had none before.  Repeated rows of
+    one id and text are cut alike; rows without an id, NULL and empty texts
+    stay as they are; very long texts are cut whole; an empty table stays empty.
     """
-    ranges = ranges_of(docs_of(df, text, doc_id)).select(F.col("doc_id").alias("__doc"), F.col("ranges").alias("__ranges"))
-    joined = df.join(ranges, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+    key, cuts = free_names(df, "_id", "_cuts")
+    ranges = ranges_of(docs_of(df, text, doc_id)).select(F.col("doc_id").alias(key), F.col("ranges").alias(cuts))
+    joined = df.join(ranges, F.col(f"`{doc_id}`").cast("long") == F.col(key), "left").drop(key)
 
     def change() -> Callable[..., str | None]:
         def one(t: str, rows: list | None) -> str | None:
@@ -385,4 +388,4 @@ def stripped(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
         return one
 
-    return rewritten(joined, text, change, using=("__ranges",))
+    return rewritten(joined, text, change, using=(cuts,))

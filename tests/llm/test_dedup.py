@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from rulescope.llm import anchors, near_dedup, substring_dedup
+from rulescope.llm import anchors, near_dedup, quality_rules, substring_dedup
 from rulescope.llm.components import connected_components
 from rulescope.llm.shingles import shingle_set
 from rulescope.llm.suffix_arrays import common_prefixes, suffix_array
@@ -209,3 +210,22 @@ def test_stripped_keeps_columns_and_whole_characters(spark):
     assert substring_dedup.stripped(df).columns == df.columns
     assert set(out) == {1, 2, 4} and out[1].text == shared and out[2].text == "own words here ü"
     assert out[2].n_chars == len(out[2].text) and out[4].text is None and out[4].n_chars is None
+
+
+def test_stages_with_columns_of_any_name(spark):
+    """Extra columns may be called like the stages' own ones, hold maps, and
+    have points in their names; the row that stays of a repeated id is fixed."""
+    names = ["__doc", "__ranges", "_id0", "_cuts0", "_lines0", "row", "ranges", "recurring", "kept", "new", "a.b", "spans", "label"]
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text + " end"), (2, text + " end"), (3, None), (4, ""), (5, "other " * 12), (1, text), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("text")))
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(n), F.col("text")))
+    runs = [sorted(near_dedup.one_of_each(df.repartition(k)).drop("m").collect(), key=str) for k in (1, 5)]
+    assert runs[0] == runs[1] and [r.doc_id for r in runs[0] if r.doc_id] == [1, 3, 4, 5]
+    assert [r.text for r in runs[0] if r.doc_id == 1] == [text]
+    for stage in (near_dedup.one_of_each, substring_dedup.stripped, quality_rules.cleaned):
+        out = stage(df)
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        assert all(r["a.b"] == (None if r.text is None else "a.b" + r.text) for r in out.collect() if stage is near_dedup.one_of_each)
+        assert stage(df.limit(0)).count() == 0
