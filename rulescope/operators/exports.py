@@ -8,6 +8,9 @@ however many files are produced.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable
+
 from pyspark.sql import functions as F
 
 from rulescope.operators import views as V
@@ -15,6 +18,18 @@ from rulescope.operators.rules import Evaluation
 from rulescope.sources.files import write_csv
 
 
+def file_name(text: str, among: Iterable[str] = ()) -> str:
+    """A name for files: letters, digits, ``-`` and ``_`` stay, the rest
+    becomes ``_``.  If that gives another text of ``among`` the same name
+    (``A/B`` and ``A B``), a checksum of the text keeps them apart."""
+
+    def safe(t: str) -> str:
+        return "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in t)
+
+    shared = any(t != text and safe(t).lower() == safe(text).lower() for t in among)
+    return f"{safe(text)}-{zlib.crc32(text.encode()):08x}" if shared else safe(text)
+
+
 def export_kpi(
     ev: Evaluation,
     rule: str,
@@ -35,7 +50,7 @@ def export_kpi(
     failing = ev.where(ev.fail(rule))
     copy = V.materialized(failing) if materialize else failing
     base = folder.rstrip("/")
-    safe = "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in rule)
+    safe = file_name(rule, ev.names)
     paths = {
         "actionable": f"{base}/{safe}_actionable",
         "severe": f"{base}/{safe}_SEVERE",

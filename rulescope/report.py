@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from rulescope.operators import views as V
-from rulescope.operators.exports import export_kpi
+from rulescope.operators.exports import export_kpi, file_name
 from rulescope.operators.rules import evaluate
 from rulescope.session import shared_path
 from rulescope.sources import files as FL
@@ -71,19 +71,15 @@ def run_report(
     save("kpi_totals", V.kpi_totals(ev))
     save("matrix", V.matrix(ev, keys))
     for dim in present:
-        save(f"distribution_{_safe(dim)}", V.distribution_by_dim(ev, dim, top_n=top_n))
+        save(f"distribution_{file_name(dim, present)}", V.distribution_by_dim(ev, dim, top_n=top_n))
     for rule in ev.dash_rules:
         exports = export_kpi(ev, rule.name, f"{base}/exports", severe_at=severe_at, materialize=False)
         for name, path in exports.items():
-            written[f"export_{_safe(rule.name)}_{name}"] = path
+            written[f"export_{file_name(rule.name, ev.names)}_{name}"] = path
     folders.discard(spark, copy)
     return written
 
 
-def _safe(text: str) -> str:
-    return "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in text)
-
-
 def _top_n(text: str) -> int | None:
     return None if text.lower() == "all" else int(text)
 

@@ -79,15 +79,19 @@ def running_matrix(
     """Keep the deficiency matrix of everything received so far in ``sink``;
     read it with :func:`latest_matrix`.
 
-    Every micro-batch writes the complete result, one row per group, as one
-    file in a folder of its own, so a reader or a crash in between never sees
-    a result half gone; the folder before the last one is removed.
+    Every micro-batch writes the complete result, one row per group, by its
+    own tasks into a folder of its own, and then a mark that the folder is
+    complete, so a reader or a crash in between never sees a result half gone;
+    the folder before the last one is removed.
     """
     result = V.matrix(ev, keys, names=names)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
-        folders.discard(batch.sparkSession, f"{sink}/epoch={epoch - 2}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        spark.range(1).write.mode("overwrite").parquet(f"{sink}/done={epoch}")
+        for part in ("done", "epoch"):
+            folders.discard(spark, f"{sink}/{part}={epoch - 2}")
 
     writer = (
         result.writeStream.outputMode("complete")
@@ -100,7 +104,7 @@ def running_matrix(
 
 def latest_matrix(spark: SparkSession, sink: str) -> DataFrame:
     """The newest complete result of :func:`running_matrix`."""
-    epochs = [int(e) for (e,) in folders.partition_values(spark, sink, ["epoch"])]
+    epochs = [int(e) for (e,) in folders.partition_values(spark, sink, ["done"])]
     if not epochs:
         raise ValueError(f"no result in {sink} yet")
     return spark.read.parquet(f"{sink}/epoch={max(epochs)}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rulescope.operators import packs as P
 from rulescope.operators import views as V
-from rulescope.operators.rules import evaluate
+from rulescope.operators.rules import Rule, evaluate
 from rulescope.sources import files as FL
 from rulescope.sources import headers as H
 from rulescope.sources.store import TrendStore
@@ -181,3 +181,14 @@ def test_report_command_line(site_csv, tmp_path):
     assert out.returncode == 0, out.stderr[-2000:]
     names = {line.split("\t")[0] for line in out.stdout.splitlines() if "\t" in line}
     assert {"summary", "matrix", "export_High_Temp_actionable", "export_High_Temp_severe"} <= names
+
+
+def test_exports_of_similar_names_do_not_share_a_file(spark, tmp_dir):
+    from rulescope.operators.exports import export_kpi, file_name
+
+    rules = [Rule(name=n, fail_col="v", fail_op="==", fail_val=str(k)) for k, n in enumerate(["A/B", "A B", "a_b", "C D"])]
+    ev = evaluate(spark.createDataFrame([(0,), (1,), (1,), (2,)], "v int"), rules)
+    paths = {n: export_kpi(ev, n, os.path.join(tmp_dir, "similar"))["actionable"] for n in ev.names}
+    assert len({p.lower() for p in paths.values()}) == 4 and paths["C D"].endswith("/C_D_actionable")
+    assert [FL.read_csv(spark, paths[n]).count() for n in ev.names] == [1, 2, 1, 0]
+    assert file_name("Low BB", ["Low BB", "x"]) == "Low_BB"

@@ -3,6 +3,7 @@ uploads (exactly once into the sink), and the running matrix covers all."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulescope.operators import views as V
@@ -44,3 +45,18 @@ def test_running_matrix_matches_batch(spark, tmp_dir):
     got = sorted(tuple(r) for r in latest_matrix(spark, sink).collect())
     want = sorted(tuple(r) for r in V.matrix(evaluate(orders, pack_q()), ["o_orderstatus"]).collect())
     assert got == want
+
+
+def test_running_matrix_shows_whole_results_only(spark, tmp_dir):
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    sink = os.path.join(tmp_dir, "whole")
+    with pytest.raises(ValueError):
+        latest_matrix(spark, sink)
+    ev = evaluate_stream(read_uploads(spark, SF_SMALL, orders.schema, glob="orders.parquet"), pack_q())
+    running_matrix(ev, ["o_custkey"], sink, os.path.join(tmp_dir, "wholec")).awaitTermination()
+    whole = latest_matrix(spark, sink)
+    assert whole.count() == orders.select("o_custkey").distinct().count()
+    assert len(whole.inputFiles()) > 1  # written by its own tasks
+    # A later result that was not finished is not shown.
+    whole.limit(3).write.parquet(f"{sink}/epoch=99")
+    assert latest_matrix(spark, sink).count() == whole.count()
