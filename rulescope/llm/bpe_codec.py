@@ -6,6 +6,13 @@ position that both neighbours take as the start of a pre-token, their
 pre-tokens agree, so the two are stitched there (the pattern looks ahead, but
 never behind).  The pieces are then encoded, each remembered while frequent.
 Decoding concatenates the byte strings of the ids.
+
+The chunks of a long document are rows of their own, dealt to tasks apart.
+Each is encoded whole and reports the pre-tokens that start in the overlaps
+with the number of ids before them; the stitches are found from these short
+lists, and a document's ids are cut together from its chunks'.  If a
+pre-token is longer than an overlap, no stitch may be found there; such a
+document is put together again and pre-tokenised from its start.
 """
 
 from __future__ import annotations
@@ -14,10 +21,12 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rulescope.llm.common import Emitter, docs_of, row_stream
 
@@ -63,35 +72,43 @@ def _encoder(path: str, pattern: str):
     return regex.compile(pattern).findall, _Pieces(enc.encode_ordinary), table
 
 
-def pre_tokens(text: str, findall, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """The matches of the whole text, found chunk by chunk and stitched."""
-    if len(text) <= chunk + overlap:
-        return findall(text)
-    out: list[str] = []
-    # ``kept``: pre-tokens of the chunk before from position ``at`` on, which
-    # is a true boundary; they are right up to ``end - LOOK``.
-    at, end = 0, chunk + overlap
-    kept = findall(text[:end])
-    lo = chunk
-    while end < len(text):
-        nxt_end = min(len(text), lo + chunk + overlap)
-        starts = list(accumulate(map(len, kept), initial=at))
-        sure = {s: i for i, s in enumerate(starts) if lo <= s <= end - LOOK}
-        found = findall(text[lo:nxt_end])
-        other = accumulate(map(len, found), initial=lo)
-        meet = next(((j, s) for j, s in enumerate(other) if s in sure), None)
-        if meet is None:  # one long pre-token over the seam: go on from its start
-            i = max(i for i, s in enumerate(starts) if s <= max(at, end - LOOK))
-            s = starts[i]
-            out.extend(kept[:i])
-            kept, at = findall(text[s:nxt_end]), s
-        else:
-            j, s = meet
-            out.extend(kept[: sure[s]])
-            kept, at = found[j:], s
-        lo, end = lo + chunk, nxt_end
-    out.extend(kept)
-    return out
+class Chunk(NamedTuple):
+    """What a task knows of one chunk: the ids of all its pre-tokens, and of
+    those that start in the overlap with the chunk before (``head``) or behind
+    (``tail``) the position in the text and the ids before it."""
+
+    ids: bytes
+    head: list[tuple[int, int]]
+    tail: list[tuple[int, int]]
+
+
+def encoded_chunk(text: str, lo: int, findall, pieces, chunk: int, overlap: int) -> Chunk:
+    """``text`` is the part of a document from ``lo`` on, ``chunk + overlap``
+    code points or up to the document's end."""
+    found = findall(text)
+    ids = [pieces[p] for p in found]
+    starts = accumulate(map(len, found), initial=lo)
+    before = accumulate((len(i) // 4 for i in ids), initial=0)
+    marks = list(zip(starts, before, strict=True))
+    # Near the end of the part, a match might have gone on.
+    head = [m for m in marks if m[0] <= lo + overlap - LOOK]
+    tail = [m for m in marks if lo + chunk <= m[0] <= lo + chunk + overlap - LOOK]
+    return Chunk(b"".join(ids), head, tail)
+
+
+def stitched(chunks: list[Chunk]) -> bytes | None:
+    """The ids of a document from its chunks in order; None if two neighbours
+    share no start of a pre-token."""
+    out, start = [], 0
+    for this, after in zip(chunks, chunks[1:], strict=False):
+        ahead = dict(after.head)
+        seam = next(((n, ahead[s]) for s, n in this.tail if s in ahead), None)
+        if seam is None:
+            return None
+        out.append(this.ids[4 * start : 4 * seam[0]])
+        start = seam[1]
+    out.append(chunks[-1].ids[4 * start :])
+    return b"".join(out)
 
 
 def encode(
@@ -104,21 +121,68 @@ def encode(
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers; NULL or
-    empty text: no ids.  Rows are kept one to one.  The pattern must match
-    every character and look behind nowhere."""
+    empty text: no ids.  Rows are kept one to one, repeated ones and those
+    without an id too; very long texts are encoded in chunks by several tasks;
+    an empty table gives no rows.  The pattern must match every character and
+    look behind nowhere."""
+    if not LOOK < overlap < chunk:
+        raise ValueError("an overlap is longer than a match looks ahead, and shorter than a chunk")
+    docs = docs_of(df, text, doc_id)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         findall, pieces, _ = _encoder(ranks_path, pattern)
         out = Emitter(schema)
         for d, t in row_stream(batches, "doc_id", "text"):
-            raw = b"".join(map(pieces.__getitem__, pre_tokens(t, findall, chunk, overlap)))
+            raw = b"".join(map(pieces.__getitem__, findall(t)))
+            out.add(len(raw), d, raw)
+            if out.full():
+                yield out.batch()
+        yield out.batch()
+
+    is_long = F.length("text") > chunk + overlap
+    short = docs.where(~is_long).mapInArrow(run, "doc_id long, ids binary")
+
+    # A long document is told apart by its row: ids may repeat.
+    long = docs.withColumn("row", F.monotonically_increasing_id()).where(is_long)
+    last = F.ceil((F.length("text") - overlap) / chunk).cast("int") - 1
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * chunk + 1, chunk + overlap))
+    parts = long.select("doc_id", "row", F.posexplode(cut).alias("pos", "text")).repartition("row", "pos")
+    marks = pa.list_(pa.int64())
+    fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("text", pa.string()), ("ids", pa.binary())]
+    pieces_schema = pa.schema([*fields, ("head", marks), ("tail", marks)])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        findall, pieces, _ = _encoder(ranks_path, pattern)
+        out = Emitter(pieces_schema)
+        for d, row, pos, t in row_stream(batches, "doc_id", "row", "pos", "text"):
+            c = encoded_chunk(t, pos * chunk, findall, pieces, chunk, overlap)
+            flat = [[x for m in c_marks for x in m] for c_marks in (c.head, c.tail)]
+            out.add(len(c.ids) + len(t), d, row, pos, t, c.ids, *flat)
+            if out.full():
+                yield out.batch()
+        yield out.batch()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        findall, pieces, _ = _encoder(ranks_path, pattern)
+        out = Emitter(schema)
+        for d, rows in row_stream(batches, "doc_id", "chunks"):
+            pairs = [[list(zip(r[k][::2], r[k][1::2], strict=True)) for k in ("head", "tail")] for r in rows]
+            raw = stitched([Chunk(r["ids"], *p) for r, p in zip(rows, pairs, strict=True)])
+            if raw is None:
+                whole = "".join(r["text"][:chunk] for r in rows[:-1]) + rows[-1]["text"]
+                raw = b"".join(map(pieces.__getitem__, findall(whole)))
             out.add(len(raw), d, raw)
             if out.full():
                 yield out.batch()
         yield out.batch()
 
-    return docs_of(df, text, doc_id).mapInArrow(run, "doc_id long, ids binary")
+    encoded = parts.mapInArrow(
+        chunks, "doc_id long, row long, pos int, text string, ids binary, head array<long>, tail array<long>"
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "text", "ids", "head", "tail"))).alias("chunks")
+    together = encoded.groupBy("row", "doc_id").agg(in_order).select("doc_id", "chunks")
+    return short.unionByName(together.mapInArrow(joined, "doc_id long, ids binary"))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -78,17 +78,42 @@ def test_counts_of_tables(odd_docs, odd_rows, no_docs, chunk):
 # --- op5 ---
 
 
-def test_stitched_pre_tokens_equal_those_of_the_whole_text():
-    import regex
+def test_stitched_chunks_equal_the_whole_text():
+    findall, pieces, _ = bpe_codec._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+    def by_chunks(text: str, chunk: int, overlap: int) -> bytes | None:
+        n = max(1, -(-(len(text) - overlap) // chunk))
+        parts = [(text[k * chunk : (k + 1) * chunk + overlap], k * chunk) for k in range(n)]
+        assert "".join(t[:chunk] for t, _ in parts[:-1]) + parts[-1][0] == text
+        return bpe_codec.stitched([bpe_codec.encoded_chunk(t, lo, findall, pieces, chunk, overlap) for t, lo in parts])
 
-    findall = regex.compile(P.PATTERN).findall
     rng = random.Random(4)
+    lost = 0
     for _ in range(400):
         text = "".join(rng.choice(ODD_PARTS) for _ in range(rng.randint(0, 120)))
-        for chunk, overlap in ((8, 8), (16, 6), (40, 20)):
-            assert bpe_codec.pre_tokens(text, findall, chunk, overlap) == findall(text)
-    long = "a" * 300 + " " * 300 + "b'" * 100
-    assert bpe_codec.pre_tokens(long, findall, 20, 10) == findall(long)
+        want = b"".join(map(pieces.__getitem__, findall(text)))
+        for chunk, overlap in ((9, 8), (16, 6), (40, 20), (200, 60)):
+            got = by_chunks(text, chunk, overlap)
+            assert got in (None, want)
+            lost += got is None and overlap == 60
+    assert lost == 0
+    # A pre-token that is longer than the overlap leaves no place to stitch.
+    assert by_chunks("a" * 300, 20, 10) is None
+    assert by_chunks("word " * 300 + "a" * 50, 64, 60) == b"".join(map(pieces.__getitem__, findall("word " * 300 + "a" * 50)))
+
+
+def test_chunks_of_a_long_document_are_dealt_to_tasks(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    findall, pieces, _ = bpe_codec._encoder(path, P.PATTERN)
+    rng = random.Random(5)
+    words = " ".join(rng.choice(["word", "naïve", "日本", "don't", "12,3", "\n\n"]) for _ in range(20_000))
+    rows = [(1, words), (1, words), (None, words[:9_000]), (2, "y" * 7_000), (3, "short"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    coded = bpe_codec.encode(df, path, P.PATTERN, chunk=1000, overlap=64)
+    want = [(d, b"".join(map(pieces.__getitem__, findall(t or "")))) for d, t in rows]
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in coded.collect()), key=str) == sorted(want, key=str)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row" in plan and "pos" in plan
 
 
 def test_codec_roundtrip(odd_docs, odd_rows, no_docs):
