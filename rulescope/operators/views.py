@@ -319,6 +319,31 @@ def restrict_to_top(
     return detail.join(keys, on=qcol(dim).eqNullSafe(F.col("__k")), how="left_semi")
 
 
+def failure_long_top(ev: Evaluation, ids: str | Sequence[str], dim: str, top_n: int) -> DataFrame:
+    """The long failure table of the ``top_n`` entities with the most
+    failures, with the rules evaluated once.
+
+    The failing rows, each with its ids, its entity and the names of its
+    failing rules, are written to the shared folder; the ranking and the detail
+    both read that copy.  :func:`restrict_to_top` needs no copy and scans and
+    evaluates the source twice: better for few rules over few columns.
+    """
+    from rulescope.session import shared_path
+
+    keys = _keys(ids)
+    cols = [qcol(c) for c in dict.fromkeys([*keys, dim])]
+    spark = ev.df.sparkSession
+    target = shared_path(spark, "failing")
+    # An outer explode would test the array's size before it, and so
+    # evaluate the rules a second time; here the array is written as it is.
+    ev.df.select(*cols, ev.failing().alias("__f")).write.parquet(target)
+    failing = spark.read.parquet(target)
+    errors = failing.groupBy(qcol(dim)).agg(F.sum(F.size("__f")).alias("total_errors")).where("total_errors > 0")
+    top = top_groups(errors, dim, "total_errors", top_n).select(qcol(dim).alias("__k"))
+    detail = failing.join(top, on=qcol(dim).eqNullSafe(F.col("__k")), how="left_semi")
+    return detail.select(*[qcol(k) for k in keys], F.explode("__f").alias("failure_type"))
+
+
 # --------------------------------------------------------------------------
 # Rankings and row-level outputs
 # --------------------------------------------------------------------------

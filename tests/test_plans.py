@@ -154,6 +154,13 @@ def test_semi_join_needs_no_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_ranking_and_detail_share_one_evaluation(built):
+    # both sides scan the written copy; no rule is left in the plan
+    p = initial_plan(built["failure_long_top"])
+    assert p.count("FileScan") == 2 and p.count("failing-") == 2 and "5-low" not in p
+    assert "LeftSemi" in p and "TakeOrderedAndProject(limit=10" in p
+
+
 def test_distribution_is_one_scan_without_join(built):
     for name in ("distribution_topn", "distribution_by_dim"):
         p = initial_plan(built[name])
