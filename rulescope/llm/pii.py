@@ -6,9 +6,11 @@
 3. Gradient-boosted trees score each proposal that fails its base rule by its
    format and its context.  They are fitted on ``PLANTS`` snippets with a known
    answer (``planted``): personal data in forms that the base rules miss, and
-   look-alikes.  Context-free proposals of at most ``SAMPLE_DOCS`` documents
-   (those of smallest hash among documents that could hold any) are further
-   negatives; all their other proposals are unknown and left out.
+   look-alikes.  The context-free proposals of all documents are further
+   negatives, counted by their features, so that the fit reads a row for each
+   distinct combination, weighted with its count (all counts are scaled down
+   alike if they outweigh the snippets); all other proposals of the documents
+   are unknown and left out.
 4. A threshold is calibrated for each kind on the fifth that is held out: the
    smallest score at which ``PRECISION`` of the proposals are positive.
    Proposals above it are taken if they overlap no base span and no proposal
@@ -20,6 +22,7 @@ pass without a shuffle.  Offsets count code points.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections.abc import Callable
@@ -30,11 +33,9 @@ from pyspark.sql import functions as F
 
 from rulescope.llm.common import docs_of, written
 
-#: Documents whose context-free proposals are negatives, at most.
-SAMPLE_DOCS = 4_000
 #: Snippets with a known answer.
 PLANTS = 6_000
-TREES, DEPTH, SEED = 12, 3, 7
+TREES, DEPTH, BINS, SEED = 12, 3, 32, 7
 PRECISION = 0.995
 
 KINDS = ("email", "ip", "card", "phone")
@@ -338,14 +339,14 @@ def planted(n: int = PLANTS) -> list[tuple[int, int, int, int, str]]:
     return out
 
 
-def sampled(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """Proposals of known answer that fail their base rule: kind ``k``,
-    features, ``label``, ``held`` (held out)."""
-    some = docs.where("doc_id IS NOT NULL").where(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"))
-    # At most ``sample_docs`` ids: a bounded table.
-    ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample_docs)
-    rows = with_proposals(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
-    one = rows.select("doc_id", "text", F.explode("proposals").alias("p")).where("NOT p.positive AND p.f.f_context = 0")
+def answers(docs: DataFrame) -> DataFrame:
+    """Proposals of known answer that fail their base rule, counted by their
+    values: kind ``k``, features, ``label``, ``held`` (held out), ``seen`` (in
+    ``docs``), ``weight`` (proposals).  All documents count; those without id
+    are held out by their text."""
+    rows = with_proposals(docs)
+    key = F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id")
+    one = rows.select(key, "text", F.explode("proposals").alias("p")).where("NOT p.positive AND p.f.f_context = 0")
     plain = F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).rlike("^[0-9 ]+$")
     bare = (
         F.when(F.col("p.k") == KINDS.index("email"), F.col("p.f.f_domain") == 0)
@@ -353,7 +354,7 @@ def sampled(docs: DataFrame, sample_docs: int) -> DataFrame:
         .otherwise(plain & (F.col("p.f.f_national") == 0) & ((F.col("p.f.f_issuer") == 0) | (F.col("p.f.f_luhn") == 0)))
     )
     held = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held")
-    seen = one.where(bare).select(held, F.lit(0.0).alias("label"), "p.k", "p.f.*")
+    seen = one.where(bare).select(held, F.lit(True).alias("seen"), F.lit(0.0).alias("label"), "p.k", "p.f.*")
 
     names = ["doc_id", "kind", "from", "to", "text"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
@@ -361,7 +362,8 @@ def sampled(docs: DataFrame, sample_docs: int) -> DataFrame:
     known = docs.sparkSession.createDataFrame(pa.table(cols, names=names)).repartition(4)
     known = with_proposals(known).select("doc_id", "kind", "from", "to", F.explode("proposals").alias("p"))
     label = F.expr("cast(p.k = kind AND p.start = `from` AND p.end = `to` AS double)").alias("label")
-    return known.where("NOT p.positive").select(held, label, "p.k", "p.f.*").unionByName(seen)
+    every = known.where("NOT p.positive").select(held, F.lit(False).alias("seen"), label, "p.k", "p.f.*").unionByName(seen)
+    return every.groupBy(*every.columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def tree_sql(debug: str, prefix: str) -> str:
@@ -389,21 +391,31 @@ def tree_sql(debug: str, prefix: str) -> str:
     return " + ".join(f"{w!r}D * {read(rows)}" for w, rows in trees) or "0D"
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[str, list[float]]:
+def fit(docs: DataFrame) -> tuple[str, list[float]]:
     """(margin SQL over ``x.f.*``, threshold of each kind); the threshold of a
     kind for which none is precise enough is infinite."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = written(sampled(docs, sample_docs), "pii-sample")
+    rows = written(answers(docs), "pii-answers")
     train = rows.where(~F.col("held"))
+    total, n = train.agg(F.sum(F.when(F.col("seen"), F.col("weight"))), F.count(F.lit(1))).first()
+    fair = F.when(F.col("seen"), F.col("weight") * min(1.0, PLANTS / (total or 1.0))).otherwise(F.col("weight"))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    data = assembler.transform(train).select("features", "label").coalesce(2)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(data)
+    # Few rows, always in the same order.
+    by = ["seen", "label", *FEATURES]
+    data = assembler.transform(train.repartition(2, *by).sortWithinPartitions(*by))
+    data = data.select("features", "label", fair.alias("fair"))
+    # Of more rows than this, and than the square of its bins, Spark would
+    # sample some to place the splits.
+    bins = BINS if n <= 10_000 else max(BINS, math.isqrt(n) + 1)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=bins, weightCol="fair")
+    model = trees.fit(data)
     margin = tree_sql(model.toDebugString, "")
-    scored = rows.where("held").select("k", F.expr(margin).alias("m"), "label")
-    # Distinct scores of an ensemble of small trees; the sample is bounded.
-    steps = scored.groupBy("k", "m").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).collect()
+    scored = rows.where("held").select("k", F.expr(margin).alias("m"), "label", "weight")
+    # Every proposal counts once; the distinct scores of small trees are few.
+    yes = F.sum(F.col("label") * F.col("weight")).alias("yes")
+    steps = scored.groupBy("k", "m").agg(yes, F.sum("weight").alias("n")).collect()
     least = [float("inf")] * len(KINDS)
     for k in range(len(KINDS)):
         yes = n = 0.0
@@ -417,16 +429,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[str, list[floa
 SPANS_DDL = "array<struct<k:int,start:int,end:int>>"
 
 
-def find(
-    df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS
-) -> DataFrame:
+def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text, base, spans) for every row of ``df``.
 
     ``base`` are the base spans, ``spans`` all spans taken (``k`` indexes
     ``KINDS``), both by kind, then start.  A NULL or empty text has none.
     """
     docs = docs_of(df, text, doc_id)
-    return _found(docs, fit(docs, sample_docs)).select("doc_id", "text", "base", "spans")
+    return _found(docs, fit(docs)).select("doc_id", "text", "base", "spans")
 
 
 _SPAN = "struct<start:int,end:int,k:int,m:double>"
@@ -580,7 +590,7 @@ def counts(found: DataFrame) -> DataFrame:
 
 
 
-def masked(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def masked(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` with personal data replaced by its kind in brackets;
     all columns stay, and a column ``n_chars`` follows the text."""
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -589,7 +599,7 @@ def masked(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_doc
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     )
-    rows = _found(docs, fit(docs_of(df, text, doc_id), sample_docs))
+    rows = _found(docs, fit(docs_of(df, text, doc_id)))
     new = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row")[text])
     rows = rows.select("row", new.alias("new"))
     cols = []

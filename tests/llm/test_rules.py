@@ -163,6 +163,20 @@ def test_personal_data_beyond_the_base_rules(spark, real_docs):
     assert [r.text for r in pii.masked(alone).collect()] == ["please ring [PHONE] today"]
 
 
+def test_every_document_counts_in_the_fit(spark):
+    """No sample: 6,000 documents give 6,000 negatives, and so do rows without id."""
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 100 > 0, F.col("id")).alias("doc_id"),
+        F.concat(F.lit("serial 0300233469491448 of "), F.col("id").cast("string")).alias("text"),
+    )
+    seen = pii.answers(rows).where("seen")
+    by_part = {r.held: r.n for r in seen.groupBy("held").agg(F.sum("weight").alias("n")).collect()}
+    assert sum(by_part.values()) == 6000 and 900 < by_part[True] < 1500
+    assert seen.count() == 2  # counted, not listed: the fit's rows do not grow with the table
+    margin, least = pii.fit(rows)
+    assert "CASE" in margin and all(math.isfinite(x) for x in least)
+
+
 def test_trees_become_sql(spark):
     debug = """GBTClassificationModel: uid = x, numTrees=2
   Tree 0 (weight 1.0):
