@@ -16,14 +16,15 @@ Line rules (a line without words stays and is not counted):
 * ``recurring``: the line is page furniture (menus, banners, notices) by the
   company it keeps: at most ``FURNITURE_CHARS`` long, and found with
   ``RECUR_DOCS`` or more different bodies in its source that make up
-  ``RECUR_SHARE`` of the source's bodies or more.  No list of phrases is needed,
-  so it holds in every language; lists, verse and titles are ordinary lines.
-
-A document's *body* is the least hash of three words in a row, which edited
-copies mostly share and different documents do not.  A line that comes with
-fewer than ``RECUR_SPREAD`` bodies per document recurs because its documents
-are copies, and stays.  Lines removed as furniture do not count as lost text,
-but ``MIN_WORDS`` must be left beside them.
+  ``RECUR_SHARE`` of the source's different texts or more.  No list of phrases
+  is needed, so it holds in every language; lists, verse and titles are ordinary
+  lines.
+
+A *body* is a group of near duplicates (:mod:`near_dedup`, on the full texts)
+among the documents with a line that enough documents have.  A line that comes
+with fewer than ``RECUR_SPREAD`` bodies per document recurs because its
+documents are copies, and stays.  Lines removed as furniture do not count as
+lost text, but ``MIN_WORDS`` must be left beside them.
 """
 
 from __future__ import annotations
@@ -35,16 +36,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulescope.llm.common import Emitter, docs_of, free_names, rewritten, row_stream, written
+from rulescope.llm.near_dedup import near_duplicates
 
 SYMBOLS_PER_WORD = 0.5
 BARS_PER_WORD = 0.4
 REPEATED_WORD, REPEATED_SHARE = 20, 0.4
 #: Code points of a line that can be furniture, at most; bodies of its source
-#: that it comes with, at least, and their share of the source's bodies.
+#: that it comes with, at least, and their share of the source's texts.
 FURNITURE_CHARS, RECUR_DOCS, RECUR_SHARE = 160, 10, 0.05
 #: Bodies per document with the line, at least.
 RECUR_SPREAD = 0.5
@@ -156,8 +158,10 @@ def recurring_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     that has some.
 
     Lines are counted by source (a table without such a column is one source).
-    All steps combine map-side; a line that a third of all documents have is
-    counted by (source, line, body), so no task holds its documents.
+    Only documents with a line that enough documents have are compared with
+    each other.  All steps combine map-side; a line that a third of all
+    documents have is counted by (source, line, body), so no task holds its
+    documents.
     """
     of = F.col(f"`{source}`").cast("string") if source in df.columns else F.lit(None)
     docs = df.select(
@@ -165,26 +169,27 @@ def recurring_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         F.coalesce(of, F.lit("")).alias("source"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     ).where(F.col("doc_id").isNotNull())
-
-    def least(words: Column) -> Column:
-        return F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
-
-    # The words of an array of one array: they are split once, not for every word.
-    body = F.transform(F.array(F.split("text", r"[\x20\x09-\x0D]+")), least)[0]
     lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= FURNITURE_CHARS) & x.rlike(r"[^\x20\x09-\x0D]"))
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
-    docs = docs.select("doc_id", "source", body.alias("body"), hashes.alias("lines"))
-    # Written once: it is read to count the bodies and the lines, and to find these.
-    docs = written(docs, "quality-lines")
-    bodies = docs.select("source", "body").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("bodies"))
-    short = docs.select("doc_id", "source", "body", F.explode("lines").alias("line"))
-    seen = short.groupBy("source", "line", "body").agg(F.count(F.lit(1)).alias("docs"))
-    seen = seen.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs"))
-    seen = seen.where((F.col("n") >= RECUR_DOCS) & (F.col("n") >= RECUR_SPREAD * F.col("docs")))
-    often = seen.join(bodies, "source").where(F.col("n") >= RECUR_SHARE * F.col("bodies"))
+    # Written once: it is read to count the texts and the lines, and to find these.
+    listed = written(docs.select("doc_id", "source", F.xxhash64("text").alias("whole"), hashes.alias("lines")), "quality-lines")
+    texts = listed.select("source", "whole").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
+    short = listed.select("doc_id", "source", F.explode("lines").alias("line"))
+    # No line has more bodies than documents, so this loses none that recurs.
+    often = short.groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= RECUR_DOCS)
+    often = often.join(texts, "source").where(F.col("docs") >= RECUR_SHARE * F.col("texts"))
     # At most 1 / RECUR_SHARE times the lines of an average document a source.
-    found = short.join(often.select("source", "line"), ["source", "line"])
-    return found.groupBy("doc_id").agg(F.collect_set("line").alias("recurring"))
+    held = written(short.join(often, ["source", "line"]), "quality-held")
+    if held.isEmpty():
+        return held.select("doc_id", F.array("line").alias("recurring"))
+    compared = written(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "quality-compared")
+    bodies = near_duplicates(compared).select("doc_id", F.col("component_id").alias("body")).distinct()
+    line = ["source", "line", "docs", "texts"]
+    seen = held.join(bodies, "doc_id").select(*line, "body").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("n"))
+    least = F.greatest(F.lit(RECUR_DOCS), RECUR_SPREAD * F.col("docs"), RECUR_SHARE * F.col("texts"))
+    found = held.join(seen.where(F.col("n") >= least).select("source", "line"), ["source", "line"])
+    # Written, so that it is known to be small where the texts are joined to it.
+    return written(found.groupBy("doc_id").agg(F.collect_set("line").alias("recurring")), "quality-recurring")
 
 
 def assess(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str | None = "source") -> DataFrame:
