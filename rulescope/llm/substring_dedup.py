@@ -9,7 +9,8 @@ document of smaller id, or earlier in the same one.
    windows, those of the others repeat.
 2. A class that holds different stretches may still share windows.  The first
    of each is fetched from its document, and classes are gathered into
-   shards.  Every shard's suffix array is built by Larsson-Sadakane
+   shards.  A shard goes through batches of whole classes, as equal windows are
+   of one class.  Every batch's suffix array is built by Larsson-Sadakane
    refinement; Kasai's common prefixes of 100 bytes or more make its runs of
    equal windows, of which all but the first repeat.
 3. A class too large for one shard is spread over several.  Each of these
@@ -27,18 +28,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulescope.llm.anchors import BUFFER, WINDOW, Hasher, stretches
-from rulescope.llm.common import Emitter, docs_of, free_names, rewritten, row_stream, written, written_at
-from rulescope.llm.suffix_arrays import common_prefixes, suffix_array
+from rulescope.llm.common import EMIT_BYTES, Emitter, docs_of, free_names, rewritten, row_stream, written, written_at
+from rulescope.llm.suffix_arrays import common_prefixes, index_type, suffix_array
 from rulescope.sources.folders import discard
 
 #: Stretches that a task merges before it sends them on.
 MERGE_ROWS = 200_000
 #: Bytes of a shard; a class with more is spread over several shards.
 SHARD_BYTES = 2 << 20
+#: Bytes of a shard that are sorted at a time, or one larger class.
+BATCH_BYTES = 1 << 18
 
 COVER, FIRST, REP = 1, 2, 3
 _DDL = "kind int, cls long, key long, doc_id long, at int, n int"
@@ -189,28 +193,72 @@ _FOUND_SCHEMA = pa.schema(
 def repeats_in(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """(stretch, offset, is a repeat, is the first of its kind) of every
     window of the stretches, equal ones together."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     raw = np.frombuffer(b"".join(texts), np.uint8)
+    kind = index_type(len(raw))
+    sizes = np.array([len(t) for t in texts], dtype=kind)
+    starts = np.cumsum(sizes, dtype=kind) - sizes
     order, rank = suffix_array(raw)
     shared = common_prefixes(raw, order, rank, starts, WINDOW)
-    run = np.cumsum(shared < WINDOW)
-    own = np.searchsorted(starts, order, side="right") - 1
+    run = np.cumsum(shared < WINDOW, dtype=kind)
+    del rank, shared
+    own = np.repeat(np.arange(len(sizes), dtype=kind), sizes)[order]
     offset = order - starts[own]
+    del order
     window = offset + WINDOW <= sizes[own]
     own, offset, run = own[window], offset[window], run[window]
-    # The first of each run is the one that starts earliest.
-    by = np.lexsort((at[own] + offset, doc[own], run))
-    own, offset, run = own[by], offset[by], run[by]
     head = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
-    start = np.flatnonzero(head)
-    first = np.repeat(start, np.diff(np.append(start, len(run))))
+    # Runs of two or more: the first is the window that starts earliest.
+    several = np.flatnonzero(~head | ~np.append(head[1:], True)) if len(run) else np.zeros(0, np.int64)
+    o, f = own[several], offset[several]
+    place, owner = at[o] + f, doc[o]
+    by = np.lexsort((place, owner, run[several]))
+    place, owner = place[by], owner[by]
+    own[several], offset[several] = o[by], f[by]
+    start = np.flatnonzero(head[several])
+    first = np.repeat(start, np.diff(np.append(start, len(several))))
     # A repeated row of one document brings the first's own windows again.
-    place, owner = at[own] + offset, doc[own]
-    again = (owner != owner[first]) | (place != place[first])
+    again = np.zeros(len(run), dtype=bool)
+    again[several] = (owner != owner[first]) | (place != place[first])
     return own, offset, again, head
 
 
+def class_batches(cls: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, sorted by class: whole classes of ``BATCH_BYTES``
+    together at most, or one larger class."""
+    ends = np.append(np.flatnonzero(cls[1:] != cls[:-1]) + 1, len(cls))
+    upto = np.cumsum(sizes)
+    lo = done = 0
+    while lo < len(cls):
+        fits = int(np.searchsorted(upto[ends - 1], done + BATCH_BYTES, side="right")) - 1
+        hi = int(ends[max(fits, int(np.searchsorted(ends, lo, side="right")))])
+        yield lo, hi
+        lo, done = hi, int(upto[hi - 1])
+
+
+def shard_repeats(shard: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_FOUND`` of one shard, a batch of its classes at a time."""
+    spread = shard["shard"][0].as_py() < 0
+    shard = shard.take(pa.array(np.argsort(shard["cls"].to_numpy(), kind="stable")))
+    sizes = pc.binary_length(shard["bytes"]).to_numpy().astype(np.int64)
+    for lo, hi in class_batches(shard["cls"].to_numpy(), sizes):
+        part = shard.slice(lo, hi - lo)
+        texts, doc = part["bytes"].to_pylist(), part["doc_id"].to_numpy()
+        at, cls = part["at"].to_numpy().astype(np.int64), part["cls"].to_numpy()
+        own, offset, repeat, first = repeats_in(texts, doc, at)
+        o, f = own[repeat], offset[repeat]
+        d, a, n = _joined(doc[o], at[o] + f, np.ones(len(o), np.int64))
+        cols = [np.full(len(d), COVER, np.int32), d, d, a.astype(np.int32), n.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(d), pa.binary())], schema=_FOUND_SCHEMA)
+        if not spread:
+            continue
+        firsts, step = np.flatnonzero(first), max(1, EMIT_BYTES // WINDOW)
+        for k in range(0, len(firsts), step):
+            o, f = own[firsts[k : k + step]], offset[firsts[k : k + step]]
+            cols = [np.full(len(o), REP, np.int32), cls[o], doc[o], (at[o] + f).astype(np.int32), np.ones(len(o), np.int32)]
+            windows = [texts[i][j : j + WINDOW] for i, j in zip(o.tolist(), f.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(windows, pa.binary())], schema=_FOUND_SCHEMA)
+
+
 def _sharded(pieces: DataFrame, shards: int) -> DataFrame:
     """Covered windows of every shard; of spread classes also the first of
     each distinct window, to be merged with the other shards'."""
@@ -224,21 +272,10 @@ def _sharded(pieces: DataFrame, shards: int) -> DataFrame:
         ),
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        texts, doc = table["bytes"].to_pylist(), table["doc_id"].to_numpy()
-        at, cls = table["at"].to_numpy().astype(np.int64), table["cls"].to_numpy()
-        own, offset, repeat, first = repeats_in(texts, doc, at)
-        o, f = own[repeat], offset[repeat]
-        d, a, n = _joined(doc[o], at[o] + f, np.ones(len(o), np.int64))
-        none = pa.nulls(len(d), pa.binary())
-        kinds = [pa.array(np.full(len(d), COVER, np.int32)), pa.array(d), pa.array(d)]
-        out = [pa.Table.from_arrays([*kinds, pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), none], schema=_FOUND_SCHEMA)]
-        if table["shard"][0].as_py() < 0:
-            o, f = own[first], offset[first]
-            cols = [np.full(len(o), REP, np.int32), cls[o], doc[o], (at[o] + f).astype(np.int32), np.ones(len(o), np.int32)]
-            windows = [texts[i][k : k + WINDOW] for i, k in zip(o.tolist(), f.tolist(), strict=True)]
-            out.append(pa.Table.from_arrays([*map(pa.array, cols), pa.array(windows, pa.binary())], schema=_FOUND_SCHEMA))
-        return pa.concat_tables(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from shard_repeats(pa.Table.from_batches(list(batches)))
+        # What this group's arrays held is not kept for the worker's next one.
+        pa.default_memory_pool().release_unused()
 
     cols = ["shard", "cls", "doc_id", "at", "bytes"]
     return rows.select(*cols).groupBy("shard").applyInArrow(run, _FOUND)
@@ -303,7 +340,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     discard(docs.sparkSession, pieces_at)
     more = shard.where(F.col("kind") == COVER).select("doc_id", "at", "n")
     reps = shard.where(F.col("kind") == REP)
-    crossed = _cross_shard(reps, shards)
+    # A byte of the shards gives a window, so a slot has a shard's bytes too.
+    crossed = _cross_shard(reps, shards * WINDOW)
     return covered.unionByName(more).unionByName(crossed)
 
 

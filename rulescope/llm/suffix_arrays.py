@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Places that are sorted at a time, or one larger group of equal ones.
+PART = 1 << 18
+
+
+def index_type(n: int) -> type:
+    """The integers that hold three times ``n``."""
+    return np.int32 if n < 1 << 29 else np.int64
+
 
 def words_at(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from every position as a big-endian integer (zero padded)."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     out = np.zeros(len(text), dtype=np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
+        out <<= np.uint64(8)
+        out |= padded[k : k + len(text)]
     return out
 
 
@@ -19,40 +30,56 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Starts from the order of 8-byte prefixes; each round sorts only the
     groups that are still equal, by the rank ``h`` further on, and doubles h.
+    A round goes part by part: the finer ranks of earlier parts are in the same
+    order, so later ones may use them.
     """
     n = len(text)
+    kind = index_type(n)
     first = words_at(text)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first, kind="stable").astype(kind)
     word = first[order]
+    del first
     new = np.concatenate([[True], word[1:] != word[:-1]]) if n else np.zeros(0, bool)
     # Zero padding ties the last 8 suffixes with texts that hold zeros: they
     # are told apart below, where a suffix that has ended ranks lowest.
-    heads = np.flatnonzero(new)
-    group = np.repeat(heads, np.diff(np.append(heads, n)))
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = group
+    del word
+    heads = np.flatnonzero(new).astype(kind)
+    rank = np.empty(n, dtype=kind)
+    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    del new, heads
     if n and (text[max(0, n - 8) :] == 0).any() or n < 8:
-        order, rank = _by_single_bytes(text)
+        order, rank = (x.astype(kind) for x in _by_single_bytes(text))
         h = 1
     else:
         h = 8
-    todo = _unsorted(rank[order])
+    todo = _unsorted(rank[order]).astype(kind)
     while len(todo):
-        at = order[todo]
-        behind = at + h
-        nxt = np.where(behind < n, rank[np.minimum(behind, n - 1)], -1) + 1
-        key = rank[at] * (n + 1) + nxt
-        by = np.argsort(key, kind="stable")
-        at, key = at[by], key[by]
-        order[todo] = at
-        head = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.flatnonzero(head)
-        rank[at] = np.repeat(todo[start], np.diff(np.append(start, len(at))))
-        todo = todo[_unsorted(rank[at])]
+        for part in _parts(todo, rank[order[todo]]):
+            at = order[part]
+            behind = at + h
+            nxt = np.where(behind < n, rank[np.minimum(behind, n - 1)], -1) + 1
+            key = rank[at].astype(np.int64) * (n + 1) + nxt
+            by = np.argsort(key, kind="stable")
+            at, key = at[by], key[by]
+            order[part] = at
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            start = np.flatnonzero(head)
+            rank[at] = np.repeat(part[start], np.diff(np.append(start, len(at))))
+        todo = todo[_unsorted(rank[order[todo]])]
         h *= 2
     return order, rank
 
 
+def _parts(todo: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
+    """``todo`` in parts of about ``PART`` places, none of them through a group."""
+    lo = 0
+    while lo < len(todo):
+        hi = min(lo + PART, len(todo))
+        hi = int(np.searchsorted(group, group[hi - 1], side="right"))
+        yield todo[lo:hi]
+        lo = hi
+
+
 def _by_single_bytes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(text, kind="stable")
     sorted_text = text[order]
@@ -82,7 +109,7 @@ def common_prefixes(
     """
     n = len(text)
     words = words_at(np.concatenate([text, np.zeros(cap + 8, np.uint8)]))
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=order.dtype)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, dtype=np.int32)
     lengths = np.diff(np.append(starts, n))

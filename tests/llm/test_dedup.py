@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rulescope.llm import anchors, near_dedup, quality_rules, substring_dedup
@@ -174,6 +176,61 @@ def test_repeats_with_spread_classes(spark, monkeypatch):
     assert removed(df) == want
 
 
+def near_equal_stretches(n: int, seed: int = 6) -> list[bytes]:
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(260)).encode()
+    out = []
+    for _ in range(n):
+        x = bytearray(base)
+        x[rng.randrange(260)] = rng.randrange(256)
+        out.append(bytes(x[rng.randrange(30) :]))
+    return out
+
+
+def test_a_shard_takes_little_memory():
+    texts = [t for seed in range(40) for t in near_equal_stretches(100, seed)]
+    alike = near_equal_stretches(4000)
+    doc, at, cls = np.arange(4000), np.zeros(4000, np.int32), np.repeat(np.arange(40), 100)
+    shard = pa.table({"shard": np.zeros(4000, np.int64), "cls": cls, "doc_id": doc, "at": at, "bytes": texts})
+    found = list(substring_dedup.shard_repeats(shard))  # loads what pyarrow loads late
+    tracemalloc.start()
+    try:
+        substring_dedup.repeats_in(alike, doc, at.astype(np.int64))
+        one_class = tracemalloc.get_traced_memory()[1] / sum(map(len, alike))
+        tracemalloc.reset_peak()
+        list(substring_dedup.shard_repeats(shard))
+        classes = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    assert one_class < 50 and classes < 25  # bytes of memory for one of text; the first was 107
+    # In batches or all at once, the same windows repeat.
+    covered = {(d, a + k) for b in found for _, _, d, a, n, _ in zip(*b.to_pydict().values(), strict=True) for k in range(n)}
+    want = set()
+    for c in range(40):
+        i = np.flatnonzero(cls == c)
+        own, offset, again, _ = substring_dedup.repeats_in([texts[k] for k in i], doc[i], at[i].astype(np.int64))
+        want |= set(zip(doc[i][own[again]].tolist(), offset[again].tolist(), strict=True))
+    assert covered == want
+
+
+def test_batches_hold_whole_classes(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 10)
+    cls, sizes = np.array([1, 1, 2, 3, 3, 3, 4, 5, 5]), np.array([4, 4, 2, 9, 9, 9, 1, 5, 4])
+    assert list(substring_dedup.class_batches(cls, sizes)) == [(0, 3), (3, 6), (6, 9)]
+    assert list(substring_dedup.class_batches(cls[:0], sizes[:0])) == []
+
+
+def test_firsts_of_a_spread_class_leave_in_batches():
+    texts = near_equal_stretches(150)
+    doc, at = np.arange(len(texts)), np.zeros(len(texts), np.int32)
+    shard = pa.table({"shard": np.full(len(texts), -1), "cls": np.ones(len(texts), np.int64), "doc_id": doc, "at": at, "bytes": texts})
+    found = list(substring_dedup.shard_repeats(shard))
+    reps = [b for b in found if b.num_rows and b["kind"][0].as_py() == substring_dedup.REP]
+    windows = [w for b in reps for w in b["window"].to_pylist()]
+    assert set(windows) == {t[k : k + 100] for t in texts for k in range(len(t) - 99)} and len(set(windows)) == len(windows)
+    assert max(b.nbytes for b in found) < 4 << 20
+
+
 def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
     rows = repeats(4)
     long = [(100, "".join(t for _, t in rows)), (101, "q" + "".join(t for _, t in rows)[37:])]
